@@ -9,7 +9,7 @@ from registry.derived import table
 
 SIZE = 400
 FINE_SIZE = 60
-NUM_LINES, MAX_LINES = 4, 60
+NUM_LINES, MAX_LINES = 4, 6
 
 
 def _docs(spark, sf):
@@ -35,23 +35,26 @@ def _sentences(df):
 
 
 def line_budget_chunks(spark, sf):
-    return _numbered(
-        _sentences(_docs(spark, sf)), op.line_budget_chunks(F.col("blocks"), NUM_LINES, MAX_LINES)
-    )
+    """A document with a block above the limit gives one row that says so."""
+    chunks = op.line_budget_chunks(F.col("blocks"), NUM_LINES, MAX_LINES, strict=False)
+    return _numbered(_sentences(_docs(spark, sf)), F.coalesce(chunks, F.array(F.lit("block too long"))))
 
 
 def recursive_chunks(spark, sf):
-    return _numbered(_docs(spark, sf), op.recursive_chunks(F.col("text"), FINE_SIZE, 0))
+    chunked = op.with_recursive_chunks(_docs(spark, sf), "text", "chunks", FINE_SIZE, 0)
+    return _numbered(chunked, F.col("chunks"))
 
 
 def markdown_chunks(spark, sf):
     headed = F.replace(F.col("text"), F.lit(".\n"), F.lit(".\n## "))
-    return _numbered(_docs(spark, sf).withColumn("text", headed), op.markdown_chunks(F.col("text"), SIZE, 0))
+    chunked = op.with_markdown_chunks(_docs(spark, sf).withColumn("text", headed), "text", "chunks", SIZE, 0)
+    return _numbered(chunked, F.col("chunks"))
 
 
 def python_code_chunks(spark, sf):
     code = F.replace(F.col("text"), F.lit(".\n"), F.lit("\ndef "))
-    return _numbered(_docs(spark, sf).withColumn("text", code), op.python_code_chunks(F.col("text"), SIZE, 0))
+    chunked = op.with_python_code_chunks(_docs(spark, sf).withColumn("text", code), "text", "chunks", SIZE, 0)
+    return _numbered(chunked, F.col("chunks"))
 
 
 QUERIES = {
@@ -131,8 +134,10 @@ ORACLE = {
         b AS (SELECT doc_id, list_filter(string_split(text, '. '), lambda x: x <> '') AS p FROM documents),
         n AS (SELECT doc_id, p, list_transform(p, lambda x: len(string_split(x, chr(10)))) AS lines FROM b
               WHERE len(p) > 0),
+        bad AS (SELECT doc_id FROM n WHERE list_max(lines) > {MAX_LINES}),
         c AS (SELECT doc_id, p, lines, list_concat([0], list_transform(range(1, len(p) + 1),
-                lambda i: list_sum(lines[1:i])::BIGINT)) AS cum FROM n),
+                lambda i: list_sum(lines[1:i])::BIGINT)) AS cum FROM n
+              WHERE doc_id NOT IN (SELECT doc_id FROM bad)),
         w AS (
           SELECT doc_id, p, lines, cum, 0::BIGINT AS s, 0::BIGINT AS e, false AS strip, 1::BIGINT AS next_s,
             false AS opened FROM c
@@ -149,7 +154,8 @@ ORACLE = {
         t AS (SELECT doc_id, s, CASE WHEN strip THEN rtrim(array_to_string(p[s:e], chr(10)), chr(10))
                 ELSE array_to_string(p[s:e], chr(10)) END AS t FROM w WHERE s > 0)
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS part,
-          count(*) OVER (PARTITION BY doc_id) AS num_parts, md5(t) AS content_md5 FROM t""",
+          count(*) OVER (PARTITION BY doc_id) AS num_parts, md5(t) AS content_md5 FROM t
+        UNION ALL SELECT doc_id, 0, 1, md5('block too long') FROM bad""",
     "recursive_chunks": sql_recursive("text", op.SEPARATORS, FINE_SIZE),
     "markdown_chunks": sql_recursive(
         "replace(text, '.' || chr(10), '.' || chr(10) || '## ')", op.MARKDOWN_SEPARATORS, SIZE

@@ -10,6 +10,7 @@ from corpusloom.operators import retrieval as op
 from corpusloom.operators.joins import unseen
 from corpusloom.plans.answering import answer_prompts
 from corpusloom.functions import prompts
+from registry.chunking import sql_level
 from registry.derived import sql_uniform, table
 
 LSH = {"bands": 4, "bits": 3}
@@ -152,6 +153,23 @@ _SQL_BUCKETS = f"""
     FROM sides GROUP BY ALL)"""
 
 _HEAD, _TAIL = prompts.QA_TEMPLATE.replace("\n", "' || chr(10) || '").split("{context}")
+_QUESTION_AT = _TAIL.replace("{question}", "' || question || '")
+_RAG = f"""WITH RECURSIVE
+        l0 AS (SELECT doc_id, CAST([] AS BIGINT[]) AS path, text AS t FROM documents),
+        {sql_level("l0", "l1", chr(10), PASSAGE_SIZE)},
+        chunks AS (SELECT lpad(CAST(doc_id AS VARCHAR), 20, '0') || ':' || lpad(CAST(
+            row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS VARCHAR), 10, '0') AS chunk_id, t FROM l1),
+        {sql_embedding("chunks", "chunk_id", "t", "ce")},
+        q AS (SELECT item_id AS query_id, text AS question FROM benchmark),
+        {sql_embedding("q", "query_id", "question", "qe")},
+        dist AS (SELECT query_id, question, chunk_id, t, round(list_sum(list_transform(list_zip(qe.v, ce.v),
+            lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 9) AS distance
+          FROM qe CROSS JOIN ce),
+        top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank
+          FROM dist) WHERE rank <= 4)
+        SELECT query_id, md5('{_HEAD}' || string_agg(t, chr(10) || chr(10) ORDER BY rank) || '{_QUESTION_AT}')
+          AS prompt_md5
+        FROM top GROUP BY query_id, question"""
 
 ORACLE = {
     "hash_embeddings": f"""WITH d AS (SELECT doc_id, text FROM documents), {sql_embedding("d", "doc_id", "text", "e")}
@@ -164,16 +182,18 @@ ORACLE = {
         extra="""WHERE EXISTS (SELECT 1 FROM buckets x JOIN buckets y USING (band, bucket)
             WHERE x.vec_id = q.vec_id AND y.vec_id = d.vec_id)"""
     ),
+    "rag_prompt": _RAG,
     "embed_cache_misses": """
         SELECT DISTINCT 'hash-64' AS model, md5(replace(text, chr(10), ' ')) AS text_key FROM documents
         WHERE md5(replace(text, chr(10), ' ')) NOT IN
           (SELECT md5(replace(text, chr(10), ' ')) FROM documents WHERE lang IN ('de', 'es'))""",
-    "embed_cached": """
+    "embed_cached": f"""WITH d AS (SELECT doc_id, text FROM documents), {sql_embedding("d", "doc_id", "text", "e")}
         SELECT doc_id, from_cache,
-          CASE WHEN NOT from_cache AND regexp_matches(lower(text), '[a-z0-9_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm
-        FROM (SELECT doc_id, text, md5(replace(text, chr(10), ' ')) IN
+          CASE WHEN NOT from_cache AND list_max(list_transform(v, lambda x: abs(x))) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE
+            AS norm
+        FROM (SELECT doc_id, v, md5(replace(text, chr(10), ' ')) IN
           (SELECT md5(replace(text, chr(10), ' ')) FROM documents WHERE lang IN ('de', 'es')) AS from_cache
-          FROM documents)""",
+          FROM e)""",
     "vector_upsert_new": """SELECT doc_id, source, md5(text) AS text_md5 FROM documents
         WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
 }
