@@ -192,15 +192,23 @@ def pack_constant_length(
     seq_length: int = SEQ_LENGTH,
     eos: str = EOS,
     by: tuple[str, ...] = (),
+    bounded: bool = False,
 ) -> DataFrame:
     """Concatenate token arrays, each followed by ``eos``, and cut into pieces of ``seq_length``.
 
     Gives (by…, piece, input_ids, labels). The short piece at the end of each ``by`` group is
     dropped. Tokens are not exploded: a row sends one slice to each piece it touches, and a piece
     never holds more than ``seq_length`` tokens, so long rows and large groups cause no skew.
+    ``bounded`` says that the ``by`` groups have a limited size, as shards do: then one shuffle by
+    group serves both the positions and the pieces.
     """
     ended = df.select(*by, key, F.concat(F.col(tokens), F.array(F.lit(eos))).alias("__t"))
-    placed = running_total(ended.withColumn("__n", F.size("__t").cast("bigint")), key, "__n", "__start", by)
+    sized = ended.withColumn("__n", F.size("__t").cast("bigint"))
+    if bounded:
+        before = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        placed = sized.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    else:
+        placed = running_total(sized, key, "__n", "__start", by)
     first = F.floor(F.col("__start") / seq_length)
     last = F.floor((F.col("__start") + F.col("__n") - 1) / seq_length)
     touched = placed.select(

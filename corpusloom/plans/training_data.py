@@ -52,7 +52,7 @@ def prepare_training_data(
     )
     ready = sharded.select("is_validation", "shard", key, permuted["tokens"].alias("tokens"))
     packed = op.pack_constant_length(
-        ready, key, "tokens", config.seq_length, by=("is_validation", "shard")
+        ready, key, "tokens", config.seq_length, by=("is_validation", "shard"), bounded=True
     )
     drawn = packed.withColumn(
         "__bits", draw_bits("shuffle", F.lit(0), F.col("shard"), F.col("piece"), seed=config.seed)

@@ -66,10 +66,13 @@ def lsh_buckets(spark, sf):
     )
 
 
+def answer_table(spark, sf):
+    d = table(spark, sf, "documents", "doc_id", "text", spread=True)
+    return answer_prompts(d, _questions(spark, sf), "doc_id", "text", PASSAGE_SIZE, sep="\n")
+
+
 def rag_prompt(spark, sf):
-    d = table(spark, sf, "documents", "doc_id", "text", "source", spread=True)
-    prompts_df = answer_prompts(d, _questions(spark, sf), "doc_id", "text", PASSAGE_SIZE, sep="\n")
-    return prompts_df.select("query_id", F.md5("prompt").alias("prompt_md5"))
+    return answer_table(spark, sf).select("query_id", F.md5("prompt").alias("prompt_md5"))
 
 
 def _cached(spark, sf):
