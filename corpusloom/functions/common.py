@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,13 @@ def after_first(text: Column, mark: Column | str) -> Column:
     mark = lit_or_col(mark)
     at = F.instr(text, mark)
     return F.when(at > 0, right_from(text, at + F.length(mark))).otherwise(F.lit(""))
+
+
+def explode_once(df: DataFrame, array: Column, *keep: str, pos: str = "pos", value: str = "col") -> DataFrame:
+    """One row per element of ``array`` with its 0-based BIGINT position; null and empty arrays give none.
+
+    The plain explode makes the optimizer add a filter on the size of the array, which repeats the
+    expression behind it below the explode. The outer form does not, so costly arrays are computed once.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(pos, value))
+    return rows.where(F.col(pos).isNotNull()).withColumn(pos, F.col(pos).cast("bigint"))

@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it has more than one HOT_SHARE-th of the rows, so there can be at most
-# HOT_SHARE - 1 hot keys. That bound is what makes their broadcast safe at any data size.
+# A key is hot when it has more than one HOT_SHARE-th of the sampled rows, so there are fewer than
+# HOT_SHARE hot keys. That bound is what makes their broadcast safe at any data size.
 HOT_SHARE = 1000
-HOT_MIN_ROWS = 100_000
+HOT_MIN_SAMPLED = 1000
+SAMPLE = 0.01
+
+
+def hot_keys(
+    df: DataFrame, on: str, sample: float = SAMPLE, min_sampled: int = HOT_MIN_SAMPLED
+) -> DataFrame:
+    """Keys that hold a large share of the rows, by a sample. They steer the plan, not the result."""
+    counts = df.select(on).sample(sample, seed=0).groupBy(on).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("__n")).scalar()
+    return counts.where((F.col("__n") >= min_sampled) & (F.col("__n") * HOT_SHARE > total)).select(on)
 
 
 def skew_safe_lookup(
@@ -16,22 +26,31 @@ def skew_safe_lookup(
     right: DataFrame,
     on: str,
     how: str = "inner",
-    hot_min_rows: int = HOT_MIN_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which has at most one row per ``on``.
 
-    Rows with hot keys meet a broadcast of the few matching right rows and are never shuffled;
-    the others take an ordinary join.
+    Rows with hot keys find their partner in a broadcast of the few matching right rows. They pass
+    the ordinary join under keys of their own, which spread evenly over its partitions.
     """
-    counts = left.groupBy(on).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n")).scalar()
-    hot = counts.where(
-        (F.col("__n") > hot_min_rows) & (F.col("__n") * HOT_SHARE > total)
-    ).select(on)
-    hot_right = right.join(F.broadcast(hot), on, "left_semi")
-    spread = left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(hot_right), on, how)
-    other = left.join(F.broadcast(hot), on, "left_anti").join(right, on, how)
-    return spread.unionByName(other)
+    added = [c for c in right.columns if c != on]
+    hot = hot_keys(left, on) if hot is None else hot
+    near = right.join(F.broadcast(hot), on, "left_semi").select(
+        on, F.struct(*added).alias("__near")
+    )
+    far = right.select(F.struct(F.lit(0).alias("s"), F.col(on).alias("k")).alias("__k"), F.struct(*added).alias("__far"))
+    marked = left.join(F.broadcast(near), on, "left").withColumn(
+        "__k",
+        F.when(
+            F.col("__near").isNull(), F.struct(F.lit(0).alias("s"), F.col(on).alias("k"))
+        ).otherwise(
+            F.struct(F.xxhash64(*left.columns).cast("int").alias("s"), F.lit(None).cast(left.schema[on].dataType).alias("k"))
+        ),
+    )
+    found = marked.join(far, "__k", "left").withColumn("__hit", F.coalesce("__near", "__far"))
+    if how == "inner":
+        found = found.where(F.col("__hit").isNotNull())
+    return found.select(*left.columns, *[F.col(f"__hit.{c}").alias(c) for c in added])
 
 
 def unseen(new: DataFrame, stored: DataFrame, on: str | list[str]) -> DataFrame:

@@ -43,14 +43,10 @@ def joined_sequence(
 
 
 def _pairs(tokens: Column) -> Column:
-    """array<struct<i, a, b>> of neighbouring tokens; ``i`` is the 0-based place of ``b``."""
-    return F.when(
-        F.size(tokens) > 1,
-        F.zip_with(
-            F.slice(tokens, 1, F.size(tokens) - 1),
-            F.transform(F.slice(tokens, 2, F.size(tokens) - 1), lambda t, i: F.struct((i + 1).alias("i"), t.alias("b"))),
-            lambda a, x: F.struct(x["i"].alias("i"), a.alias("a"), x["b"].alias("b")),
-        ),
+    """array<struct<0, 1>> of neighbouring tokens."""
+    rest = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.arrays_zip(
+        F.slice(tokens, F.lit(1), rest).alias("0"), F.slice(tokens, F.lit(2), rest).alias("1")
     )
 
 
@@ -61,8 +57,8 @@ def sequence_bigrams(sequence: DataFrame, tokens: str) -> DataFrame:
     document ends with document starts.
     """
     filled = sequence.where(F.col("n_tokens") > 0)
-    inside = filled.select("start", F.explode(_pairs(F.col(tokens))).alias("p")).select(
-        (F.col("start") + F.col("p.i")).alias("t"), "p.a", "p.b"
+    inside = filled.select("start", F.posexplode(_pairs(F.col(tokens))).alias("i", "p")).select(
+        (F.col("start") + F.col("i") + 1).alias("t"), F.col("p.0").alias("a"), F.col("p.1").alias("b")
     )
     ends = filled.select(
         (F.col("start") + F.col("n_tokens")).alias("t"), F.element_at(tokens, -1).alias("a")
@@ -74,7 +70,7 @@ def sequence_bigrams(sequence: DataFrame, tokens: str) -> DataFrame:
 def bigram_fit(train: DataFrame, model: str, tokens: str) -> DataFrame:
     """(model, a, b, n): bigram counts of each model, within documents."""
     pairs = train.select(F.col(model).alias("model"), F.explode(_pairs(F.col(tokens))).alias("p"))
-    return pairs.groupBy("model", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(
+    return pairs.groupBy("model", F.col("p.0").alias("a"), F.col("p.1").alias("b")).agg(
         F.count(F.lit(1)).alias("n")
     )
 
@@ -97,8 +93,9 @@ def bigram_nll(
 ) -> DataFrame:
     """(a, b, model, nll) for the needed bigrams and every model, with add-k smoothing."""
     wanted = needed.select("a", "b").distinct()
-    pair_counts = _per_model(counts, ["a", "b"], "pair_n")
-    first_counts = _per_model(counts.groupBy("model", "a").agg(F.sum("n").alias("n")), ["a"], "first_n")
+    pair_counts = _per_model(counts.join(wanted, ["a", "b"], "left_semi"), ["a", "b"], "pair_n")
+    firsts = counts.groupBy("model", "a").agg(F.sum("n").alias("n"))
+    first_counts = _per_model(firsts.join(wanted.select("a").distinct(), "a", "left_semi"), ["a"], "first_n")
     models = sizes.agg(F.sort_array(F.collect_list(F.struct("model", "v")))).scalar()
     found = (
         wanted.join(pair_counts, ["a", "b"], "left")

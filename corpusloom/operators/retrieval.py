@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.common import explode_once
 from corpusloom.functions.rng import uniform_value
 
 # Queries up to this number are broadcast; their count is checked before.
@@ -261,8 +262,9 @@ def knn_lsh(
     q_type, c_type = _types(q, c)
 
     def bucketed(df: DataFrame) -> DataFrame:
-        return df.select("*", F.posexplode(lsh_buckets(F.col("vector"), dim, bands, bits, seed))).select(
-            *df.columns, F.col("pos").alias("band"), F.col("col").alias("bucket")
+        codes = lsh_buckets(F.col("vector"), dim, bands, bits, seed)
+        return explode_once(
+            df.withColumn("__codes", codes), F.col("__codes"), *df.columns, pos="band", value="bucket"
         )
 
     def blocks(df: DataFrame, name: str) -> DataFrame:

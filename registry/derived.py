@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import files as filefn
-from corpusloom.functions.common import left_of, right_from
+from corpusloom.functions.common import explode_once, left_of, right_from
 from corpusloom.functions.rng import uniform
 from corpusloom.functions.text import FIM_MIDDLE, FIM_PREFIX, FIM_SUFFIX, PLACEHOLDER
 from corpusloom.functions.tokens import STREAM_TOKEN, regex_tokens
@@ -165,17 +165,13 @@ fenced AS (
 def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     tokens = regex_tokens(F.col("text"), STREAM_TOKEN)
-    return (
+    turns = (
         c.where(F.col("role") == "assistant")
-        .select("conv_id", "turn", tokens.alias("l"))
-        .select("conv_id", "turn", F.size("l").alias("n"), F.posexplode("l"))
-        .select(
-            F.concat_ws("-", "conv_id", "turn").alias("response_id"),
-            F.col("pos").cast("bigint").alias("seq"),
-            F.col("col").alias("token"),
-            (F.col("pos") == F.col("n") - 1).alias("is_end"),
-        )
+        .select(F.concat_ws("-", "conv_id", "turn").alias("response_id"), tokens.alias("l"))
+        .withColumn("n", F.size("l"))
     )
+    rows = explode_once(turns, F.col("l"), "response_id", "n", pos="seq", value="token")
+    return rows.select("response_id", "seq", "token", (F.col("seq") == F.col("n") - 1).alias("is_end"))
 
 
 # -- runs and resource samples from events -----------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions.common import explode_once
 from corpusloom.functions.tokens import hash_embedding
 from corpusloom.operators import embedding as emb
 from corpusloom.operators import retrieval as op
@@ -37,9 +38,9 @@ def _ids_and_distances(hits):
 def hash_embeddings(spark, sf):
     d = table(spark, sf, "documents", "doc_id", "text", spread=True)
     v = d.withColumn("v", hash_embedding(F.col("text")))
-    each = v.select("doc_id", F.posexplode("v")).where(F.col("col") != 0)
+    each = explode_once(v, F.col("v"), "doc_id", pos="bucket").where(F.col("col") != 0)
     return each.select(
-        "doc_id", F.col("pos").cast("bigint").alias("bucket"), F.round(F.col("col").cast("double"), 5).alias("weight")
+        "doc_id", "bucket", F.round(F.col("col").cast("double"), 5).alias("weight")
     )
 
 
