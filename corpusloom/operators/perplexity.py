@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.common import explode_once
 from corpusloom.operators.prefix import running_total
 
 STRIDE = 512
 SMOOTHING = 0.1
+MAX_BROADCAST_BIGRAMS = 1_000_000
 
 
 def ppl_window(t: Column, n: Column, max_length: int, stride: int = STRIDE) -> Column:
@@ -67,18 +69,29 @@ def sequence_bigrams(sequence: DataFrame, tokens: str) -> DataFrame:
     return inside.unionByName(ends.join(starts, "t"))
 
 
-def bigram_fit(train: DataFrame, model: str, tokens: str) -> DataFrame:
-    """(model, a, b, n): bigram counts of each model, within documents."""
+def bigram_fit(train: DataFrame, model: str, tokens: str, only: DataFrame | None = None) -> DataFrame:
+    """(model, a, b, n): bigram counts of each model, within documents.
+
+    ``only`` restricts them to the bigrams (a, b) that are going to be scored, before they are
+    counted; it is broadcast when it is small.
+    """
     pairs = train.select(F.col(model).alias("model"), F.explode(_pairs(F.col(tokens))).alias("p"))
-    return pairs.groupBy("model", F.col("p.0").alias("a"), F.col("p.1").alias("b")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    rows = pairs.select("model", F.col("p.0").alias("a"), F.col("p.1").alias("b"))
+    counts = rows.groupBy("model", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    if only is None:
+        return counts
+    if only.limit(MAX_BROADCAST_BIGRAMS + 1).count() <= MAX_BROADCAST_BIGRAMS:
+        few = rows.join(F.broadcast(only), ["a", "b"], "left_semi")
+        return few.groupBy("model", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(only, ["a", "b"], "left_semi")
 
 
-def vocabulary_sizes(train: DataFrame, model: str, tokens: str) -> DataFrame:
-    """(model, v): number of distinct tokens."""
-    rows = train.select(F.col(model).alias("model"), F.explode(F.array_distinct(F.col(tokens))).alias("w"))
-    return rows.distinct().groupBy("model").agg(F.count(F.lit(1)).alias("v"))
+def token_fit(train: DataFrame, model: str, tokens: str) -> DataFrame:
+    """(model, a, n): the vocabulary of each model; n tells how often a token has one behind it."""
+    sized = train.select(F.col(model).alias("model"), tokens, F.size(tokens).alias("size"))
+    rows = explode_once(sized, F.col(tokens), "model", "size", value="a")
+    followed = F.when(F.col("pos") < F.col("size") - 1, 1).otherwise(0)
+    return rows.groupBy("model", "a").agg(F.sum(followed).alias("n"))
 
 
 def _per_model(counts: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -89,22 +102,23 @@ def _per_model(counts: DataFrame, by: list[str], name: str) -> DataFrame:
 
 
 def bigram_nll(
-    needed: DataFrame, counts: DataFrame, sizes: DataFrame, k: float = SMOOTHING
+    wanted: DataFrame, pairs: DataFrame, firsts: DataFrame, k: float = SMOOTHING
 ) -> DataFrame:
-    """(a, b, model, nll) for the needed bigrams and every model, with add-k smoothing."""
-    wanted = needed.select("a", "b").distinct()
-    pair_counts = _per_model(counts.join(wanted, ["a", "b"], "left_semi"), ["a", "b"], "pair_n")
-    firsts = counts.groupBy("model", "a").agg(F.sum("n").alias("n"))
-    first_counts = _per_model(firsts.join(wanted.select("a").distinct(), "a", "left_semi"), ["a"], "first_n")
+    """(a, b, model, nll) for each wanted bigram (a, b) and every model, with add-k smoothing.
+
+    ``pairs`` and ``firsts`` are the counts of :func:`bigram_fit` and :func:`token_fit`.
+    """
+    sizes = firsts.groupBy("model").agg(F.count(F.lit(1)).alias("v"))
     models = sizes.agg(F.sort_array(F.collect_list(F.struct("model", "v")))).scalar()
+    known = firsts.join(wanted.select("a").distinct(), "a", "left_semi")
     found = (
-        wanted.join(pair_counts, ["a", "b"], "left")
-        .join(first_counts, "a", "left")
+        wanted.join(_per_model(pairs, ["a", "b"], "pair_n"), ["a", "b"], "left")
+        .join(_per_model(known, ["a"], "first_n"), "a", "left")
         .withColumn("m", F.explode(models))
     )
 
     def count(name: str) -> Column:
-        return F.coalesce(F.col(name)[F.col("m.model")], F.lit(0))
+        return F.coalesce(F.try_element_at(F.col(name), F.col("m.model")), F.lit(0))
 
     share = (count("pair_n") + k) / (count("first_n") + F.lit(k) * F.col("m.v"))
     return found.select("a", "b", F.col("m.model").alias("model"), (-F.log(share)).alias("nll"))

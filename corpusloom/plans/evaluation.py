@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import perplexity as op
 from corpusloom.operators.training import is_validation
+from corpusloom.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -42,8 +43,10 @@ def bigram_perplexity(
         held = held.orderBy(key).limit(max_docs)
     sequence = op.joined_sequence(held, key, tokens)
     total = held.agg(F.coalesce(F.sum(F.size(tokens)), F.lit(0))).scalar()
-    bigrams = op.sequence_bigrams(sequence, tokens)
-    counts = op.bigram_fit(train, model, tokens)
-    nll = op.bigram_nll(bigrams, counts, op.vocabulary_sizes(train, model, tokens))
+    # a few per cent of the corpus, read three times below
+    bigrams = checkpointed(op.sequence_bigrams(sequence, tokens))
+    wanted = bigrams.select("a", "b").distinct()
+    pairs = op.bigram_fit(train, model, tokens, only=wanted)
+    nll = op.bigram_nll(wanted, pairs, op.token_fit(train, model, tokens))
     windows = op.window_nll(bigrams, total, nll, max_length, stride)
     return Evaluation(nll, windows, op.perplexity(windows))

@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(
@@ -42,16 +42,36 @@ def build_session(
     return builder.getOrCreate()
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    Streaming checkpoints and intermediate tables must be readable by every executor, also by
-    one that replaces a lost one, so there is no fallback to a machine-local folder.
+    Streaming checkpoints and intermediate tables must be readable by every executor, also by one
+    that replaces a lost one. A local session without the setting gets a temporary folder; a cluster
+    without it is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    root = tempfile.mkdtemp(prefix="corpusloom-scratch-")
+    spark.sparkContext.setCheckpointDir(root)
+    return root
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` written to the shared checkpoint folder, for plans that read them repeatedly."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        root = scratch_root(df.sparkSession)
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(root)
+    return df.checkpoint()
 
 
 def ship_package(spark: SparkSession) -> None:

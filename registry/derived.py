@@ -99,7 +99,7 @@ def kept_files(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFr
 
 
 def todo_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents", "doc_id", "text", "n_chars")
+    d = table(spark, sf_dir, "documents", "doc_id", "text", "n_chars", spread=True)
     pos = F.floor(uniform("todo", F.col("doc_id")) * (F.col("n_chars") + 1)).cast("int")
     langs = F.array(*[F.lit(x) for x in TASK_LANG])
     return d.select(
@@ -141,7 +141,7 @@ def fim_text(prefix: Column, suffix: Column, completion: Column) -> Column:
 
 
 def fenced_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents", "doc_id", "text")
+    d = table(spark, sf_dir, "documents", "doc_id", "text", spread=True)
     p = F.instr("text", "\n")
     fenced = F.concat(
         left_of(F.col("text"), p), F.lit("```python\n"), right_from(F.col("text"), p + 1),
