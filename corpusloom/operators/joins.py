@@ -35,19 +35,17 @@ def skew_safe_lookup(
     """
     added = [c for c in right.columns if c != on]
     hot = hot_keys(left, on) if hot is None else hot
-    near = right.join(F.broadcast(hot), on, "left_semi").select(
-        on, F.struct(*added).alias("__near")
+    near = right.join(F.broadcast(hot), on, "left_semi").select(on, F.struct(*added).alias("__near"))
+    far = right.select(
+        F.lit(0).cast("bigint").alias("__s"), F.col(on).alias("__k"), F.struct(*added).alias("__far")
     )
-    far = right.select(F.struct(F.lit(0).alias("s"), F.col(on).alias("k")).alias("__k"), F.struct(*added).alias("__far"))
-    marked = left.join(F.broadcast(near), on, "left").withColumn(
-        "__k",
-        F.when(
-            F.col("__near").isNull(), F.struct(F.lit(0).alias("s"), F.col(on).alias("k"))
-        ).otherwise(
-            F.struct(F.xxhash64(*left.columns).cast("int").alias("s"), F.lit(None).cast(left.schema[on].dataType).alias("k"))
-        ),
+    marked = left.join(F.broadcast(near), on, "left")
+    # rows that need no partner have a null key, which matches nothing, and are spread by their salt
+    needs = F.col("__near").isNull() & F.col(on).isNotNull()
+    salted = marked.withColumn("__s", F.when(needs, 0).otherwise(F.xxhash64(*left.columns))).withColumn(
+        "__k", F.when(needs, F.col(on))
     )
-    found = marked.join(far, "__k", "left").withColumn("__hit", F.coalesce("__near", "__far"))
+    found = salted.join(far, ["__s", "__k"], "left").withColumn("__hit", F.coalesce("__near", "__far"))
     if how == "inner":
         found = found.where(F.col("__hit").isNotNull())
     return found.select(*left.columns, *[F.col(f"__hit.{c}").alias(c) for c in added])

@@ -128,10 +128,12 @@ def knn(
 
     q_type, c_type = _types(q, c)
     table = q.toArrow()
-    ids = table["query_id"].to_pylist()
-    shared = corpus.sparkSession.sparkContext.broadcast((ids, _matrix(table["vector"])))
-    if not ids:
-        return _ranked(c.limit(0).selectExpr(f"cast(null as {q_type}) query_id", "doc_id", "0D distance"), k)
+    if table.num_rows == 0:
+        nothing = c.limit(0).selectExpr(f"cast(null as {q_type}) query_id", "doc_id", "0D distance")
+        return _ranked(nothing, k)
+    shared = corpus.sparkSession.sparkContext.broadcast(
+        (table["query_id"].to_pylist(), _matrix(table["vector"]))
+    )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, vectors = shared.value

@@ -219,8 +219,8 @@ def pack_constant_length(
     part = F.slice(
         F.col("__t"), (begin - F.col("__start") + 1).cast("int"), (end - begin).cast("int")
     )
-    slices = touched.select(*by, "piece", F.struct(begin.alias("at"), part.alias("part")).alias("s"))
-    joined = F.flatten(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["part"]))
+    slices = touched.select(*by, "piece", F.struct(begin.alias("at"), part.alias("part")).alias("__slice"))
+    joined = F.flatten(F.transform(F.sort_array(F.collect_list("__slice")), lambda s: s["part"]))
     return (
         slices.groupBy(*by, "piece")
         .agg(joined.alias("input_ids"))
