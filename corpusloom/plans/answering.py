@@ -10,7 +10,7 @@ from corpusloom.functions.tokens import hash_embedding
 from corpusloom.operators.chunking import char_chunks, number_parts
 from corpusloom.operators.embedding import Embedder
 from corpusloom.operators.joins import skew_safe_lookup
-from corpusloom.operators.retrieval import knn, stuff_context
+from corpusloom.operators.retrieval import MAX_BROADCAST_QUERIES, knn, stuff_context
 
 
 def passages(
@@ -42,13 +42,25 @@ def answer_prompts(
 ) -> DataFrame:
     """(query_id, question, prompt). ``questions`` has (query_id, question, embedding).
 
-    The contents of the few hits are fetched at the end: the corpus is scanned a second time, but
-    its text is never shuffled.
+    Only ids and vectors take part in the search; the contents of the few hits are fetched in a
+    second pass over the corpus.
     """
     chunks = passages(docs, key, text, size, sep)
     hits = retrieve(questions.select("query_id", "embedding"), chunks, k, embedder=embedder)
-    found = skew_safe_lookup(hits, chunks.select("chunk_id", "content"), "chunk_id")
-    contexts = stuff_context(found)
+    few = questions.limit(MAX_BROADCAST_QUERIES + 1).count() <= MAX_BROADCAST_QUERIES
+    contexts = stuff_context(with_content(hits, chunks.select("chunk_id", "content"), few))
     return contexts.join(questions.select("query_id", "question"), "query_id").select(
         "query_id", "question", qa_prompt(F.col("context"), F.col("question")).alias("prompt")
     )
+
+
+def with_content(hits: DataFrame, chunks: DataFrame, few: bool) -> DataFrame:
+    """Add ``content`` to (query_id, chunk_id, rank).
+
+    ``few`` hits (k per query, their number checked) are broadcast, so no text moves but theirs.
+    Otherwise chunks that nobody asks for are dropped before the join, and popular ones do not skew it.
+    """
+    if few:
+        return chunks.join(F.broadcast(hits), "chunk_id")
+    wanted = hits.select("chunk_id").distinct()
+    return skew_safe_lookup(hits, chunks.join(wanted, "chunk_id", "left_semi"), "chunk_id")

@@ -30,12 +30,13 @@ def prepare_training_data(
     text: str,
     config: TrainingConfig = TrainingConfig(),
     token_pattern: str = CODE_TOKEN,
+    ranked: bool = True,
 ) -> DataFrame:
     """(is_validation, shard, piece, rank, input_ids, labels).
 
     Split, tokenise, permute, pack per shard, shuffle. ``docs`` may have ``n_chars``; otherwise the
-    length of the text is taken. ``rank`` is the place in the shuffled order of its split; write
-    with :func:`corpusloom.sources.tables.write_sequences` to get files in that order.
+    length of the text is taken. ``rank`` is the place in the shuffled order of its split. Leave it
+    out for :func:`corpusloom.sources.tables.write_sequences`, which shuffles while writing.
     """
     n_chars = F.col("n_chars") if "n_chars" in docs.columns else F.length(text)
     split = docs.select(
@@ -54,7 +55,10 @@ def prepare_training_data(
     packed = op.pack_constant_length(
         ready, key, "tokens", config.seq_length, by=("is_validation", "shard"), bounded=True
     )
-    drawn = packed.withColumn(
-        "__bits", draw_bits("shuffle", F.lit(0), F.col("shard"), F.col("piece"), seed=config.seed)
-    ).withColumn("__tie", F.struct("shard", "piece"))
-    return random_rank(drawn, "__bits", "__tie", "rank", by=("is_validation",)).drop("__bits", "__tie")
+    if not ranked:
+        return packed
+    # labels repeat input_ids: add them behind the shuffle
+    draw = draw_bits("shuffle", F.lit(0), F.col("shard"), F.col("piece"), seed=config.seed)
+    drawn = packed.drop("labels").withColumns({"__bits": draw, "__tie": F.struct("shard", "piece")})
+    shuffled = random_rank(drawn, "__bits", "__tie", "rank", by=("is_validation",))
+    return shuffled.drop("__bits", "__tie").withColumn("labels", F.col("input_ids"))

@@ -28,10 +28,14 @@ class _LatestInWindow(StatefulProcessor):
         self.newest = handle.getValueState("newest", "ts bigint, event_id bigint, fire bigint")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for frame in rows:
-            for ts, event_id in zip(frame["us"], frame["event_id"], strict=True):
-                self.waiting.appendValue((int(ts), int(event_id)))
-                self._wake_at(int(ts))
+        new = [
+            (int(ts), int(event_id))
+            for frame in rows
+            for ts, event_id in zip(frame["us"], frame["event_id"], strict=True)
+        ]
+        if new:
+            self.waiting.appendList(new)
+            self._wake_at(min(new)[0])
         yield _frame(key, [])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -61,10 +65,13 @@ class _LatestInWindow(StatefulProcessor):
         if newest and newest[2] is not None and newest[2] <= watermark:
             acting.append((newest[1], newest[0], newest[2]))
             newest = (newest[0], newest[1], None)
+        left = rows[len(due) :]
         if due:
             self.waiting.clear()
-            if len(due) < len(rows):
-                self.waiting.put(rows[len(due) :])
+            if left:
+                self.waiting.put(left)
+        if left:
+            self._wake_at(left[0][0])
         if newest:
             self.newest.update(newest)
             if newest[2] is not None:
