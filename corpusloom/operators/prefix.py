@@ -50,7 +50,7 @@ def _running_total(
     offsets = _running_total(totals, group, 0, amount, base, by, levels - 1).drop(amount)
     return (
         grouped.withColumn(out, local)
-        .join(offsets, [*by, group])
+        .join(offsets, [*by, group], "left")
         .withColumn(out, F.col(out) + F.col(base))
         .drop(group, base)
     )
@@ -83,7 +83,8 @@ def random_rank(
     inside = Window.partitionBy(*by, "__bucket").orderBy(bits, ties)
     return (
         bucketed.withColumn(out, (F.row_number().over(inside) - 1).cast("bigint"))
-        .join(bases, [*by, "__bucket"])
+        # every bucket has a base; a left join keeps null checks on the draw out of the input
+        .join(bases, [*by, "__bucket"], "left")
         .withColumn(out, F.col(out) + F.col("__base"))
         .drop("__bucket", "__n", "__base")
     )

@@ -107,8 +107,7 @@ def pack_sequences(spark, sf):
 
 def token_ids(spark, sf):
     words = _words(spark, sf)
-    vocab = voc.vocabulary(words.select(F.explode("tokens").alias("token")))
-    ids = voc.token_ids(words, vocab, "doc_id")
+    ids = voc.token_ids(words, voc.vocabulary(words), "doc_id")
     return ids.select(
         "doc_id", F.size("token_ids").cast("bigint").alias("n"),
         F.md5(F.array_join(F.col("token_ids").cast("array<string>"), " ")).alias("ids_md5"),
