@@ -85,3 +85,13 @@ def stream_response_html(response: Column) -> Column:
         return let(blocks, lambda b: _interleave(shown, b))
 
     return let(F.split(response, _STREAM_BLOCK), render)
+
+
+def render_response(response: Column, as_html: Column, streamed: Column | bool = False) -> Column:
+    """What a code function shows: plain text, or the HTML of a finished or of a streamed response."""
+    streamed = F.lit(streamed) if isinstance(streamed, bool) else streamed
+    return (
+        F.when(~as_html, response)
+        .when(streamed, stream_response_html(response))
+        .otherwise(format_response_html(response))
+    )

@@ -87,3 +87,34 @@ def score_tokens(
             yield pd.Series([scorer(list(t)) for t in batch], index=batch.index)
 
     return df.withColumn(out, scores(F.col(tokens)))
+
+
+def model_embedder(factory: Callable[[], Callable[[list[str]], list]]) -> Callable[[Column], Column]:
+    """An embedder for the cache and the search from any callable that maps texts to vectors."""
+
+    def embed(text: Column) -> Column:
+        @F.pandas_udf(T.ArrayType(T.FloatType()))
+        def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = factory()
+            for batch in batches:
+                found = [[float(x) for x in vector] for vector in model(batch.tolist())]
+                yield pd.Series(found, index=batch.index)
+
+        return vectors(text)
+
+    return embed
+
+
+def model_tokenizer(factory: Callable[[], Callable[[str], list]], ids: bool = False) -> Callable[[Column], Column]:
+    """A tokenizer column from any callable that maps a text to tokens, or to token ids."""
+
+    def tokens(text: Column) -> Column:
+        @F.pandas_udf(T.ArrayType(T.LongType() if ids else T.StringType()))
+        def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            tokenizer = factory()
+            for batch in batches:
+                yield pd.Series([list(tokenizer(t)) for t in batch], index=batch.index)
+
+        return split(text)
+
+    return tokens

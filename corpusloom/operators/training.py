@@ -69,6 +69,13 @@ def train_val_split_exact(
     return clear.unionByName(close.drop("__bits", "__low", "__rank"))
 
 
+def corpus_stats(df: DataFrame, n_chars: str, *by: str) -> DataFrame:
+    """Rows and characters per group, e.g. by language and split."""
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("docs"), F.sum(n_chars).cast("bigint").alias("chars")
+    )
+
+
 def shuffle_rank(df: DataFrame, key: str, out: str = "rank", seed: int = 0, epoch: int = 0) -> DataFrame:
     """Add the position of each row in a seeded shuffle of the whole table."""
     keyed = df.withColumn("__bits", draw_bits("shuffle", F.lit(epoch), F.col(key), seed=seed))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions import text
+from corpusloom.functions import html, text
 from corpusloom.functions.models import echo_tail
 from corpusloom.operators import completions as op
 from registry.derived import MODELS, SQL_TASKS, table
@@ -48,6 +48,13 @@ def responses_html(spark, sf):
     return shown.select("fn", "snippet_name", F.md5("html").alias("html_md5"))
 
 
+def rendered_responses(spark, sf):
+    """Answers as their function shows them: as HTML or plain, finished or streamed."""
+    grid = op.snippet_fn_model_grid(_snippets(spark, sf), ["explain", "add-docstrings"], MODELS)
+    shown = html.render_response(F.col("code"), F.col("as_html"), F.col("model_id") == MODELS[0])
+    return grid.select("snippet_name", "fn", "model_id", F.md5(shown).alias("shown_md5"))
+
+
 def _stored(spark, sf):
     """What a comparison run leaves behind: one file per task and one per task and model."""
     tasks = _tasks(spark, sf).withColumn("task_name", F.concat(F.lit("task_"), F.col("doc_id")))
@@ -88,7 +95,7 @@ def completion_report_html(spark, sf):
 QUERIES = {
     fn.__name__: fn
     for fn in (
-        task_model_grid, snippet_fn_model_grid, responses_pivot, responses_html, stored_results_join,
+        task_model_grid, snippet_fn_model_grid, responses_pivot, responses_html, rendered_responses, stored_results_join,
         report_grid, completion_report_html,
     )
 }
@@ -120,6 +127,14 @@ ORACLE = {
         SELECT fn, snippet_name, md5('<h3>' || snippet_name || '</h3><pre>' || {_sql_escape("any_value(code)")} || '</pre>'
           || string_agg('<h4>' || m || '</h4><pre>' || {_sql_escape("response")} || '</pre>', '' ORDER BY m)) AS html_md5
         FROM answers GROUP BY fn, snippet_name""",
+    "rendered_responses": f"""WITH {_M}, {_SNIPPETS}, fns(fn) AS (VALUES ('explain'), ('add-docstrings')),
+        t AS (SELECT *, regexp_extract(code, '[\\n \\t]$') AS tail FROM snippets)
+        SELECT snippet_name, fn, m AS model_id, md5(CASE WHEN fn = 'add-docstrings' THEN code
+          WHEN m = '{MODELS[0]}'
+            THEN replace(left(code, length(code) - length(tail)), chr(10), '<br>' || chr(10)) || tail
+          ELSE '<div style="font-family: monospace"><p>' || replace(replace(code, chr(10) || chr(10), '</p><p>'),
+            chr(10), '<br/>') || '</p></div>' END) AS shown_md5
+        FROM t CROSS JOIN fns CROSS JOIN models""",
     "stored_results_join": f"""WITH {SQL_TASKS}, {_M}
         SELECT 'task_' || doc_id AS task_name, md5(prefix || '<todo>' || suffix) AS task_md5, m AS model_id,
           md5(prefix || m || suffix) AS completion_md5 FROM tasks CROSS JOIN models""",

@@ -46,9 +46,7 @@ def train_val_split_exact(spark, sf):
 def corpus_stats(spark, sf):
     d = table(spark, sf, "documents", "doc_id", "lang", "n_chars")
     split = d.withColumn("is_validation", op.is_validation(F.col("doc_id"), FRACTION))
-    return split.groupBy("lang", "is_validation").agg(
-        F.count(F.lit(1)).alias("docs"), F.sum("n_chars").cast("bigint").alias("chars")
-    )
+    return op.corpus_stats(split, "n_chars", "lang", "is_validation")
 
 
 def chars_token_ratio(spark, sf):

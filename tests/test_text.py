@@ -122,6 +122,15 @@ def test_token_scores(spark):
     assert [r.nll for r in got.collect()] == [[1.0, 2.0], []]
 
 
+def test_plugged_in_embedder_and_tokenizer(spark):
+    df = spark.createDataFrame([("ab c",)], "t string")
+    embed = models.model_embedder(lambda: lambda texts: [[len(t), 1] for t in texts])
+    split = models.model_tokenizer(lambda: str.split)
+    ids = models.model_tokenizer(lambda: lambda t: [ord(c) for c in t], ids=True)
+    row = df.select(embed(F.col("t")).alias("v"), split(F.col("t")).alias("w"), ids(F.col("t")).alias("i")).first()
+    assert (row.v, row.w, row.i) == ([4.0, 1.0], ["ab", "c"], [97, 98, 32, 99])
+
+
 def test_grid_and_nested_responses(spark):
     rows = [("t", m) for m in ("c", "a", "b")]
     grid = comp.report_grid(spark.createDataFrame(rows, "task_name string, model_id string"))
