@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,21 +71,3 @@ def checkpointed(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Make the package importable in Python workers, for sessions started without --py-files.
-
-    Spark serves the archive from the driver to every executor, also to later ones.
-    """
-    context = spark.sparkContext
-    if getattr(context, "_corpusloom_shipped", False):
-        return
-    root = Path(__file__).resolve().parent
-    folder = Path(tempfile.mkdtemp(prefix="corpusloom-"))
-    archive = folder / "corpusloom.zip"
-    with zipfile.ZipFile(archive, "w") as target:
-        for source in sorted(root.rglob("*.py")):
-            target.write(source, source.relative_to(root.parent))
-    context.addPyFile(str(archive))
-    context._corpusloom_shipped = True
