@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, quality, url_filter
+from corpusloom.llm import chat, quality, sentencepiece_bpe, simhash, url_filter
 from corpusloom.llm.common import table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url")
     judged = url_filter.judge_urls(pages, url_filter.default_labelled(spark))
@@ -53,6 +57,27 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def digest_of_ids(encoded: DataFrame) -> DataFrame:
+    """The digest columns of an encoded table with doc_id, ids and decoded."""
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return digest_of_ids(sentencepiece_bpe.encode_and_decode(docs, piece_model()))
+
+
+def piece_model() -> bytes:
+    import public_tokenizers
+
+    return sentencepiece_bpe.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
-    f.__name__: f for f in (op4_url_filter, op5_quality_rules, op8_chat_format)
+    f.__name__: f for f in (op1_simhash, op4_url_filter, op5_quality_rules, op8_chat_format, op10_sentencepiece)
 }
