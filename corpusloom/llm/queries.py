@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, quality, sentencepiece_bpe, simhash, url_filter
+from corpusloom.llm import chat, decontaminate, quality, sentencepiece_bpe, simhash, url_filter
 from corpusloom.llm.common import table
 
 
@@ -26,6 +26,22 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(
+        table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    )
+    n_hit = decontaminate.covered_words(F.col("spans"))
+    items = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(items, 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""All conversations and one more (-7) whose texts hold the template's own marks."""
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
@@ -79,5 +95,5 @@ def piece_model() -> bytes:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_simhash, op4_url_filter, op5_quality_rules, op8_chat_format, op10_sentencepiece)
+    f.__name__: f for f in (op1_simhash, op4_url_filter, op5_quality_rules, op7_decontaminate, op8_chat_format, op10_sentencepiece)
 }

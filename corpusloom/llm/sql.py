@@ -47,6 +47,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND {_TESTS} AS kept
 FROM q"""
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = (
+    "list_filter(regexp_split_to_array(" + _LOWER
+    + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+)
+OP7 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+b AS (SELECT item_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i : i + least(len(ws), 10) - 1], ' ') AS g
+  FROM (SELECT *, unnest(generate_series(1, greatest(len(ws) - 9, 1))) AS i FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+grams AS (
+  SELECT r, i, n, array_to_string(ws[i : i + n - 1], ' ') AS g
+  FROM (SELECT r, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS i FROM d, sizes)),
+hits AS (SELECT r, i, n, item_id FROM grams JOIN windows USING (n, g)),
+words AS (SELECT r, count(DISTINCT k) AS n_hit
+  FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS k FROM hits) GROUP BY r),
+items AS (
+  SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
+
 OP8 = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -65,4 +91,4 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(header + body) AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id"""
 
-ORACLE = {"op5_quality_rules": OP5, "op8_chat_format": OP8}
+ORACLE = {"op5_quality_rules": OP5, "op7_decontaminate": OP7, "op8_chat_format": OP8}
