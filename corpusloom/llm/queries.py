@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, decontaminate, quality, sentencepiece_bpe, simhash, url_filter
+from corpusloom.llm import (
+    chat,
+    decontaminate,
+    language,
+    quality,
+    sentencepiece_bpe,
+    simhash,
+    toxicity,
+    url_filter,
+)
 from corpusloom.llm.common import table
 
 
@@ -26,6 +35,19 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
+    return toxicity.train(docs, labels, "crc32(cast(doc_id as string)) % 5 <> 0")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    scored = toxicity.with_toxicity(docs, toxicity_model(spark, sf_dir))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(
         table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
@@ -73,6 +95,18 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def language_model(spark: SparkSession, sf_dir: str) -> language.Model | None:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return language.train(docs, "crc32(cast(doc_id as string)) % 4 <> 2")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    predicted = language.with_language(docs, language_model(spark, sf_dir))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def digest_of_ids(encoded: DataFrame) -> DataFrame:
     """The digest columns of an encoded table with doc_id, ids and decoded."""
     return encoded.select(
@@ -95,5 +129,5 @@ def piece_model() -> bytes:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_simhash, op4_url_filter, op5_quality_rules, op7_decontaminate, op8_chat_format, op10_sentencepiece)
+    f.__name__: f for f in (op1_simhash, op4_url_filter, op5_quality_rules, op6_toxicity, op7_decontaminate, op8_chat_format, op9_language_id, op10_sentencepiece)
 }
