@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import (
     chat,
     decontaminate,
+    html_text,
     language,
     quality,
     sentencepiece_bpe,
@@ -22,6 +23,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.with_main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url")
     judged = url_filter.judge_urls(pages, url_filter.default_labelled(spark))
@@ -129,5 +135,5 @@ def piece_model() -> bytes:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_simhash, op4_url_filter, op5_quality_rules, op6_toxicity, op7_decontaminate, op8_chat_format, op9_language_id, op10_sentencepiece)
+    f.__name__: f for f in (op1_simhash, op2_html_text, op4_url_filter, op5_quality_rules, op6_toxicity, op7_decontaminate, op8_chat_format, op9_language_id, op10_sentencepiece)
 }
