@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import (
@@ -11,6 +11,7 @@ from corpusloom.llm import (
     html_text,
     language,
     quality,
+    revisits,
     sentencepiece_bpe,
     simhash,
     toxicity,
@@ -28,6 +29,62 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
+def capture_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures made from ``pages``: each page as a full response and as revisits of several kinds.
+
+    Times are seconds. Revisits name the page by other spellings of its URL; every fifth page has one whose
+    ETag differs, every seventh one from before its response, every eleventh one without validators, and
+    every third page was captured in full once more, with the same payload.
+    """
+    page, url = F.col("page_id"), F.col("url")
+    tag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
+    at = F.lit(1_700_000_000) + page * 60
+    host = F.regexp_replace(url, r"^https?://", "")
+
+    def record(n: int, when, spelling, kind: str, status: int, headers: dict, digest) -> Column:
+        pairs = [F.concat(F.lit(f"{k}: "), v) for k, v in headers.items() if v is not None]
+        return F.struct(
+            (page * 8 + n).alias("record_id"), spelling.alias("url"), when.cast("bigint").alias("captured"),
+            F.lit(kind).alias("kind"), F.lit(status).alias("status"),
+            F.concat_ws("\r\n", *pairs).alias("block"), digest.alias("digest"),
+        )
+
+    def full(n: int, when) -> Column:
+        return record(
+            n, when, url, "response", 200,
+            {"Content-Type": F.lit("text/html"), "Content-Length": F.length("html").cast("string"), "ETag": tag,
+             "Date": when.cast("string"), "Cache-Control": F.lit("max-age=60")}, F.md5("html"),
+        )
+
+    def revisit(n: int, when, spelling, etag, digest) -> Column:
+        return record(
+            n, when, spelling, "revisit", 304,
+            {"Content-Length": F.lit("0"), "ETag": etag, "Date": when.cast("string"), "Age": F.lit("1")}, digest,
+        )
+
+    none = F.lit(None).cast("string")
+    rows = F.array(
+        full(0, at),
+        F.when(page % 3 == 0, full(1, at + 500_000)),
+        revisit(2, at + 400_000, F.concat(F.lit("HTTP://WWW."), host), F.concat(F.lit("W/"), tag), F.md5("html")),
+        revisit(3, at + 900_000, F.concat(url, F.lit("#later")), tag, none),
+        F.when(page % 5 == 0, revisit(4, at + 900_001, url, F.lit('"other"'), none)),
+        F.when(page % 7 == 0, revisit(5, at - 1, url, tag, F.md5("html"))),
+        F.when(page % 11 == 0, revisit(6, at + 900_002, url, None, none)),
+    )
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    captures = pages.select(F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("r.*")
+    return captures.withColumn("headers", revisits.header_map(F.col("block"))).drop("block")
+
+
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = revisits.resolve_revisits(capture_records(spark, sf_dir))
+    return resolved.select(
+        "record_id", "canonical", "captured", "refers_to", "refers_captured", "state",
+        revisits.header_block(F.col("headers")).alias("header_block"),
+    )
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url")
     judged = url_filter.judge_urls(pages, url_filter.default_labelled(spark))
@@ -135,5 +192,5 @@ def piece_model() -> bytes:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_simhash, op2_html_text, op4_url_filter, op5_quality_rules, op6_toxicity, op7_decontaminate, op8_chat_format, op9_language_id, op10_sentencepiece)
+    f.__name__: f for f in (op1_simhash, op2_html_text, op3_warc_revisits, op4_url_filter, op5_quality_rules, op6_toxicity, op7_decontaminate, op8_chat_format, op9_language_id, op10_sentencepiece)
 }

@@ -4,6 +4,51 @@ from __future__ import annotations
 
 from corpusloom.llm.quality import LEAST_WORDS, MOST_REPEATED_PERCENT, RULES, STOP_WORDS
 
+OP3 = r"""
+WITH p AS (
+  SELECT page_id, url, '"' || md5(html) || '"' AS tag, md5(html) AS digest, length(html) AS size,
+    1700000000 + page_id * 60 AS t0, regexp_replace(url, '^https?://', '') AS host
+  FROM pages),
+c AS (
+  SELECT page_id * 8 AS record_id, url, t0 AS captured, FALSE AS asks, tag, digest, size FROM p
+  UNION ALL SELECT page_id * 8 + 1, url, t0 + 500000, FALSE, tag, digest, size FROM p WHERE page_id % 3 = 0
+  UNION ALL SELECT page_id * 8 + 2, 'HTTP://WWW.' || host, t0 + 400000, TRUE, 'W/' || tag, digest, 0 FROM p
+  UNION ALL SELECT page_id * 8 + 3, url || '#later', t0 + 900000, TRUE, tag, NULL, 0 FROM p
+  UNION ALL SELECT page_id * 8 + 4, url, t0 + 900001, TRUE, '"other"', NULL, 0 FROM p WHERE page_id % 5 = 0
+  UNION ALL SELECT page_id * 8 + 5, url, t0 - 1, TRUE, tag, digest, 0 FROM p WHERE page_id % 7 = 0
+  UNION ALL SELECT page_id * 8 + 6, url, t0 + 900002, TRUE, NULL, NULL, 0 FROM p WHERE page_id % 11 = 0),
+bare AS (
+  SELECT *, regexp_replace(regexp_replace(trim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '#.*$', '') AS u FROM c),
+parts AS (
+  SELECT *, regexp_replace(regexp_replace(
+      translate(regexp_extract(u, '^([^/?]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      ':(80|443)$', ''), '^www\.', '') AS h,
+    regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '^[^?]*\?(.*)$', 1), '&'),
+      lambda q: q <> '' AND NOT regexp_matches(q, '(?i)^(utm_[a-z]*|fbclid|gclid|ref|sessionid)(=|$)'))), '&') AS q
+  FROM bare),
+k AS (SELECT *, h || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical FROM parts),
+found AS (
+  SELECT *, last_value(CASE WHEN NOT asks THEN {'id': record_id, 'captured': captured, 'tag': tag,
+      'digest': digest, 'size': size} END IGNORE NULLS) OVER (
+    PARTITION BY canonical ORDER BY captured, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l
+  FROM k),
+judged AS (
+  SELECT *, CASE WHEN l IS NULL THEN 'missing'
+      WHEN (tag IS NOT NULL AND replace(tag, 'W/', '') <> l.tag) OR (digest IS NOT NULL AND digest <> l.digest)
+        THEN 'mismatch'
+      WHEN tag IS NULL AND digest IS NULL THEN 'no_validator' ELSE 'resolved' END AS state
+  FROM found WHERE asks)
+SELECT record_id, canonical, captured, state,
+  CASE WHEN state IN ('resolved', 'no_validator') THEN l.id END AS refers_to,
+  CASE WHEN state IN ('resolved', 'no_validator') THEN l.captured END AS refers_captured,
+  'age: 1' || chr(10) || CASE WHEN state IN ('resolved', 'no_validator')
+    THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || l.size || chr(10)
+      || 'content-type: text/html' || chr(10) || 'date: ' || captured || chr(10) || 'etag: ' || coalesce(tag, l.tag)
+    ELSE 'content-length: 0' || chr(10) || 'date: ' || captured || coalesce(chr(10) || 'etag: ' || tag, '') END
+    AS header_block
+FROM judged"""
+
 _SPACE = r"[\x20\x09-\x0D]+"
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 _TESTS = " AND ".join(
@@ -91,4 +136,4 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(header + body) AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id"""
 
-ORACLE = {"op5_quality_rules": OP5, "op7_decontaminate": OP7, "op8_chat_format": OP8}
+ORACLE = {"op3_warc_revisits": OP3, "op5_quality_rules": OP5, "op7_decontaminate": OP7, "op8_chat_format": OP8}
