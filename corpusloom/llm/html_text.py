@@ -9,8 +9,8 @@ Pass 1 decides the clear blocks. Blocks inside an element made for other things,
 article of a page that has one, and blocks mostly of links are dropped; long blocks with enough stop words are
 kept. Everything else, short blocks and long ones without stop words, stays open.
 Pass 2 gives an open block the label of its nearest decided neighbours in its own section (an article,
-or the page outside of articles): what both sides agree on, or the nearer one. With none decided the section
-decides: blocks of an article, and those of a page without any article, are kept.
+or the page outside of articles): what both sides agree on, or the nearer one; in an article it takes two
+dropped sides to drop a block. With none decided the block is kept.
 
 Scripts, styles, comments and hidden elements have no text. Character references are decoded, white space
 inside a block becomes one space, a single <br> counts as white space and two in a row end a block. Null
@@ -237,8 +237,11 @@ def second_pass(blocks: list[Block], labels: list[int]) -> list[int]:
                 following = (k, labels[i])
                 continue
             near = [x for x in (before[k], following) if x]
-            # Both sides alike, the only side, or the nearer one; a tie keeps the block.
-            result[i] = min(near, key=lambda x: (abs(x[0] - k), -x[1]))[1] if near else KEEP
+            if blocks[i].place == IN_ARTICLE:
+                result[i] = DROP if [x[1] for x in near] == [DROP, DROP] else KEEP
+            else:
+                # Both sides alike, the only side, or the nearer one; a tie keeps the block.
+                result[i] = min(near, key=lambda x: (abs(x[0] - k), -x[1]))[1] if near else KEEP
     return result
 
 

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import fresh_name
 from corpusloom.llm.grams import gram_hashes, letter_codes
 
 BITS = 14
@@ -191,9 +192,10 @@ def with_language(docs: DataFrame, model: Model | None, text: str = "text") -> D
     guess = F.pandas_udf(run, "lang string, score double")(F.col(text))
     # \p{L} as Java understands it: any letter.
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    df = docs.select(*kept, guess.alias("__guess"), letters.alias("__letters"))
+    guessed, lettered = fresh_name(docs, "__guess"), fresh_name(docs, "__letters")
+    df = docs.select(*kept, guess.alias(guessed), letters.alias(lettered))
     return df.select(
         *kept,
-        F.when(F.col("__letters"), F.col("__guess.lang")).otherwise(UNKNOWN).alias("lang_pred"),
-        F.when(F.col("__letters"), F.col("__guess.score")).otherwise(0.0).alias("score"),
+        F.when(F.col(lettered), F.col(guessed)["lang"]).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(F.col(lettered), F.col(guessed)["score"]).otherwise(0.0).alias("score"),
     )

@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm.common import fresh_name
 from corpusloom.llm.components import components
 from corpusloom.session import checkpointed
 
@@ -256,15 +257,17 @@ def flips(bits: Sequence[int], most: int) -> list[int]:
 
 def _keys(prints: DataFrame, parts: Sequence[Part], probing: bool) -> DataFrame:
     """(part, value, fp): the index entries, or the probes whose value is not below the own one."""
-    cells = []
-    for i, part in enumerate(parts):
+    def values(part: Part) -> Column:
         own = F.col("fp").bitwiseAND(F.lit(_signed(part.mask)))
         if not probing or part.threshold == 0:
-            cells.append(F.array(F.struct(F.lit(i).alias("part"), own.alias("value"))))
-            continue
+            return F.array(own)
         masks = F.array(*[F.lit(m).cast("long") for m in flips(part.bits, part.threshold)])
-        near = F.filter(F.transform(masks, lambda m, own=own: own.bitwiseXOR(m)), lambda v, own=own: v >= own)
-        cells.append(F.transform(near, lambda v, i=i: F.struct(F.lit(i).alias("part"), v.alias("value"))))
+        return F.filter(F.transform(masks, lambda m: own.bitwiseXOR(m)), lambda v: v >= own)
+
+    def named(i: int, part: Part) -> Column:
+        return F.transform(values(part), lambda v: F.struct(F.lit(i).alias("part"), v.alias("value")))
+
+    cells = [named(i, part) for i, part in enumerate(parts)]
     return prints.select("fp", F.explode(F.concat(*cells)).alias("k")).select("k.part", "k.value", "fp")
 
 
@@ -368,14 +371,15 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     The fingerprints are computed once, stored beside the rows. A row is found again by its id and
     fingerprint; of repeated rows one stays.
     """
-    stored = checkpointed(with_fingerprint(docs, text, "__fp"), "fingerprinted")
-    narrow = stored.select(doc_id, F.col("__fp").alias("fp"))
-    classes = near_duplicates(narrow, doc_id, "fp")
+    name = fresh_name(docs, "__fp")
+    stored = checkpointed(with_fingerprint(docs, text, name), "fingerprinted")
+    narrow = stored.select(F.col(doc_id).alias("doc_id"), F.col(name).alias("fp"))
+    classes = near_duplicates(narrow, "doc_id", "fp")
     best = (
-        narrow.groupBy("fp", doc_id).agg(F.lit(1).alias("x")).join(classes, "fp")
+        narrow.distinct().join(classes, "fp")
         .groupBy("root")
-        .agg(F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("fp"))).alias("k"))
-        .select(F.col("k.id").alias("__id"), F.col("k.fp").alias("__fp2"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "fp")).alias("k"))
+        .select(F.col("k.id").alias("best_id"), F.col("k.fp").alias("best_fp"))
     )
-    kept = stored.join(best, stored[doc_id].eqNullSafe(best["__id"]) & (stored["__fp"] == best["__fp2"]))
-    return kept.dropDuplicates([doc_id, "__fp"]).select(*docs.columns)
+    kept = stored.join(best, stored[doc_id].eqNullSafe(best["best_id"]) & (stored[name] == best["best_fp"]), "left_semi")
+    return kept.dropDuplicates([doc_id, name]).select(*docs.columns)

@@ -22,6 +22,8 @@ BUCKETS = 4096
 GRAM_SIZES = (3, 4, 5)
 MOST_LABELLED = 5000
 EPOCHS = 12
+#: The bias without labelled rows: nothing is blocked then.
+NOTHING_LEARNED = -30.0
 
 #: (rule, verdict): a host and the beginning of a path.
 RULES = (
@@ -121,7 +123,7 @@ def train_url_weights(
         raise ValueError(f"the labelled table has more than {MOST_LABELLED} rows")
     bias, weights = 0.0, [0.0] * buckets
     if not rows:
-        return bias, weights
+        return NOTHING_LEARNED, weights
     url = F.col("url")
     examples = labelled.select(
         gram_buckets(host_of(url), path_of(url), buckets).alias("b"), F.col("label").cast("double").alias("y")
