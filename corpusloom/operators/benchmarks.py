@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.joins import null_safe_join
+
 MAX_BROADCAST_GROUPS = 10_000
 _ACCURACY = 10_000
 _MARGIN = 0.001
@@ -49,7 +51,7 @@ def exact_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
     if bracket.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS:
         bracket = F.broadcast(bracket)
     values = df.groupBy(*by, value).agg(F.count(value).alias("__n")).where(F.col(value).isNotNull())
-    placed = values.join(bracket, by)
+    placed = null_safe_join(values, bracket, by)
     low, high = F.col("__q")[0], F.col("__q")[1]
     # everything below the bracket becomes one row per group; values above it are not needed
     near = placed.where(F.col(value) <= high).groupBy(

@@ -46,10 +46,16 @@ def cache_misses(
 def attach_embeddings(
     texts: DataFrame, cache: DataFrame, model: str, text: str = "text"
 ) -> DataFrame:
-    """Add ``embedding`` from a cache that covers all texts."""
+    """Add ``embedding`` from a cache that covers all texts; a text that it does not hold fails the job.
+
+    A null text has a null embedding.
+    """
     vectors = cache.where(F.col("model") == model).select("text_key", "embedding")
     keyed = texts.withColumn("text_key", text_key(F.col(text)))
-    return skew_safe_lookup(keyed, vectors, "text_key").drop("text_key")
+    found = skew_safe_lookup(keyed, vectors, "text_key", "left")
+    missing = F.raise_error(F.concat(F.lit("no embedding for text "), F.col("text_key"))).cast("array<float>")
+    checked = F.when(F.col("text_key").isNotNull() & F.col("embedding").isNull(), missing).otherwise(F.col("embedding"))
+    return found.withColumn("embedding", checked).drop("text_key")
 
 
 def embed_with_cache(

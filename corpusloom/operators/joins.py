@@ -51,6 +51,16 @@ def skew_safe_lookup(
     return found.select(*left.columns, *[F.col(f"__hit.{c}").alias(c) for c in added])
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the keys come from ``left``."""
+    names = {c: f"__right_{c}" for c in on}
+    renamed = right.withColumnsRenamed(names)
+    same = F.lit(True)
+    for c in on:
+        same = same & left[c].eqNullSafe(renamed[names[c]])
+    return left.join(renamed, same, how).drop(*names.values())
+
+
 def unseen(new: DataFrame, stored: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows of ``new`` whose key is not stored yet. Only the key of ``stored`` is read."""
     keys = [on] if isinstance(on, str) else on

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.joins import null_safe_join
+
 RADIX_BITS = 12
 
 
@@ -50,7 +52,7 @@ def _running_total(
     offsets = _running_total(totals, group, 0, amount, base, by, levels - 1).drop(amount)
     return (
         grouped.withColumn(out, local)
-        .join(offsets, [*by, group], "left")
+        .transform(null_safe_join, offsets, [*by, group], "left")
         .withColumn(out, F.col(out) + F.col(base))
         .drop(group, base)
     )
@@ -84,7 +86,7 @@ def random_rank(
     return (
         bucketed.withColumn(out, (F.row_number().over(inside) - 1).cast("bigint"))
         # every bucket has a base; a left join keeps null checks on the draw out of the input
-        .join(bases, [*by, "__bucket"], "left")
+        .transform(null_safe_join, bases, [*by, "__bucket"], "left")
         .withColumn(out, F.col(out) + F.col("__base"))
         .drop("__bucket", "__n", "__base")
     )

@@ -1,4 +1,4 @@
-"""Events of one key in time order.
+"""Events of one key in time order. Null keys are a key of their own.
 
 A window over all events of a key would put a hot key into one task. Here a window covers one key
 and one time bucket; what lies beyond the edges of a bucket comes from a small table with one row
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.joins import null_safe_join
+
 BUCKET_SECONDS = 3600
 
 
@@ -39,7 +41,7 @@ def with_neighbours(
     return (
         bucketed.withColumn("prev_ts", F.lag(ts).over(inside))
         .withColumn("next_ts", F.lead(ts).over(inside))
-        .join(beyond, [key, "__b"])
+        .transform(null_safe_join, beyond, [key, "__b"])
         .withColumn("prev_ts", F.coalesce("prev_ts", "__before"))
         .withColumn("next_ts", F.coalesce("next_ts", "__after"))
         .drop("__b", "__before", "__after")
@@ -108,7 +110,7 @@ def drop_stale_results(
     return (
         bucketed.withColumn("__next", F.last("__edit", ignorenulls=True).over(inside))
         .where(F.col("__req").isNotNull())
-        .join(beyond, [key, "__b"])
+        .transform(null_safe_join, beyond, [key, "__b"])
         .where(next_edit.isNull() | (next_edit > F.col(f"__req.{resp_ts}")))
         .select("__req.*")
     )

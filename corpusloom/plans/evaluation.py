@@ -28,19 +28,16 @@ def bigram_perplexity(
     fraction: float,
     max_length: int,
     stride: int = op.STRIDE,
-    max_docs: int | None = None,
     seed: int = 0,
 ) -> Evaluation:
     """One bigram model per value of ``model``, all scored on the held-out texts of one of them.
 
     The split is the one of the training data, so no model has seen what it is scored on. The
-    corpus is scanned for all models together; ``max_docs`` keeps the first texts by key.
+    corpus is scanned for all models together.
     """
     split = docs.withColumn("__val", is_validation(F.col(key), fraction, seed))
     train = split.where(~F.col("__val"))
     held = split.where(F.col("__val") & (F.col(model) == held_out)).select(key, tokens)
-    if max_docs is not None:
-        held = held.orderBy(key).limit(max_docs)
     sequence = op.joined_sequence(held, key, tokens)
     total = held.agg(F.coalesce(F.sum(F.size(tokens)), F.lit(0))).scalar()
     # a few per cent of the corpus, read three times below

@@ -43,6 +43,7 @@ class Directory(InputPartition):
 class _TreeReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root = os.path.realpath(options["path"])
+        self.single = os.path.isfile(self.root)
         self.skip_hidden = options.get("skiphiddendirs", "false").lower() == "true"
         self.ignored = options.get("ignoreddirregex")
 
@@ -52,11 +53,16 @@ class _TreeReader(DataSourceReader):
         return not (self.ignored and re.match(self.ignored, name))
 
     def _subdirs(self, path: str) -> list[str]:
+        """Folders to enter, without links that lead back to a folder above."""
+        above = os.path.realpath(path)
         with os.scandir(path) as entries:
-            return sorted(e.path for e in entries if e.is_dir() and self._enters(e.name))
+            found = [e.path for e in entries if e.is_dir() and self._enters(e.name)]
+        return sorted(p for p in found if not _leads_back(os.path.realpath(p), above))
 
     def partitions(self) -> list[InputPartition]:
         """Top of the tree, level by level, until there are enough directories to hand out."""
+        if self.single:
+            return [Directory(self.root, deep=False)]
         done, level = [], [self.root]
         while level and len(done) + len(level) < MAX_DRIVER_LISTINGS:
             done += [Directory(path, deep=False) for path in level]
@@ -65,13 +71,24 @@ class _TreeReader(DataSourceReader):
 
     def read(self, partition: Directory) -> Iterator[pa.RecordBatch]:
         rows = []
+        if self.single:
+            stamp = _modified(partition.path)
+            if stamp:
+                yield _batch([(partition.path, os.path.basename(partition.path), stamp)], _LISTING)
+            return
         for folder, subdirs, names in os.walk(partition.path, followlinks=True):
-            subdirs[:] = [d for d in subdirs if partition.deep and self._enters(d)]
+            above = os.path.realpath(folder)
+            subdirs[:] = [
+                d for d in subdirs
+                if partition.deep and self._enters(d) and not _leads_back(os.path.realpath(os.path.join(folder, d)), above)
+            ]
             for name in names:
                 path = os.path.join(folder, name)
                 if not os.path.isfile(path):
                     continue
-                stamp = datetime.fromtimestamp(os.path.getmtime(path), UTC)
+                stamp = _modified(path)
+                if stamp is None:
+                    continue
                 rows.append((os.path.realpath(path), os.path.relpath(path, self.root), stamp))
                 if len(rows) >= BATCH_FILES:
                     yield _batch(rows, _LISTING)
@@ -80,6 +97,19 @@ class _TreeReader(DataSourceReader):
             yield _batch(rows, _LISTING)
 
 
+def _leads_back(target: str, above: str) -> bool:
+    """Is ``target`` the folder ``above`` or one that contains it? Following it would never end."""
+    return above == target or above.startswith(target.rstrip("/") + "/")
+
+
+def _modified(path: str) -> datetime | None:
+    """Time of the last change; None when it can't be read, which leaves the file out."""
+    try:
+        return datetime.fromtimestamp(os.path.getmtime(path), UTC)
+    except (OSError, ValueError, OverflowError):
+        return None
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     files: int

@@ -11,10 +11,11 @@ from corpusloom.sources.filetree import list_files, read_contents, scan_files
 
 
 def read_text_document(spark: SparkSession, path: str) -> DataFrame:
-    """(source, content): every matching file as one document."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("source"), F.col("value").alias("content")
-    )
+    """(source, content): a file, or every file below a folder, as one document.
+
+    Unlike the built-in text reader this reads files whose names begin with '_' or '.'.
+    """
+    return read_contents(list_files(spark, path)).select(F.col("path").alias("source"), "content")
 
 
 def read_source_tree(spark: SparkSession, root: str, suffix: str = ".py") -> DataFrame:

@@ -15,17 +15,22 @@ from corpusloom.sources.filetree import write_files
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
+    """Is there a Parquet table? Only a missing or empty folder counts as none; other errors are raised."""
     try:
         return bool(spark.read.parquet(path).columns)
-    except AnalysisException:
-        return False
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
 
 
 def write_vector_table(rows: DataFrame, path: str, reset: bool = True, key: str = "doc_id") -> None:
     """Write (doc_id, content, embedding, …). ``reset`` replaces the table; otherwise only rows with
     unseen ids are added. Ids contain time and size of a file, so a changed file is new."""
-    if reset or not table_exists(rows.sparkSession, path):
+    if reset:
         rows.write.mode("overwrite").parquet(path)
+    elif not table_exists(rows.sparkSession, path):
+        rows.write.mode("append").parquet(path)
     else:
         stored = rows.sparkSession.read.parquet(path)
         unseen(rows, stored, key).write.mode("append").parquet(path)
@@ -34,7 +39,7 @@ def write_vector_table(rows: DataFrame, path: str, reset: bool = True, key: str
 def load_or_create(rows: DataFrame, path: str) -> DataFrame:
     """The stored table if there is one, otherwise the given rows, stored."""
     if not table_exists(rows.sparkSession, path):
-        rows.write.mode("overwrite").parquet(path)
+        rows.write.mode("append").parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 

@@ -10,14 +10,13 @@ from corpusloom.functions.tokens import hash_embedding
 from corpusloom.operators.embedding import Embedder
 from corpusloom.operators.training import is_validation, shuffle_rows
 from corpusloom.plans.indexing import chunks_of, store_chunks
-from corpusloom.session import scratch_path
 
 
 def index_stream(
     files: DataFrame,
     table_path: str,
     cache_path: str,
-    checkpoint: str | None = None,
+    checkpoint: str,
     model: str = "hash-64",
     embedder: Embedder = hash_embedding,
     **sizes: int,
@@ -34,7 +33,7 @@ def index_stream(
 
     return (
         files.writeStream.foreachBatch(add)
-        .option("checkpointLocation", checkpoint or scratch_path(files.sparkSession, "index"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
@@ -45,13 +44,13 @@ def corpus_stream(
     key: str,
     out: str,
     fraction: float,
+    checkpoint: str,
     seed: int = 0,
-    checkpoint: str | None = None,
 ) -> StreamingQuery:
     """Split a stream of corpus rows and write each micro-batch shuffled, below ``is_validation``.
 
     The split depends on the row key only: no count of rows is kept, and the rows are the same as
-    in a batch run.
+    in a batch run. ``checkpoint`` belongs to ``out``: with another one batch numbers would begin again.
     """
     split = rows.withColumn("is_validation", is_validation(F.col(key), fraction, seed))
 
@@ -62,7 +61,7 @@ def corpus_stream(
 
     return (
         split.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint or scratch_path(rows.sparkSession, "corpus"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )

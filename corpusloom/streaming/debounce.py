@@ -2,7 +2,8 @@
 
 Events wait in state until the watermark has passed them, and are then taken in the order of
 (ts, event_id). So the result does not depend on the order of arrival, as long as rows are not
-later than the watermark allows.
+later than the watermark allows. A row that comes after the watermark has passed its time can change
+nothing any more; it is handed out at once, marked as late and without a time to act.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUTPUT = "user_id bigint, event_id bigint, ts timestamp, fire timestamp"
+OUTPUT = "user_id bigint, event_id bigint, ts timestamp, fire timestamp, late boolean"
 
 
 class _LatestInWindow(StatefulProcessor):
@@ -33,10 +34,13 @@ class _LatestInWindow(StatefulProcessor):
             for frame in rows
             for ts, event_id in zip(frame["us"], frame["event_id"], strict=True)
         ]
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        late = [(event_id, ts, None) for ts, event_id in new if passed > 0 and ts <= passed]
+        new = [r for r in new if passed <= 0 or r[0] > passed]
         if new:
             self.waiting.appendList(new)
             self._wake_at(min(new)[0])
-        yield _frame(key, [])
+        yield _frame(key, late)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         yield _frame(key, self._advance(timerValues.getCurrentWatermarkInMs() * 1000))
@@ -79,14 +83,15 @@ class _LatestInWindow(StatefulProcessor):
         return acting
 
 
-def _frame(key: tuple, acting: list[tuple[int, int, int]]) -> pd.DataFrame:
+def _frame(key: tuple, acting: list[tuple[int, int, int | None]]) -> pd.DataFrame:
     columns = list(zip(*acting, strict=True)) or [[], [], []]
     return pd.DataFrame(
         {
             "user_id": pd.Series([key[0]] * len(acting), dtype="int64"),
             "event_id": pd.Series(columns[0], dtype="int64"),
             "ts": pd.to_datetime(pd.Series(columns[1], dtype="int64"), unit="us"),
-            "fire": pd.to_datetime(pd.Series(columns[2], dtype="int64"), unit="us"),
+            "fire": pd.to_datetime(pd.Series(columns[2], dtype="Int64"), unit="us"),
+            "late": pd.Series([fire is None for fire in columns[2]], dtype="bool"),
         }
     )
 
@@ -94,7 +99,7 @@ def _frame(key: tuple, acting: list[tuple[int, int, int]]) -> pd.DataFrame:
 def latest_in_window_stream(
     events: DataFrame, window_ms: int = 500, lateness: str = "10 seconds", key: str = "user_id"
 ) -> DataFrame:
-    """(user_id, event_id, ts, fire) from a stream of (user_id, event_id, ts).
+    """(user_id, event_id, ts, fire, late) from a stream of (user_id, event_id, ts).
 
     The stream form of :func:`corpusloom.operators.timeline.latest_in_window`.
     """

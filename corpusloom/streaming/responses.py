@@ -46,69 +46,108 @@ def format_step(in_code: bool, buffer: str, final: bool) -> tuple[str, bool, str
 
 
 class _InOrder(StatefulProcessor):
-    """Hands over the tokens of a response in the order of ``seq``; gaps wait in state."""
+    """Hands over the tokens of a response in the order of ``seq``; gaps wait in state.
+
+    A number that was delivered twice counts once, with the largest token if both arrive before it is
+    handed over. With a time-out a response that gets no token for so long is closed as it is.
+    """
+
+    def __init__(self, timeout_ms: int):
+        self.timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.early = handle.getListState("early", _TOKENS)
         self.next_seq = handle.getValueState("next_seq", "seq bigint")
+        self.deadline = handle.getValueState("deadline", "ms bigint")
 
     def close(self) -> None:
         pass
 
-    def ready(self, rows: Iterator[pd.DataFrame]) -> list[tuple[int, str, bool]]:
-        waiting = [tuple(r) for r in self.early.get()]
-        for frame in rows:
-            waiting += zip(frame["seq"], frame["token"], frame["is_end"], strict=True)
-        waiting.sort(key=lambda r: r[0])
-        expected = self.next_seq.get()[0] if self.next_seq.exists() else 0
-        count = 0
-        while count < len(waiting) and waiting[count][0] == expected + count:
-            count += 1
-        self.next_seq.update((expected + count,))
+    def expected(self) -> int:
+        return self.next_seq.get()[0] if self.next_seq.exists() else 0
+
+    def ready(self, frames: list[pd.DataFrame]) -> list[tuple[int, str | None, bool]]:
+        expected = self.expected()
+        waiting: dict[int, tuple[str | None, bool]] = {}
+        rows = [tuple(r) for r in self.early.get()]
+        for frame in frames:
+            rows += zip(frame["seq"], frame["token"], frame["is_end"], strict=True)
+        for seq, token, end in rows:
+            known = waiting.get(int(seq))
+            best = max((t for t in (token, known and known[0]) if isinstance(t, str)), default=None)
+            if seq >= expected:
+                waiting[int(seq)] = (best, bool(end) or bool(known and known[1]))
+        done = []
+        while expected in waiting:
+            done.append((expected, *waiting.pop(expected)))
+            expected += 1
+        self.next_seq.update((expected,))
         self.early.clear()
-        if count < len(waiting):
-            self.early.put([(int(s), t, bool(e)) for s, t, e in waiting[count:]])
-        return [(int(s), t or "", bool(e)) for s, t, e in waiting[:count]]
+        if waiting:
+            self.early.put([(s, t, e) for s, (t, e) in sorted(waiting.items())])
+        return done
+
+    def rest(self) -> tuple[list[tuple[int, str | None, bool]], int]:
+        """Tokens behind a gap, in order, and how many are missing before the last of them."""
+        left = sorted((int(s), t, bool(e)) for s, t, e in self.early.get())
+        missing = left[-1][0] + 1 - self.expected() - len(left) if left else 0
+        return left, missing
+
+    def wait(self, frames: list[pd.DataFrame]) -> None:
+        """Set the time-out anew by the newest token."""
+        if not self.timeout_ms:
+            return
+        last = max(int(f["ts"].max().timestamp() * 1000) for f in frames if len(f)) + self.timeout_ms
+        if not self.deadline.exists() or last > self.deadline.get()[0]:
+            if self.deadline.exists():
+                self.handle.deleteTimer(self.deadline.get()[0])
+            self.deadline.update((last,))
+            self.handle.registerTimer(last)
+
+    def forget(self, *more: object) -> None:
+        if self.deadline.exists():
+            self.handle.deleteTimer(self.deadline.get()[0])
+        for state in (self.early, self.next_seq, self.deadline, *more):
+            state.clear()
 
 
 class _Assemble(_InOrder):
-    def __init__(self, timeout_ms: int):
-        self.timeout_ms = timeout_ms
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.parts = handle.getListState("parts", "text string")
-        self.deadline = handle.getValueState("deadline", "ms bigint")
+        self.count = handle.getValueState("count", "n bigint")
+
+    def _add(self, tokens: list[tuple[int, str | None, bool]]) -> None:
+        if tokens:
+            self.parts.appendValue(("".join(t or "" for _, t, _ in tokens),))
+            before = self.count.get()[0] if self.count.exists() else 0
+            self.count.update((before + sum(t is not None for _, t, _ in tokens),))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         frames = list(rows)
-        tokens = self.ready(iter(frames))
-        if tokens:
-            self.parts.appendValue(("".join(t for _, t, _ in tokens),))
+        tokens = self.ready(frames)
+        self._add(tokens)
         if any(end for _, _, end in tokens):
-            yield self._close_response(key, complete=True)
-        elif self.timeout_ms:
-            last = max(int(f["ts"].max().timestamp() * 1000) for f in frames if len(f))
-            if not self.deadline.exists() or last + self.timeout_ms > self.deadline.get()[0]:
-                if self.deadline.exists():
-                    self.handle.deleteTimer(self.deadline.get()[0])
-                self.deadline.update((last + self.timeout_ms,))
-                self.handle.registerTimer(last + self.timeout_ms)
+            yield self._close_response(key, complete=True, missing=0)
+        else:
+            self.wait(frames)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield self._close_response(key, complete=False)
+        tokens, missing = self.rest()
+        self._add(tokens)
+        yield self._close_response(key, complete=False, missing=missing)
 
-    def _close_response(self, key: tuple, complete: bool) -> pd.DataFrame:
+    def _close_response(self, key: tuple, complete: bool, missing: int) -> pd.DataFrame:
         text = "".join(r[0] for r in self.parts.get())
-        count = self.next_seq.get()[0]
-        if self.deadline.exists():
-            self.handle.deleteTimer(self.deadline.get()[0])
-        for state in (self.parts, self.early, self.next_seq, self.deadline):
-            state.clear()
+        count = self.count.get()[0] if self.count.exists() else 0
+        self.forget(self.parts, self.count)
         return pd.DataFrame(
-            {"response_id": [key[0]], "response": [text], "tokens": [count], "complete": [complete]}
-        )
+            {
+                "response_id": [key[0]], "response": [text], "tokens": [count], "complete": [complete],
+                "missing": [missing],
+            }
+        )
 
 
 class _ToHtml(_InOrder):
@@ -116,50 +155,68 @@ class _ToHtml(_InOrder):
         super().init(handle)
         self.formatter = handle.getValueState("formatter", "in_code boolean, buffer string")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        tokens = self.ready(rows)
-        if not tokens:
-            return
+    def _format(self, key, tokens, final: bool, is_end: bool, missing: int | None) -> pd.DataFrame:
         in_code, buffer = self.formatter.get() if self.formatter.exists() else (False, "")
-        final = tokens[-1][2]
-        html, in_code, rest = format_step(in_code, buffer + "".join(t for _, t, _ in tokens), final)
+        html, in_code, rest = format_step(in_code, buffer + "".join(t or "" for _, t, _ in tokens), final)
+        seq = tokens[-1][0] if tokens else self.expected() - 1
         if final:
-            for state in (self.formatter, self.early, self.next_seq):
-                state.clear()
+            self.forget(self.formatter)
         else:
             self.formatter.update((in_code, rest))
-        yield pd.DataFrame(
-            {"response_id": [key[0]], "seq": [tokens[-1][0]], "html": [html], "is_end": [final]}
-        )
+        return pd.DataFrame(
+            {
+                "response_id": [key[0]], "seq": [seq], "html": [html], "is_end": [is_end],
+                "missing": pd.Series([missing], dtype="Int64"),
+            }
+        )
 
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frames = list(rows)
+        tokens = self.ready(frames)
+        final = bool(tokens) and tokens[-1][2]
+        if not final:
+            self.wait(frames)
+        if tokens:
+            yield self._format(key, tokens, final, final, 0 if final else None)
 
-def assemble_responses_stream(
-    tokens: DataFrame, timeout_ms: int = 0, lateness: str = "10 seconds"
-) -> DataFrame:
-    """(response_id, response, tokens, complete) as soon as a response has its end marker.
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        tokens, missing = self.rest()
+        yield self._format(key, tokens, True, False, missing)
 
-    ``tokens`` has (response_id, seq, token, is_end). With ``timeout_ms`` it also has ``ts``; a
-    response that gets no token for so long is closed as it is, with ``complete`` false.
-    """
+
+TIMEOUT_MS = 600_000
+
+
+def _by_response(tokens: DataFrame, processor: type[_InOrder], schema: str, timeout_ms: int, lateness: str) -> DataFrame:
     columns = ["response_id", "seq", "token", "is_end"]
     if timeout_ms:
-        tokens = tokens.select(*columns, tokens["ts"].cast("timestamp").alias("ts")).withWatermark("ts", lateness)
+        rows = tokens.select(*columns, tokens["ts"].cast("timestamp").alias("ts")).withWatermark("ts", lateness)
     else:
-        tokens = tokens.select(*columns)
-    return tokens.groupBy("response_id").transformWithStateInPandas(
-        _Assemble(timeout_ms),
-        "response_id string, response string, tokens bigint, complete boolean",
-        "append",
-        "EventTime" if timeout_ms else "None",
+        rows = tokens.select(*columns)
+    return rows.groupBy("response_id").transformWithStateInPandas(
+        processor(timeout_ms), schema, "append", "EventTime" if timeout_ms else "None"
     )
 
 
-def stream_to_html(tokens: DataFrame) -> DataFrame:
-    """(response_id, seq, html, is_end): the HTML that each micro-batch adds to a response."""
-    return (
-        tokens.select("response_id", "seq", "token", "is_end")
-        .groupBy("response_id")
-        .transformWithStateInPandas(
-            _ToHtml(), "response_id string, seq bigint, html string, is_end boolean", "append", "None"
-        )
-    )
+def assemble_responses_stream(
+    tokens: DataFrame, timeout_ms: int = TIMEOUT_MS, lateness: str = "10 seconds"
+) -> DataFrame:
+    """(response_id, response, tokens, complete, missing) as soon as a response has its end marker.
+
+    ``tokens`` has (response_id, seq, token, is_end, ts). A response that gets no token for ``timeout_ms`` of
+    event time is closed as it is, with ``complete`` false: tokens behind a gap follow in order, and ``missing``
+    says how many were never seen before the last of them. With ``timeout_ms`` 0 nothing is closed by
+    time and no ``ts`` is needed; a response without end then stays in state.
+    """
+    schema = "response_id string, response string, tokens bigint, complete boolean, missing bigint"
+    return _by_response(tokens, _Assemble, schema, timeout_ms, lateness)
+
+
+def stream_to_html(tokens: DataFrame, timeout_ms: int = TIMEOUT_MS, lateness: str = "10 seconds") -> DataFrame:
+    """(response_id, seq, html, is_end, missing): the HTML that each micro-batch adds to a response.
+
+    ``tokens`` and time-outs as in :func:`assemble_responses_stream`. ``missing`` is null while a response is
+    open; the row that closes one by time has ``is_end`` false and the number of tokens never seen.
+    """
+    schema = "response_id string, seq bigint, html string, is_end boolean, missing bigint"
+    return _by_response(tokens, _ToHtml, schema, timeout_ms, lateness)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import html, text
-from corpusloom.functions.models import echo_tail
+from corpusloom.functions.models import echo
 from corpusloom.operators import completions as op
 from registry.derived import MODELS, SQL_TASKS, table
 from registry.text import _MODELS, _TEMPLATES, _sql_escape, _tasks
@@ -33,7 +33,7 @@ def snippet_fn_model_grid(spark, sf):
 
 def _answers(spark, sf):
     grid = op.snippet_fn_model_grid(_snippets(spark, sf), FUNCTIONS, MODELS)
-    return grid.withColumn("response", echo_tail(F.concat("model_id", F.lit(": "), "prompt")))
+    return grid.withColumn("response", echo(F.concat("model_id", F.lit(": "), "prompt")))
 
 
 def responses_pivot(spark, sf):
@@ -104,12 +104,10 @@ _M = f"models(m) AS (VALUES {_MODELS})"
 _T = f"templates(fn, template) AS (SELECT * FROM (VALUES {_TEMPLATES}) t(fn, template) WHERE fn IN ('explain', 'potential-problems'))"
 _SNIPPETS = "snippets AS (SELECT conv_id || '-' || turn AS snippet_name, text AS code FROM conversations)"
 _ANSWERS = f"""{_M}, {_T}, {_SNIPPETS},
-  answers AS (SELECT snippet_name, fn, m, code, upper(translate(right(m || ': ' || replace(template, '{{code}}', code), 200), 'ß', '?'))
+  answers AS (SELECT snippet_name, fn, m, code, upper(translate(m || ': ' || replace(template, '{{code}}', code), 'ß', '?'))
     AS response FROM snippets CROSS JOIN templates CROSS JOIN models)"""
 _CELL = (
-    "'<td style=\"\">' || m || '<br><div class=\"code\">' || "
-    + _sql_escape("prefix || m || suffix")
-    + " || '</div></td>'"
+    "'<td><h4>' || m || '</h4><pre>' || " + _sql_escape("prefix || m || suffix") + " || '</pre></td>'"
 )
 
 ORACLE = {
@@ -143,9 +141,9 @@ ORACLE = {
           (row_number() OVER (PARTITION BY doc_id ORDER BY m) - 1) // 2 AS row,
           (row_number() OVER (PARTITION BY doc_id ORDER BY m) - 1) % 2 AS col FROM tasks CROSS JOIN models""",
     "completion_report_html": f"""WITH {SQL_TASKS}, {_M}
-        SELECT lang_id, 'task_' || doc_id AS task_name, md5('<h2>task_' || doc_id || '</h2><h3>Task</h3><div class="code task">'
-          || {_sql_escape("prefix")} || '<span class="placeholder">&lt;todo&gt;</span>' || {_sql_escape("suffix")} || '</div>'
-          || '<h3>Completions</h3><table class="completions"><tr>'
+        SELECT lang_id, 'task_' || doc_id AS task_name, md5('<h2>task_' || doc_id || '</h2><pre>'
+          || {_sql_escape("prefix")} || '<span class="placeholder">&lt;todo&gt;</span>' || {_sql_escape("suffix")}
+          || '</pre><table class="answers"><tr>'
           || string_agg(CASE WHEN m = 'runs/ckpt-6000' THEN '</tr><tr>' ELSE '' END || {_CELL}, '' ORDER BY m)
           || '</tr></table>') AS html_md5
         FROM tasks CROSS JOIN models GROUP BY lang_id, doc_id, prefix, suffix""",

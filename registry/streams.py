@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions.common import explode_once
@@ -11,11 +13,12 @@ from corpusloom.streaming.debounce import latest_in_window_stream
 from corpusloom.streaming.editor import drop_stale_results_stream
 from corpusloom.streaming.responses import assemble_responses_stream
 from corpusloom.streaming.responses import stream_to_html as html_stream
-from corpusloom.streaming.run import run_available
+from corpusloom.streaming.run import run_available, with_end
 from corpusloom.session import scratch_path
 from registry.derived import sql_uniform
 
 LATENESS_SECONDS = 10
+FAR = datetime(2200, 1, 1)
 FRACTION = 0.05
 
 
@@ -35,7 +38,10 @@ def _tokens(spark, sf):
         regex_tokens(F.col("text"), STREAM_TOKEN).alias("l"),
     ).withColumn("n", F.size("l"))
     rows = explode_once(lists, F.col("l"), "response_id", "n", pos="seq", value="token")
-    return rows.select("response_id", "seq", "token", (F.col("seq") == F.col("n") - 1).alias("is_end"))
+    return rows.select(
+        "response_id", "seq", "token", (F.col("seq") == F.col("n") - 1).alias("is_end"),
+        F.lit(datetime(2024, 1, 1)).cast("timestamp").alias("ts"),
+    )
 
 
 def assemble_responses_streaming(spark, sf):
@@ -51,24 +57,30 @@ def stream_to_html_streaming(spark, sf):
 
 
 def latest_in_window_streaming(spark, sf):
-    """Everything that is due when the last event has been seen: later times may still change."""
-    events = stream(spark, sf, "events", "event_id", "user_id", "ts")
+    """When the input ends, what waits in state is decided too."""
+    events, end = with_end(stream(spark, sf, "events", "event_id", "user_id", "ts"), "latest", ts=FAR, event_id=-1, user_id=-1)
     acting = latest_in_window_stream(events, 3_600_000, f"{LATENESS_SECONDS} seconds")
-    done = run_available(acting, "latest")
-    return done.select(
+    done = run_available(acting, "latest", end)
+    return done.where(~F.col("late")).select(
         "event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("fire").cast("timestamp_ntz").alias("fire")
     )
 
 
 def drop_stale_results_streaming(spark, sf):
-    """Requests whose fate is known: the watermark is that of the slower stream, here the requests."""
+    """When the inputs end, waiting requests are decided too."""
     events = stream(spark, sf, "events", "event_id", "user_id", "event_type", "ts")
     requests = events.where(F.col("event_type") == "click").withColumn(
         "resp_ts", F.col("ts") + F.expr("interval 10 minutes")
     )
-    edits = stream(spark, sf, "events", "user_id", "ts")
+    requests, end_requests = with_end(requests, "requests", ts=FAR, resp_ts=FAR, event_id=-1, user_id=-1)
+    edits, end_edits = with_end(stream(spark, sf, "events", "user_id", "ts"), "edits", ts=FAR, user_id=-1)
+
+    def end():
+        end_requests()
+        end_edits()
+
     shown = drop_stale_results_stream(requests, edits, "10 minutes", f"{LATENESS_SECONDS} seconds")
-    done = run_available(shown, "shown")
+    done = run_available(shown, "shown", end)
     return done.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
@@ -76,7 +88,7 @@ def corpus_streaming(spark, sf):
     """The split of a stream is the split of the table."""
     out = scratch_path(spark, "corpus-rows")
     rows = stream(spark, sf, "documents", "doc_id", "lang", "source")
-    corpus_stream.corpus_stream(rows, "doc_id", out, FRACTION).awaitTermination()
+    corpus_stream.corpus_stream(rows, "doc_id", out, FRACTION, scratch_path(spark, "corpus-state")).awaitTermination()
     done = spark.read.parquet(out)
     return done.select("doc_id", "lang", "source", F.col("is_validation").cast("boolean").alias("is_validation"))
 
@@ -89,8 +101,6 @@ QUERIES = {
     )
 }
 
-_DUE = f"(SELECT max(ts) - INTERVAL {LATENESS_SECONDS} SECOND FROM events)"
-
 ORACLE = {
     "assemble_responses_streaming": """SELECT conv_id || '-' || turn AS response_id, md5(text) AS response_md5,
           CAST(len(regexp_extract_all(text, '\\S+|\\s+')) AS BIGINT) AS tokens, true AS complete
@@ -100,18 +110,16 @@ ORACLE = {
           md5(replace(left(text, length(text) - length(tail)), chr(10), '<br>' || chr(10)) || tail) AS html_md5
         FROM (SELECT *, regexp_extract(text, '[\\n \\t]$') AS tail FROM conversations
               WHERE role = 'assistant' AND text <> '')""",
-    "latest_in_window_streaming": f"""WITH n AS (SELECT event_id, user_id, ts,
+    "latest_in_window_streaming": """WITH n AS (SELECT event_id, user_id, ts,
             lag(ts) OVER w AS prev_ts, lead(ts) OVER w AS next_ts FROM events
             WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         f AS (SELECT *, CASE WHEN prev_ts IS NULL THEN ts + INTERVAL 1 HOUR
             WHEN ts - prev_ts > INTERVAL 1 HOUR THEN ts ELSE prev_ts + INTERVAL 1 HOUR END AS fire FROM n)
         SELECT event_id, user_id, ts, fire FROM f
-        WHERE (fire = ts OR next_ts IS NULL OR next_ts > fire) AND fire <= {_DUE}""",
-    "drop_stale_results_streaming": f"""SELECT event_id, user_id, ts FROM events r WHERE event_type = 'click'
+        WHERE fire = ts OR next_ts IS NULL OR next_ts > fire""",
+    "drop_stale_results_streaming": """SELECT event_id, user_id, ts FROM events r WHERE event_type = 'click'
         AND NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = r.user_id AND e.ts > r.ts
-          AND e.ts <= r.ts + INTERVAL 10 MINUTE)
-        AND ts + INTERVAL 10 MINUTE <= (SELECT max(ts) - INTERVAL {LATENESS_SECONDS} SECOND FROM events
-          WHERE event_type = 'click')""",
+          AND e.ts <= r.ts + INTERVAL 10 MINUTE)""",
     "corpus_streaming": f"""SELECT doc_id, lang, source, {sql_uniform("v", "doc_id")} < {FRACTION} AS is_validation
         FROM documents""",
 }

@@ -52,7 +52,7 @@ def fim_prompt(spark, sf):
 
 
 def extract_completion(spark, sf):
-    done = F.concat(F.lit("# "), F.substring("prefix", -40, 40))
+    done = F.concat(F.lit("# "), F.col("prefix"))
     response = F.when(
         F.col("doc_id") % 9 == 4, F.concat(F.col("prefix"), F.col("suffix"))
     ).otherwise(fim_text(F.col("prefix"), F.col("suffix"), done))
@@ -63,7 +63,7 @@ def extract_completion(spark, sf):
 def extract_completion_ruby(spark, sf):
     suffix = F.concat(F.lit(" # rest\n  end  \n"), F.col("suffix"))
     answer = F.concat(
-        F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.substring("prefix", -60, 60), F.lit("\n"))),
+        F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.col("prefix"), F.lit("\n"))),
         F.lit("  end\n"), F.col("prefix"),
     )
     found = text.extract_completion(
@@ -166,6 +166,10 @@ def _sql_escape(col: str) -> str:
     )
 
 
+def _sql_breaks(text: str) -> str:
+    return f"replace(replace({text}, chr(10) || chr(10), '</p><p>'), chr(10), '<br/>')"
+
+
 ORACLE = {
     "completion_tasks": f"""WITH {SQL_TASKS}
         SELECT doc_id, lang_id, md5(prefix) AS prefix_md5, md5(suffix) AS suffix_md5 FROM tasks""",
@@ -175,14 +179,14 @@ ORACLE = {
     "fim_prompt": f"""WITH {SQL_TASKS}
         SELECT doc_id, md5({_FIM.format(suffix="suffix")}) AS prompt_md5 FROM tasks""",
     "extract_completion": f"""WITH {SQL_TASKS}
-        SELECT doc_id, CASE WHEN doc_id % 9 = 4 THEN '' ELSE '# ' || right(prefix, 40) END AS completion
+        SELECT doc_id, CASE WHEN doc_id % 9 = 4 THEN '' ELSE '# ' || prefix END AS completion
         FROM tasks""",
     "extract_completion_ruby": f"""WITH {SQL_TASKS}
         SELECT doc_id, md5(CASE
             WHEN lang_id = 'ruby' AND doc_id % 3 = 0 THEN ''
-            WHEN lang_id = 'ruby' THEN right(prefix, 60)
+            WHEN lang_id = 'ruby' THEN prefix
             WHEN doc_id % 3 = 0 THEN '  end' || chr(10) || prefix
-            ELSE right(prefix, 60) || chr(10) || '  end' || chr(10) || prefix END) AS completion_md5
+            ELSE prefix || chr(10) || '  end' || chr(10) || prefix END) AS completion_md5
         FROM tasks""",
     "model_id_fn": f"""WITH models(m) AS (VALUES {_MODELS}),
         s AS (SELECT source, count(*) AS docs FROM documents GROUP BY 1)
@@ -213,10 +217,9 @@ ORACLE = {
           '<span class="placeholder">&lt;todo&gt;</span>')) AS html_md5 FROM todo
         UNION ALL SELECT -1 - page_id AS doc_id, md5({_sql_escape("html")}) AS html_md5 FROM pages""",
     "format_response_html": f"""WITH {SQL_FENCED},
-        b AS (SELECT doc_id, fenced, regexp_extract_all(fenced, '```python([\\s\\S]*?)```', 1) AS blocks,
-            replace(replace(regexp_replace(fenced, '```python[\\s\\S]*?```', '::<-code->::0', 'g'),
-              chr(10) || chr(10), '</p><p>'), chr(10), '<br/>') AS shell FROM fenced)
-        SELECT doc_id, md5('<div style="font-family: monospace"><p>' || CASE WHEN len(blocks) > 0
-          THEN replace(shell, '::<-code->::0', '<pre>' || blocks[1] || '</pre>') ELSE shell END
-          || '</p></div>') AS html_md5 FROM b""",
+        h AS (SELECT doc_id, string_split(fenced, '```python') AS h FROM fenced),
+        p AS (SELECT doc_id, h[1] AS before, string_split(h[2], '```') AS r FROM h)
+        SELECT doc_id, md5('<div style="font-family: monospace"><p>' || {_sql_breaks("before")}
+          || CASE WHEN r IS NULL THEN '' ELSE '<pre>' || r[1] || '</pre>' || {_sql_breaks("r[2]")} END
+          || '</p></div>') AS html_md5 FROM p""",
 }

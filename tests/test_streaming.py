@@ -75,11 +75,11 @@ def test_responses_in_shuffled_batches(spark, tmp_path):
     rows = token_rows(FENCED)
     random.Random(1).shuffle(rows)
     batches = [rows[i::3] for i in range(3)]
-    got = run_available(assemble_responses_stream(parts(spark, tmp_path / "in", batches, TOKENS)), "t1").collect()
+    got = run_available(assemble_responses_stream(parts(spark, tmp_path / "in", batches, TOKENS), timeout_ms=0), "t1").collect()
     assert {r.response_id: r.response for r in got} == {f"r{i}": t for i, t in enumerate(FENCED)}
     assert len(got) == len(FENCED) and all(r.complete for r in got)
 
-    shown = run_available(stream_to_html(parts(spark, tmp_path / "in2", batches, TOKENS)), "t2").collect()
+    shown = run_available(stream_to_html(parts(spark, tmp_path / "in2", batches, TOKENS), timeout_ms=0), "t2").collect()
     html = {}
     for r in sorted(shown, key=lambda r: r.seq):
         html[r.response_id] = html.get(r.response_id, "") + r.html
@@ -187,6 +187,6 @@ def test_index_stream_adds_each_chunk_once(spark, tmp_path):
     rows = [(f"/s/{i}.txt", f"text {i}", ".txt", 6, 1, START) for i in range(4)]
     stream = parts(spark, tmp_path / "in", [rows[:3], rows[2:]], schema)
     table, cache = str(tmp_path / "table"), str(tmp_path / "cache")
-    corpus.index_stream(stream, table, cache).awaitTermination()
+    corpus.index_stream(stream, table, cache, str(tmp_path / "state")).awaitTermination()
     assert sorted(r.path for r in spark.read.parquet(table).collect()) == [r[0] for r in rows]
     assert spark.read.parquet(cache).count() == 4

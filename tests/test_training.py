@@ -117,24 +117,24 @@ def test_markers_are_required(spark):
         op.fim_permute(F.col("t"), F.col("id"), markers=None)
 
 
-def loop_windows(n, length, stride):
-    """Windows of a strided evaluation, one after the other; gives {position: window}."""
-    scored, end_before = {}, 0
-    for number, begin in enumerate(range(0, n, stride)):
-        end = min(begin + length, n)
-        target = min(stride, end - end_before)
-        scored |= {t: number for t in range(end - target, end) if t > begin}
-        end_before = end
-        if end == n:
-            break
-    return scored
-
-
-def test_windows_equal_the_loop(spark):
+def windows_by_sets(n, length, stride):
+    """{position: window}: a position counts in the first window that covers it, among its last ``stride``
+    positions and behind its first one."""
+    begins = [b for b in range(0, n, stride) if b == 0 or b - stride + length < n]
+    spans = [set(range(b, min(b + length, n))) for b in begins]
+    return {
+        t: w
+        for w, span in enumerate(spans)
+        for t in span.difference(*spans[:w])
+        if min(span) < t and max(span) - stride < t
+    }
+
+
+def test_windows_equal_their_sets(spark):
     cases = [(n, length, stride) for n in (1, 2, 7, 16, 33, 64) for length in (4, 8, 16) for stride in (1, 3, 4, 8) if stride <= length]
     for n, length, stride in cases:
         t = spark.range(n).select("id", perplexity.ppl_window(F.col("id"), F.lit(n), length, stride).alias("w"))
-        assert {r.id: r.w for r in t.collect() if r.w is not None} == loop_windows(n, length, stride)
+        assert {r.id: r.w for r in t.collect() if r.w is not None} == windows_by_sets(n, length, stride)
 
 
 def test_perplexity_weighs_windows_equally(spark):
