@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.models import ModelFactory, apply_model
 from corpusloom.functions.prompts import qa_prompt
 from corpusloom.functions.tokens import hash_embedding
 from corpusloom.operators.chunking import char_chunks, number_parts
 from corpusloom.operators.embedding import Embedder
 from corpusloom.operators.joins import skew_safe_lookup
 from corpusloom.operators.retrieval import MAX_BROADCAST_QUERIES, knn, stuff_context
+from corpusloom.session import checkpointed
 
 
 def passages(
@@ -54,6 +56,34 @@ def answer_prompts(
     )
 
 
+def answer_from_table(
+    spark: SparkSession,
+    table_path: str,
+    questions: DataFrame,
+    model: ModelFactory,
+    k: int = 4,
+    metric: str = "l2",
+    embedder: Embedder = hash_embedding,
+) -> DataFrame:
+    """(query_id, question, chunk_ids, prompt, answer) from a stored vector table.
+
+    ``questions`` has (query_id, question). The stored vectors are searched as they are: nothing is split or
+    embedded but the questions. The texts of the hits are fetched by id, then the model answers.
+    """
+    stored = spark.read.parquet(table_path).withColumnRenamed("doc_id", "chunk_id")
+    asked = questions.select("query_id", "question", embedder(F.col("question")).alias("embedding"))
+    hits = knn(asked.select("query_id", "embedding"), stored.select("chunk_id", "embedding"), k, metric, "query_id", "chunk_id")
+    hits = hits.withColumnRenamed("doc_id", "chunk_id")
+    few = questions.limit(MAX_BROADCAST_QUERIES + 1).count() <= MAX_BROADCAST_QUERIES
+    found = checkpointed(with_content(hits, stored.select("chunk_id", "content"), few), "passages")
+    ids = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))).alias("h"))
+    named = ids.select("query_id", F.transform("h", lambda x: x["chunk_id"]).alias("chunk_ids"))
+    prompts = stuff_context(found).join(named, "query_id").join(asked.select("query_id", "question"), "query_id")
+    prompts = prompts.withColumn("prompt", qa_prompt(F.col("context"), F.col("question")))
+    answered = apply_model(prompts, "prompt", model, "answer")
+    return answered.select("query_id", "question", "chunk_ids", "prompt", "answer")
+
+
 def with_content(hits: DataFrame, chunks: DataFrame, few: bool) -> DataFrame:
     """Add ``content`` to (query_id, chunk_id, rank).
 

@@ -13,6 +13,7 @@ from corpusloom.functions.tokens import hash_embedding
 from corpusloom.operators.chunking import chunk_routed, number_parts
 from corpusloom.operators.embedding import Embedder, attach_embeddings, cache_misses
 from corpusloom.operators.joins import unseen
+from corpusloom.session import checkpointed
 from corpusloom.sources import tables
 from corpusloom.sources.filetree import scan_files
 
@@ -79,6 +80,7 @@ def store_chunks(
     spark = chunks.sparkSession
     if not reset and tables.table_exists(spark, table_path):
         chunks = unseen(chunks, spark.read.parquet(table_path), "doc_id")
+    chunks = checkpointed(chunks, "chunks")
     cache = tables.load_embedding_cache(spark, cache_path)
     tables.save_embedding_cache(cache_misses(chunks, cache, model, embedder, "content"), cache_path)
     cache = tables.load_embedding_cache(spark, cache_path)
@@ -102,7 +104,8 @@ def index_source_tree(
     Without ``reset`` only chunks with new ids are embedded and added. ``modified_after`` limits the
     scan to files that changed since then.
     """
-    files = scan_files(spark, root, modified_after=modified_after)
+    # read once: every later step sees the same contents, also if a file changes meanwhile
+    files = checkpointed(scan_files(spark, root, modified_after=modified_after), "scanned")
     chunks, errors = chunks_of(files, **sizes)
     store_chunks(chunks, table_path, cache_path, model, embedder, reset)
     return errors

@@ -4,9 +4,9 @@ A module holds one family: ``QUERIES`` maps a name to a function of (spark, sf_d
 the same name to SQL for DuckDB. Names without SQL are checked by tests on small inputs.
 """
 
-from registry import chunking, completions, editor, evaluation, files, retrieval, streams, text, training
+from registry import chunking, completions, editor, evaluation, files, retrieval, streams, text, training, workflows
 
-MODULES = (files, text, chunking, retrieval, training, evaluation, completions, editor, streams)
+MODULES = (files, text, chunking, retrieval, training, evaluation, completions, editor, streams, workflows)
 
 
 def all_queries() -> dict:
