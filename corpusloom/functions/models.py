@@ -67,7 +67,9 @@ def complete_tasks(
     ``full_response`` says that models return their prompt with the answer behind it.
     """
     prompt = fim_prompt(F.col("prefix"), F.col("suffix"))
-    answered = apply_models(grid.withColumn("prompt", prompt), "prompt", "model_id", factories)
+    # ranges of (model, hash): a task sees one model or two, and a model with many rows has many tasks
+    dealt = grid.withColumn("prompt", prompt).repartitionByRange("model_id", F.xxhash64("prompt"))
+    answered = apply_models(dealt, "prompt", "model_id", factories)
     response = F.col("response") if full_response else F.concat("prompt", "response")
     completion = extract_completion(response, F.col("suffix"), F.col("lang_id"))
     return answered.withColumn("completion", completion).withColumn(

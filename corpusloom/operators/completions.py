@@ -45,12 +45,20 @@ def snippet_fn_model_grid(snippets: DataFrame, functions: list[str], models: lis
     )
 
 
+def _task_keys(df: DataFrame) -> list[str]:
+    """What names a task: its name, and its language where there is one."""
+    return [c for c in ("lang_id", "task_name") if c in df.columns]
+
+
 def stored_results(results: DataFrame) -> DataFrame:
-    """(task_name, task, completions map<model, text>) from rows (task_name, base_name, content)."""
+    """(task_name, task, completions map<model, text>) from rows (task_name, base_name, content).
+
+    With a column lang_id, equal names of two languages are two tasks.
+    """
     is_task = F.col("base_name") == "task"
     model = text.model_id_from_fn(F.col("base_name"))
     entry = F.when(~is_task, F.struct(model.alias("model_id"), F.col("content").alias("completion")))
-    return results.groupBy("task_name").agg(
+    return results.groupBy(*_task_keys(results)).agg(
         F.max(F.when(is_task, F.col("content"))).alias("task"),
         F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("completions"),
     )
@@ -58,7 +66,7 @@ def stored_results(results: DataFrame) -> DataFrame:
 
 def report_grid(completions: DataFrame, columns: int = REPORT_COLUMNS) -> DataFrame:
     """Add the 0-based cell ``row``, ``col`` of each completion: models by name, row by row."""
-    by_name = Window.partitionBy("task_name").orderBy("model_id")
+    by_name = Window.partitionBy(*_task_keys(completions)).orderBy("model_id")
     index = F.row_number().over(by_name) - 1
     return (
         completions.withColumn("__i", index)

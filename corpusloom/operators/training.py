@@ -26,9 +26,10 @@ _BUCKET_BITS = 12
 
 def take_skip(df: DataFrame, key: str, n: int) -> tuple[DataFrame, DataFrame]:
     """(first n rows by key, all others). The key is unique."""
-    first = df.orderBy(key).limit(n)
     border = df.select(key).orderBy(key).limit(n).agg(F.max(key)).scalar()
-    return first, df.where(F.coalesce(F.col(key) > border, F.lit(True)))
+    if border is None:
+        return df.limit(0), df
+    return df.where(F.col(key) <= border), df.where(F.coalesce(F.col(key) > border, F.lit(True)))
 
 
 def is_validation(key: Column, fraction: float = VALIDATION_FRACTION, seed: int = 0) -> Column:
