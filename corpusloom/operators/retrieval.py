@@ -7,7 +7,6 @@ best of what it has seen, so no candidate pair ever becomes a row. Distances are
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -57,7 +56,7 @@ class _Best:
     """The k nearest documents of each query among all blocks added so far."""
 
     def __init__(self, queries: np.ndarray, k: int, metric: str):
-        self.queries, self.k, self.metric = queries, k, metric
+        self.queries, self.k, self.metric, self.slack = queries, k, metric, 0.0
         self.ids = np.empty((len(queries), 0), dtype=object)
         self.dist = np.empty((len(queries), 0))
 
@@ -66,26 +65,50 @@ class _Best:
         for at in range(0, len(ids), step):
             part = slice(at, at + step)
             dist = _distances(self.queries, docs[part], self.metric)
-            same = np.broadcast_to(ids[part], dist.shape)
-            self._keep(np.hstack([self.ids, same]), np.hstack([self.dist, dist]))
-
-    def _keep(self, ids: np.ndarray, dist: np.ndarray) -> None:
-        if ids.shape[1] > self.k:
-            # everything below the k-th distance, then the smallest ids among the ties
-            border = np.partition(dist, self.k - 1, axis=1)[:, self.k - 1 : self.k]
-            index = np.array(
-                [self._smallest(ids[q], dist[q], border[q]) for q in range(len(ids))]
-            )
-            ids, dist = np.take_along_axis(ids, index, 1), np.take_along_axis(dist, index, 1)
-        self.ids, self.dist = ids, dist
-
-    def _smallest(self, ids: np.ndarray, dist: np.ndarray, border: np.ndarray) -> np.ndarray:
-        below = np.flatnonzero(dist < border)
-        ties = np.flatnonzero(dist == border)
-        missing = self.k - len(below)
-        if len(ties) > missing:
-            ties = np.array(heapq.nsmallest(missing, ties, key=ids.__getitem__))
-        return np.concatenate([below, ties])
+            # more than what the fast form of the distance loses
+            squares = (self.queries**2).sum(axis=1).max(initial=0) + (docs[part] ** 2).sum(axis=1).max(initial=0)
+            self.slack = 1e-8 + 1e-12 * squares
+            if self.ids.shape[1] < self.k:
+                touched = np.arange(len(dist))
+            else:
+                # only queries that this block can improve
+                touched = np.flatnonzero(dist.min(axis=1) <= self.dist.max(axis=1) + self.slack)
+            if len(touched):
+                self._merge(touched, ids[part], docs[part], dist[touched])
+
+    def _merge(self, touched: np.ndarray, ids: np.ndarray, docs: np.ndarray, dist: np.ndarray) -> None:
+        old = self.ids.shape[1]
+        every = np.hstack([self.ids[touched], np.broadcast_to(ids, dist.shape)])
+        dist = np.hstack([self.dist[touched], dist])
+        if dist.shape[1] > self.k:
+            # what may be among the nearest by the fast distances, then exactly
+            index = np.argpartition(dist, self.k - 1, axis=1)[:, : self.k]
+            border = np.take_along_axis(dist, index, 1).max(axis=1)
+            chosen = []
+            for q in range(len(dist)):
+                near = np.flatnonzero(dist[q] <= border[q] + self.slack)
+                exact = self._exact(touched[q], near, old, dist[q], docs)
+                order = sorted(range(len(near)), key=lambda j, n=near, e=exact, q=q: (e[j], every[q][n[j]]))[: self.k]
+                chosen.append((every[q][near[order]], exact[order]))
+            new_ids, new_dist = np.array([c[0] for c in chosen], dtype=object), np.array([c[1] for c in chosen])
+        else:
+            new_ids = every
+            new_dist = np.array(
+                [self._exact(touched[q], np.arange(dist.shape[1]), old, dist[q], docs) for q in range(len(dist))]
+            ).reshape(dist.shape)
+        if new_ids.shape[1] != old:
+            self.ids, self.dist = new_ids.reshape(len(touched), -1), new_dist.reshape(len(touched), -1)
+        else:
+            self.ids[touched], self.dist[touched] = new_ids, new_dist
+
+    def _exact(self, query: int, near: np.ndarray, old: int, dist: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Distances by differences: the fast form loses digits, so equal vectors would not be at 0."""
+        out = dist[near].copy()
+        fresh = near >= old
+        if self.metric == "l2" and fresh.any():
+            apart = docs[near[fresh] - old] - self.queries[query]
+            out[fresh] = np.round((apart * apart).sum(axis=1), DIGITS) + 0.0
+        return out
 
 
 def _ranked(candidates: DataFrame, k: int) -> DataFrame:

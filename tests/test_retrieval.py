@@ -150,3 +150,16 @@ def test_token_ids(spark, max_broadcast):
         voc.token_ids(docs, part, "id", max_broadcast=max_broadcast).collect()
     loose = voc.token_ids(docs, part, "id", strict=False, max_broadcast=max_broadcast)
     assert {r.id: r.token_ids for r in loose.collect()} == {1: [1, 0, 1], 2: [], 3: [None]}
+
+
+def test_equal_vectors_far_from_the_origin_are_at_zero(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(50, 8)) * 1e4
+    rows = [(i, [float(x) for x in base[i % 25]]) for i in range(50)]
+    corpus = spark.createDataFrame(rows, "doc_id long, embedding array<double>").repartition(5)
+    queries = corpus.where("doc_id < 25").withColumnRenamed("doc_id", "query_id")
+    for most in (100, 0):
+        got = op.knn(queries, corpus, 2, max_broadcast_queries=most).collect()
+        assert {(r.query_id, r.doc_id, r.distance, r["rank"]) for r in got} == {
+            x for i in range(25) for x in ((i, i, 0.0, 1), (i, i + 25, 0.0, 2))
+        }
