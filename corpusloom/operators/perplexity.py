@@ -69,29 +69,40 @@ def sequence_bigrams(sequence: DataFrame, tokens: str) -> DataFrame:
     return inside.unionByName(ends.join(starts, "t"))
 
 
-def bigram_fit(train: DataFrame, model: str, tokens: str, only: DataFrame | None = None) -> DataFrame:
-    """(model, a, b, n): bigram counts of each model, within documents.
+def fit(train: DataFrame, model: str, tokens: str, only: DataFrame | None = None) -> DataFrame:
+    """(model, a, b, n, followed): one pass over the tokens for all counts of each model.
 
-    ``only`` restricts them to the bigrams (a, b) that are going to be scored, before they are
-    counted; it is broadcast when it is small.
+    A row counts the places where ``b`` follows ``a`` in a document; ``b`` is null at the end of one. With
+    ``only``, the bigrams (a, b) that are going to be scored, all others count under a null ``b`` as well: there
+    ``followed`` says how many of the ``n`` places have a next token. ``only`` is broadcast while it is small.
     """
-    pairs = train.select(F.col(model).alias("model"), F.explode(_pairs(F.col(tokens))).alias("p"))
-    rows = pairs.select("model", F.col("p.0").alias("a"), F.col("p.1").alias("b"))
-    counts = rows.groupBy("model", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    if only is None:
-        return counts
-    if only.limit(MAX_BROADCAST_BIGRAMS + 1).count() <= MAX_BROADCAST_BIGRAMS:
-        few = rows.join(F.broadcast(only), ["a", "b"], "left_semi")
-        return few.groupBy("model", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(only, ["a", "b"], "left_semi")
-
-
-def token_fit(train: DataFrame, model: str, tokens: str) -> DataFrame:
+    sized = train.select(F.col(model).alias("model"), tokens)
+    follower = F.transform(
+        tokens, lambda t, i: F.struct(t.alias("a"), F.get(F.col(tokens), i + 1).alias("b"))
+    )
+    rows = explode_once(sized.withColumn("__f", follower), F.col("__f"), "model", value="f").select(
+        "model", "f.a", "f.b"
+    )
+    followed = F.col("b").isNotNull()
+    if only is not None and only.limit(MAX_BROADCAST_BIGRAMS + 1).count() <= MAX_BROADCAST_BIGRAMS:
+        few = only.select(F.col("a").alias("__a"), F.col("b").alias("__b"))
+        marked = rows.join(F.broadcast(few), (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left")
+        rows = marked.select("model", "a", F.col("__b").alias("__wanted"), "b")
+    else:
+        rows = rows.withColumn("__wanted", F.col("b"))
+    return rows.groupBy("model", "a", F.col("__wanted").alias("b")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(followed.cast("bigint")).alias("followed")
+    )
+
+
+def pairs_of(counts: DataFrame) -> DataFrame:
+    """(model, a, b, n) from the counts of :func:`fit`."""
+    return counts.where("b is not null").select("model", "a", "b", "n")
+
+
+def firsts_of(counts: DataFrame) -> DataFrame:
     """(model, a, n): the vocabulary of each model; n tells how often a token has one behind it."""
-    sized = train.select(F.col(model).alias("model"), tokens, F.size(tokens).alias("size"))
-    rows = explode_once(sized, F.col(tokens), "model", "size", value="a")
-    followed = F.when(F.col("pos") < F.col("size") - 1, 1).otherwise(0)
-    return rows.groupBy("model", "a").agg(F.sum(followed).alias("n"))
+    return counts.groupBy("model", "a").agg(F.sum("followed").alias("n"))
 
 
 def _per_model(counts: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -106,7 +117,7 @@ def bigram_nll(
 ) -> DataFrame:
     """(a, b, model, nll) for each wanted bigram (a, b) and every model, with add-k smoothing.
 
-    ``pairs`` and ``firsts`` are the counts of :func:`bigram_fit` and :func:`token_fit`.
+    ``pairs`` and ``firsts`` are the counts of :func:`fit`, by :func:`pairs_of` and :func:`firsts_of`.
     """
     sizes = firsts.groupBy("model").agg(F.count(F.lit(1)).alias("v"))
     models = sizes.agg(F.sort_array(F.collect_list(F.struct("model", "v")))).scalar()
@@ -129,8 +140,11 @@ def window_nll(
 ) -> DataFrame:
     """(model, window, mean_nll, scored): every model over every window.
 
-    Equal bigrams of a window are counted before the join, so a frequent one is a single row.
+    Equal bigrams of a window are counted before the join, so a frequent one is a single row per window. The
+    table of likelihoods is broadcast while its counted size is small, so frequent bigrams don't meet in one task.
     """
+    if nll.limit(MAX_BROADCAST_BIGRAMS + 1).count() <= MAX_BROADCAST_BIGRAMS:
+        nll = F.broadcast(nll)
     in_window = bigrams.withColumn("window", ppl_window(F.col("t"), n, max_length, stride)).where(
         F.col("window").isNotNull()
     )

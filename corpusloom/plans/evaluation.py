@@ -43,7 +43,8 @@ def bigram_perplexity(
     # a few per cent of the corpus, read three times below
     bigrams = checkpointed(op.sequence_bigrams(sequence, tokens))
     wanted = bigrams.select("a", "b").distinct()
-    pairs = op.bigram_fit(train, model, tokens, only=wanted)
-    nll = op.bigram_nll(wanted, pairs, op.token_fit(train, model, tokens))
+    # the corpus is tokenised once: all counts come from this table
+    counts = checkpointed(op.fit(train, model, tokens, only=wanted))
+    nll = checkpointed(op.bigram_nll(wanted, op.pairs_of(counts), op.firsts_of(counts)))
     windows = op.window_nll(bigrams, total, nll, max_length, stride)
     return Evaluation(nll, windows, op.perplexity(windows))
