@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, language, sentencepiece_bpe, simhash, toxicity
+from corpusloom.llm import decontaminate, language, sentencepiece_bpe, simhash, similar, toxicity
 from corpusloom.llm.common import table
 from corpusloom.llm.queries import digest_of_ids, piece_model
 from corpusloom.session import checkpointed
@@ -34,10 +34,19 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one with the smallest id."""
+    """One document of each class of near-duplicates: the one with the smallest id.
+
+    Near means within 3 bits, as in op1, which is almost the same text: of 200 words with one changed about half of
+    the pairs are that near. ``drop_similar_copies`` finds the others.
+    """
     return simhash.drop_near_duplicates(docs.select(*COLUMNS))
 
 
+def drop_similar_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents no two of which have runs of five words with a Jaccard similarity of 0.8 or more."""
+    return similar.drop_similar(docs.select(*COLUMNS))
+
+
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     benchmark = table(spark, sf_dir, "benchmark", "item_id", "text")
@@ -57,13 +66,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentencepiece", encode_pieces),
 ]
 
+#: With near copies beyond the 3 bits dropped too.
+WIDE_STAGES = [*STAGES[:3], ("similar", drop_similar_copies), *STAGES[3:]]
+
 #: The classifiers, the component search and the merges can't be stated in SQL; tests use plain versions.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, stages: list = STAGES) -> DataFrame:
     """All stages over the documents; what one keeps is stored before the next begins."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for name, stage in stages[:-1]:
         docs = checkpointed(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return stages[-1][1](spark, docs, sf_dir)

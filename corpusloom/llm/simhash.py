@@ -60,24 +60,34 @@ _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 # -- fingerprints ----------------------------------------------------------------------------------
 
 
-def fingerprint_of(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
-    """The fingerprint as an unsigned number.
+def shingle_hashes(text: str | None, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
+    """A hash for each run of words; a shorter text is one run, a text without words has none.
 
-    Words are separated by ASCII white space, A-Z count as a-z. The bit counts are taken from blocks of
-    hashes, so a very long text needs little memory beside its words.
+    Words are separated by ASCII white space, A-Z count as a-z.
     """
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").translate(_UPPER).split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     n = max(1, len(words) - shingle_words + 1)
     line = b" ".join(words)
     view = memoryview(line)
     ends = list(itertools.accumulate(len(w) + 1 for w in words))
     last = ends[shingle_words - 1 :] or ends[-1:]
     first = [0, *ends[: n - 1]]
-    hashes = np.array([xxh64_intdigest(view[a : b - 1], SEED) for a, b in zip(first, last, strict=True)], np.uint64)
+    return np.array([xxh64_intdigest(view[a : b - 1], SEED) for a, b in zip(first, last, strict=True)], np.uint64)
+
+
+def fingerprint_of(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
+    """The fingerprint as an unsigned number.
+
+    The bit counts are taken from blocks of hashes, so a very long text needs little memory beside its words.
+    """
+    hashes = shingle_hashes(text, shingle_words)
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(BITS, np.int64)
     for at in range(0, n, 65536):
         bits = np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

@@ -1,0 +1,126 @@
+"""Documents whose runs of five words are alike: MinHash candidates, every one verified by its exact similarity.
+
+A text's signature has BANDS keys, each made of ROWS minima. Two texts with Jaccard similarity s share a key with
+probability 1 - (1 - s ** ROWS) ** BANDS: 0.9999 at 0.8, more above. Candidates are compared by the sets of
+their shingles, so nothing less similar is ever dropped.
+
+A row is dropped if it is similar to a row before it (smaller doc_id, null ids last) that had not been
+dropped in an earlier round. So no two kept rows are similar, and every dropped row leads to a kept one through
+similar rows.
+
+Keys with up to ``pairwise`` rows are compared pair by pair. Rows of a more crowded key are first compared with
+its first row, round by round, as long as that thins out crowded keys; what is then left is compared pair
+by pair, whatever its size. No candidate is left out.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corpusloom.llm.common import fresh_name
+from corpusloom.llm.simhash import shingle_hashes
+from corpusloom.session import checkpointed
+
+SHINGLE_WORDS = 5
+LEAST_SIMILARITY = 0.8
+BANDS = 24
+ROWS = 5
+PAIRWISE = 32
+#: A round of comparisons with first rows is followed by another if it dropped this share of what it compared.
+WORTH = 0.05
+
+_RANDOM = np.random.default_rng(42)
+_FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = _RANDOM.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def signature_of(hashes: np.ndarray) -> np.ndarray:
+    """The keys of a text with these shingles, as signed numbers; none without shingles."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 2048):
+        block = hashes[at : at + 2048]
+        block = block ^ (block >> np.uint64(32))
+        for k, factor in enumerate(_FACTORS):
+            least[k] = min(least[k], (block * factor).min())
+    least = (least ^ (least >> np.uint64(29))).reshape(BANDS, ROWS)
+    return ((least * _MIX).sum(axis=1, dtype=np.uint64) * np.uint64(31) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets of hashes."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(len(a) + len(b) - both, 1)
+
+
+def _signed(texts: pd.Series) -> pd.DataFrame:
+    sets = [np.unique(shingle_hashes(t, SHINGLE_WORDS)) for t in texts]
+    return pd.DataFrame({"n": np.array([len(s) for s in sets], np.int64), "keys": [signature_of(s) for s in sets]})
+
+
+def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    known: dict[str, np.ndarray] = {}
+
+    def shingles(text: str) -> np.ndarray:
+        if text not in known:
+            if len(known) >= 256:
+                known.clear()
+            known[text] = np.unique(shingle_hashes(text, SHINGLE_WORDS))
+        return known[text]
+
+    return pd.Series([similarity(shingles(x), shingles(y)) >= LEAST_SIMILARITY for x, y in zip(a, b, strict=True)], dtype=bool)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows (k) of the pairs (first, k) that are similar to their first."""
+    alike = F.pandas_udf(_alike, T.BooleanType())
+    both = pairs.join(texts.select(F.col("k").alias("first"), F.col("text").alias("one")), "first").join(texts, "k")
+    return checkpointed(both.where(alike("one", "text")).select("k").distinct(), "similar")
+
+
+def drop_similar(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pairwise: int = PAIRWISE
+) -> DataFrame:
+    """``docs`` without rows that are similar to a kept row before them."""
+    key = fresh_name(docs, "__key")
+    stored = checkpointed(docs.withColumn(key, F.monotonically_increasing_id()), "deduplicated")
+    texts = stored.select(F.col(key).alias("k"), F.col(text).alias("text"))
+    signed = F.pandas_udf(_signed, "n long, keys array<long>")
+    place = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(key).alias("k"))
+    signatures = checkpointed(
+        stored.select(place.alias("o"), signed(F.col(text)).alias("s")).select("o", "s.n", "s.keys"), "signatures"
+    )
+    rows = signatures.select("o", "n", F.explode("keys").alias("key"))
+    shared = checkpointed(rows.groupBy("key").count().where("count > 1").select("key"), "shared")
+    members = checkpointed(rows.join(shared, "key").select("key", "o", "n"), "members")
+    near = F.least("i.n", "j.n") >= LEAST_SIMILARITY * F.greatest("i.n", "j.n")
+
+    def pairs(first: DataFrame) -> DataFrame:
+        found = members.alias("j").join(first.alias("i"), "key").where(F.col("i.o") < F.col("j.o")).where(near)
+        return checkpointed(found.select(F.col("i.o.k").alias("first"), F.col("j.o.k").alias("k")).distinct(), "pairs")
+
+    gone = []
+    while True:
+        crowded = checkpointed(
+            members.groupBy("key")
+            .agg(F.count("*").alias("c"), F.min(F.struct("o", "n")).alias("f"))
+            .where(F.col("c") > pairwise)
+            .select("key", "f.o", "f.n"),
+            "crowded",
+        )
+        if crowded.isEmpty():
+            break
+        tried = pairs(crowded)
+        gone.append(_verified(tried, texts))
+        members = checkpointed(members.join(gone[-1], members["o.k"] == gone[-1]["k"], "left_anti"), "members")
+        if gone[-1].count() < WORTH * tried.count():
+            break
+    gone.append(_verified(pairs(members), texts))
+    for drop in gone:
+        stored = stored.join(drop.withColumnRenamed("k", key), key, "left_anti")
+    return stored.select(*docs.columns)

@@ -1,0 +1,60 @@
+"""Near copies that the fingerprints of three bits miss."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from corpusloom.llm import similar
+
+
+def shingles(text: str) -> set[tuple[str, ...]]:
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard(a: str, b: str) -> float:
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def changed(rng, words: list[str], n: int) -> str:
+    at = set(rng.choice(len(words), n, replace=False).tolist())
+    return " ".join(f"new{rng.integers(1 << 40)}" if i in at else w for i, w in enumerate(words))
+
+
+def made_up(rng, n: int) -> list[str]:
+    return [f"w{i}" for i in rng.integers(0, 5000, n)]
+
+
+def frame(spark, texts: list[str]):
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+
+def test_the_stage_drops_copies_beyond_three_bits_and_keeps_less_similar_texts(spark):
+    rng = np.random.default_rng(1)
+    texts, copies = [], set()
+    for words, changes in ((200, 1), (100, 1), (200, 4), (500, 10), (200, 12)):
+        for _ in range(40):
+            base = made_up(rng, words)
+            texts += [" ".join(base), changed(rng, base, changes)]
+            if jaccard(*texts[-2:]) >= 0.8:
+                copies.add(len(texts) - 1)
+    assert len(copies) >= 140
+    kept = {r.doc_id for r in corpus_pipeline.drop_similar_copies(spark, frame(spark, texts), "").collect()}
+    assert kept == set(range(len(texts))) - copies
+    assert [n for n, _ in corpus_pipeline.WIDE_STAGES if n != "similar"] == [n for n, _ in corpus_pipeline.STAGES]
+
+
+@pytest.mark.parametrize("pairwise", [32, 3])
+def test_crowded_keys_lose_no_similar_pair(spark, pairwise):
+    rng = np.random.default_rng(2)
+    base = made_up(rng, 150)
+    texts = [changed(rng, base, int(n)) for n in rng.integers(1, 12, 150)] + ["", " ", "one two", "One  two", *base[:20]]
+    kept = {r.doc_id for r in similar.drop_similar(frame(spark, texts), pairwise=pairwise).collect()}
+    alike = {(i, j) for j in range(len(texts)) for i in range(j) if shingles(texts[i]) - {()} and jaccard(texts[i], texts[j]) >= 0.8}
+    assert alike and not any(i in kept and j in kept for i, j in alike)
+    least = {j for _, j in alike}
+    assert set(range(len(texts))) - least <= kept
