@@ -39,11 +39,13 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # Element and class names of markup.
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea title noembed noframes".split())
+#: Elements of other languages, which a slash at the end of the tag closes.
+FOREIGN = frozenset("svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure "
@@ -105,7 +107,7 @@ def _place_of(name: str, rest: str, place: int, sticky: bool) -> tuple[int, bool
                 hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
             elif key == "hidden":
                 hidden = True
-            elif value.lower() == "true":
+            elif key == "aria-hidden" and value.lower() == "true":
                 hidden = True
     if name in ("html", "body"):
         return place, sticky, False
@@ -173,6 +175,8 @@ def blocks_of(html: str) -> list[Block]:
                     del stack[k:]
                     break
             continue
+        if name in FOREIGN and (token["rest"] or "").endswith("/"):
+            continue
         if name in RAW:
             closing = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
             at = closing.end() if closing else end

@@ -356,3 +356,14 @@ def test_segments_are_compared_with_the_library():
     pieces = sentencepiece_bpe.Pieces(piece_model())
     assert pieces.differing(["▁the", "x", "▁"], [pieces.merge("▁the"), pieces.merge("x"), pieces.merge("▁")]) is None
     assert pieces.differing(["▁the"], [[1, 2]]) == "▁the"
+
+
+def test_html_reads_whole_attribute_names_and_self_closed_svg():
+    from corpusloom.llm.html_text import main_text
+
+    page = (
+        '<article><p title="the hidden valley">One.</p><p data-hidden="false">Two.</p><div data-id="ad-7">Three.</div>'
+        '<p title="class=ad">Four.</p><p title=\'x\' HIDDEN>no</p><p aria-hidden = "true">no</p><div id=ad>no</div>'
+        '<p>Five <svg class="icon" /> and <math/> six.</p><p><svg><text>no</text></svg>Seven.</p></article>'
+    )
+    assert main_text(page).split("\n") == ["One.", "Two.", "Three.", "Four.", "Five and six.", "Seven."]
