@@ -5,12 +5,13 @@ length, its share of stop words, the share of its characters inside links, wheth
 where it stands: in an article, in an element made for other things (menus, headers, footers, sidebars,
 notices, adverts, forms, reader comments) or in neither.
 
-Pass 1 decides the clear blocks. Blocks inside an element made for other things, blocks outside the
-article of a page that has one, and blocks mostly of links are dropped; long blocks with enough stop words are
-kept. Everything else, short blocks and long ones without stop words, stays open.
+Pass 1 decides the clear blocks. Blocks inside an element made for other things and blocks mostly of links are
+dropped; long blocks with enough stop words are kept, also outside the article of a page that has one. An article
+inside an aside, nav or footer, or named like one, is made for other things. Everything else, short blocks and long ones without stop words, stays open.
 Pass 2 gives an open block the label of its nearest decided neighbours in its own section (an article,
 or the page outside of articles): what both sides agree on, or the nearer one; in an article it takes two
-dropped sides to drop a block. With none decided the block is kept.
+dropped sides to drop a block. With none decided the block is kept, but outside the
+article of a page that has one it is dropped.
 
 Scripts, styles, comments and hidden elements have no text. Character references are decoded, white space
 inside a block becomes one space, a single <br> counts as white space and two in a row end a block. Null
@@ -54,6 +55,9 @@ BLOCKS = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ASIDE = frozenset("nav header footer aside form button select menu dialog".split())
+#: Articles inside of these stand beside the text too.
+HOLDING = frozenset("aside nav footer".split())
+HOLDING_ROLES = frozenset("complementary navigation contentinfo".split())
 ARTICLE = frozenset("article main".split())
 ASIDE_NAMES = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer header masthead banner ad ads "
@@ -91,7 +95,8 @@ IN_ARTICLE, BESIDE, ELSEWHERE = 1, 2, 0
 
 
 def _place_of(name: str, rest: str, place: int, sticky: bool) -> tuple[int, bool, bool]:
-    """(place, sticky, hidden) inside an element: an article frees from menus, but not from comments."""
+    """(place, sticky, hidden) inside an element: an article frees from forms and names of menus, but not from
+    comments, aside, nav and footer."""
     hidden = False
     words: set[str] = set()
     role = ""
@@ -113,12 +118,14 @@ def _place_of(name: str, rest: str, place: int, sticky: bool) -> tuple[int, bool
         return place, sticky, False
     if words & COMMENT_NAMES:
         return BESIDE, True, hidden
+    if name == "article" and words & ASIDE_NAMES:
+        return BESIDE, True, hidden
     if name in ARTICLE or role in ("main", "article"):
         return (place if sticky else IN_ARTICLE), sticky, hidden
     if name == "header" and place == IN_ARTICLE and not words & (ASIDE_NAMES - {"header"}):
         return place, sticky, hidden
     if name in ASIDE or role in ASIDE_ROLES or (name not in HEADINGS and words & ASIDE_NAMES):
-        return BESIDE, sticky, hidden
+        return BESIDE, sticky or name in HOLDING or role in HOLDING_ROLES, hidden
     return place, sticky, hidden
 
 
@@ -209,8 +216,8 @@ def blocks_of(html: str) -> list[Block]:
     return blocks
 
 
-def first_pass(block: Block, has_article: bool) -> int:
-    if block.place == BESIDE or (has_article and block.place == ELSEWHERE):
+def first_pass(block: Block) -> int:
+    if block.place == BESIDE:
         return DROP
     if block.link_chars > MOST_LINK_SHARE * max(len(block.text), 1) and not block.heading:
         return DROP
@@ -219,8 +226,11 @@ def first_pass(block: Block, has_article: bool) -> int:
     return OPEN
 
 
-def second_pass(blocks: list[Block], labels: list[int]) -> list[int]:
-    """Open blocks inherit from the nearest decided blocks of their section that pass 1 judged by content."""
+def second_pass(blocks: list[Block], labels: list[int], undecided: int = KEEP) -> list[int]:
+    """Open blocks inherit from the nearest decided blocks of their section that pass 1 judged by content.
+
+    ``undecided`` is the label outside of articles where no block is decided.
+    """
     by_section: dict[int, list[int]] = {}
     for i, block in enumerate(blocks):
         if block.place != BESIDE:
@@ -245,7 +255,7 @@ def second_pass(blocks: list[Block], labels: list[int]) -> list[int]:
                 result[i] = DROP if [x[1] for x in near] == [DROP, DROP] else KEEP
             else:
                 # Both sides alike, the only side, or the nearer one; a tie keeps the block.
-                result[i] = min(near, key=lambda x: (abs(x[0] - k), -x[1]))[1] if near else KEEP
+                result[i] = min(near, key=lambda x: (abs(x[0] - k), -x[1]))[1] if near else undecided
     return result
 
 
@@ -253,7 +263,7 @@ def main_text(html: str | None) -> str:
     """The kept blocks of a page, one per line."""
     blocks = blocks_of(html or "")
     has_article = any(b.place == IN_ARTICLE for b in blocks)
-    labels = second_pass(blocks, [first_pass(b, has_article) for b in blocks])
+    labels = second_pass(blocks, [first_pass(b) for b in blocks], DROP if has_article else KEEP)
     return "\n".join(b.text for b, label in zip(blocks, labels, strict=True) if label == KEEP)
 
 

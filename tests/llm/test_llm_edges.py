@@ -367,3 +367,16 @@ def test_html_reads_whole_attribute_names_and_self_closed_svg():
         '<p>Five <svg class="icon" /> and <math/> six.</p><p><svg><text>no</text></svg>Seven.</p></article>'
     )
     assert main_text(page).split("\n") == ["One.", "Two.", "Three.", "Four.", "Five and six.", "Seven."]
+
+
+def test_html_keeps_main_text_beside_a_teaser_and_drops_articles_of_asides():
+    from corpusloom.llm.html_text import main_text
+
+    long = "This is the story of the river and of the people who lived at it for more than a hundred years."
+    card = "<article><p>A teaser of the week.</p></article>"
+    assert long in main_text(f'<div class="content"><p>{long}</p><p>{long}</p></div>{card}').split("\n")
+    for tag in ("aside", "nav", "footer"):
+        assert main_text(f"<div><p>{long}</p></div><{tag}>{card}</{tag}>") == long
+    assert main_text(f'<main><p>{long}</p></main><article class="related"><p>{long} Again.</p></article>') == long
+    assert main_text(f"<p>Site name</p><main><p>{long}</p></main><p>Short note</p>") == long
+    assert main_text(f"<form><main><p>{long}</p></main></form>") == long
