@@ -159,6 +159,21 @@ def indexed_tree(spark, sf):
     )
 
 
+def indexed_whole_tree(spark, sf):
+    """Every file of a tree, indexed twice with the default sizes: its chunks are numbered without gaps and have
+    vectors, or the file is among the errors."""
+    root, stored, cache = _tree(spark, sf), scratch_path(spark, "chunks"), scratch_path(spark, "cache")
+    for reset in (True, False):
+        errors = index_source_tree(spark, root, stored, cache, reset=reset)
+    whole = (
+        (F.count("*") == F.max("num_parts")) & (F.count_distinct("part") == F.max("num_parts"))
+        & (F.min("part") == 0) & (F.max("part") == F.max("num_parts") - 1) & (F.min(F.size("embedding")) == 64)
+    )
+    chunks = spark.read.parquet(stored).groupBy("path").agg(whole.alias("settled"))
+    every = chunks.unionByName(errors.select("path", F.col("error").isNotNull().alias("settled")))
+    return every.select(_below(root).alias("rel_path"), "settled")
+
+
 def embedding_cache_roundtrip(spark, sf):
     _, cache = _indexed(spark, sf)
     return tables.load_embedding_cache(spark, cache).select("model", "text_key")
@@ -202,7 +217,7 @@ QUERIES = {
     fn.__name__: fn
     for fn in (
         scan_files_tree, source_tree, text_documents, load_documents_tree, load_documents_split, completion_task_files,
-        snippet_files, completed_tasks, stored_completions, report_pages, indexed_tree, embedding_cache_roundtrip,
+        snippet_files, completed_tasks, stored_completions, report_pages, indexed_tree, indexed_whole_tree, embedding_cache_roundtrip,
         python_blocks, corpus_of_lang, rag_answer_stored,
     )
 }
@@ -238,6 +253,7 @@ ORACLE = {
         CAST(1 AS BIGINT) AS starts, CAST(1 AS BIGINT) AS ends FROM done GROUP BY 1""",
     "indexed_tree": f"""WITH {_PLAIN} SELECT md5(content) AS content_md5, CAST(0 AS BIGINT) AS part,
         CAST(1 AS BIGINT) AS num_parts, 64 AS width FROM plain""",
+    "indexed_whole_tree": f"WITH {SQL_KEPT} SELECT {_REL}, true AS settled FROM kept",
     "embedding_cache_roundtrip": f"""WITH {_PLAIN}
         SELECT DISTINCT 'hash-64' AS model, md5(replace(content, chr(10), ' ')) AS text_key FROM plain""",
     "python_blocks": """SELECT doc_id, unnest(generate_series(0, 3)) AS part, unnest(['import ' || source,
