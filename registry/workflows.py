@@ -16,7 +16,7 @@ from corpusloom.plans.indexing import index_source_tree, load_documents
 from corpusloom.session import scratch_path
 from corpusloom.sources import readers, tables
 from corpusloom.sources.filetree import scan_files, write_files
-from registry.derived import MODELS, SQL_FILES, SQL_KEPT, SQL_TASKS, files_table, table, todo_table
+from registry.derived import MODELS, SQL_FILES, SQL_KEPT, SQL_TASKS, TASK_LANG, files_table, table, todo_table
 from registry.text import _MODELS
 
 
@@ -128,6 +128,21 @@ def stored_completions(spark, sf):
     )
 
 
+def stored_completions_all(spark, sf):
+    """As stored_completions, in every language."""
+    out = _folder(spark, "results")
+    tables.write_results(_completed(spark, sf), out)
+    read = [
+        op.stored_results(readers.read_stored_completions(spark, f"{out}/{lang}")).withColumn("lang_id", F.lit(lang))
+        for lang in TASK_LANG
+    ]
+    stored = functools.reduce(lambda a, b: a.unionByName(b), read)
+    return stored.select("task_name", "lang_id", "task", F.explode("completions")).select(
+        "task_name", "lang_id", F.md5("task").alias("task_md5"), F.col("key").alias("model_id"),
+        F.md5("value").alias("full_code_md5"),
+    )
+
+
 def report_pages(spark, sf):
     out = scratch_path(spark, "report")
     rows = _completed(spark, sf).withColumn("task", F.concat("prefix", F.lit("<todo>"), "suffix"))
@@ -217,7 +232,8 @@ QUERIES = {
     fn.__name__: fn
     for fn in (
         scan_files_tree, source_tree, text_documents, load_documents_tree, load_documents_split, completion_task_files,
-        snippet_files, completed_tasks, stored_completions, report_pages, indexed_tree, indexed_whole_tree, embedding_cache_roundtrip,
+        snippet_files, completed_tasks, stored_completions, stored_completions_all, report_pages, indexed_tree,
+        indexed_whole_tree, embedding_cache_roundtrip,
         python_blocks, corpus_of_lang, rag_answer_stored,
     )
 }
@@ -249,6 +265,8 @@ ORACLE = {
         md5(prefix || completion || suffix) AS full_code_md5 FROM done""",
     "stored_completions": f"""WITH {_DONE} SELECT task_name, md5(prefix || '<todo>' || suffix) AS task_md5, m AS model_id,
         md5(prefix || completion || suffix) AS full_code_md5 FROM done WHERE lang_id = 'rust'""",
+    "stored_completions_all": f"""WITH {_DONE} SELECT task_name, lang_id, md5(prefix || '<todo>' || suffix) AS task_md5,
+        m AS model_id, md5(prefix || completion || suffix) AS full_code_md5 FROM done""",
     "report_pages": f"""WITH {_DONE} SELECT lang_id, CAST(count(DISTINCT task_name) AS BIGINT) AS tasks,
         CAST(1 AS BIGINT) AS starts, CAST(1 AS BIGINT) AS ends FROM done GROUP BY 1""",
     "indexed_tree": f"""WITH {_PLAIN} SELECT md5(content) AS content_md5, CAST(0 AS BIGINT) AS part,
