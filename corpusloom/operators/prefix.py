@@ -3,17 +3,29 @@
 Rows are grouped by the high bits of their (unique) integer order key. Totals of the groups are
 grouped again by higher bits, and so on: every window partition holds at most ``2**RADIX_BITS``
 rows by construction, however the keys are spread, and each level is that many times smaller than
-the one below. Only the narrow (key, amount) rows take part; wide columns join in later.
+the one below.
+
+Keys of any orderable type (texts, several columns, repeated keys) go through ``ordered_totals``:
+sampled splitters cut the order into ranges, each range sums its own rows, and the totals of the
+ranges give every range its base.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.joins import null_safe_join
+from corpusloom.session import checkpointed
 
 RADIX_BITS = 12
+#: Rows that one range of ``ordered_totals`` should hold at most, and at least where there are few.
+MOST_IN_RANGE = 500_000
+LEAST_IN_RANGE = 2_000
+#: Ranges whose bases are broadcast (32 bytes each); more are joined by a shuffle.
+MOST_BROADCAST_RANGES = 100_000
 
 
 def _key_range(df: DataFrame, key: str) -> tuple[int, int]:
@@ -92,3 +104,38 @@ def random_rank(
     )
 
 
+
+
+def ordered_totals(
+    df: DataFrame, order: Sequence[str], amounts: dict[str, str], most_in_range: int = MOST_IN_RANGE
+) -> DataFrame:
+    """``df`` with, for each ``out: amount``, the sum of ``amount`` over all rows before it in the order.
+
+    ``order`` names columns of any orderable type; nulls come first. Rows alike in all of them are told
+    apart by where the scan found them, so a key with most of the rows is cut into ranges like any other.
+    Null amounts count as 0. All columns of ``df`` pass two exchanges, so it should be narrow: keys and
+    amounts; wide columns join in later. Ranges come from Spark's sampled splitters, which changes where
+    they are cut but not the result.
+    """
+    row, cut = "__row", "__range"
+    rows = checkpointed(df.withColumn(row, F.monotonically_increasing_id()), "ordered")
+    n = rows.count()
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, -(-n // most_in_range), min(spread, n // LEAST_IN_RANGE))
+    # The ranges are stored: two plans that dealt the rows by themselves might cut them differently.
+    ranged = checkpointed(
+        rows.repartitionByRange(ranges, *order, row).withColumn(cut, F.spark_partition_id()), "ranges"
+    )
+    totals = ranged.groupBy(cut).agg(*[F.sum(F.coalesce(a, F.lit(0))).alias(out) for out, a in amounts.items()])
+    levels = max(1, -(-ranges.bit_length() // RADIX_BITS))
+    bases = totals
+    for out in amounts:
+        base = _running_total(totals.select(cut, out), cut, 0, out, f"__base_{out}", (), levels)
+        bases = bases.join(base.select(cut, f"__base_{out}"), cut)
+    bases = bases.drop(*amounts)
+    before = Window.partitionBy(cut).orderBy(*order, row).rowsBetween(Window.unboundedPreceding, -1)
+    local = [F.coalesce(F.sum(F.coalesce(a, F.lit(0))).over(before), F.lit(0)).alias(out) for out, a in amounts.items()]
+    summed = ranged.select("*", *local)
+    placed = summed.join(F.broadcast(bases) if ranges <= MOST_BROADCAST_RANGES else bases, cut)
+    whole = {out: F.col(out) + F.col(f"__base_{out}") for out in amounts}
+    return placed.withColumns(whole).select(*df.columns, *amounts)
