@@ -6,19 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import (
+    centroids,
     chat,
     decontaminate,
     html_text,
     language,
+    periodic,
     quality,
     revisits,
     sentencepiece_bpe,
+    sharding,
     simhash,
     similar,
     toxicity,
     url_filter,
 )
-from corpusloom.llm.common import table
+from corpusloom.llm.common import table, words_of
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,6 +201,55 @@ def piece_model() -> bytes:
     return sentencepiece_bpe.read_model(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with words that repeat at the end of every tenth text (drawn by doc_id; a null one never).
+
+    From word a on, word i becomes word a + (i - a) % p.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.col("__words")
+    n = F.size(words)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    unit = F.slice(words, a + 1, p)
+    again = F.slice(F.flatten(F.array_repeat(unit, F.ceil((n - a) / p).cast("int"))), 1, n - a)
+    text = F.when(n > 0, F.array_join(F.concat(F.slice(words, 1, a), again), " ")).otherwise(F.col("text"))
+    return docs.withColumn("__words", F.when(h % 10 == 0, words_of(F.col("text")))).withColumn("text", text).drop("__words")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.with_runs(planted_repeats(table(spark, sf_dir, "documents", "doc_id", "text")))
+    more = lambda r, best: r["length"] * best["period"] > best["length"] * r["period"]
+    none = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    best = F.aggregate("runs", none, lambda b, r: F.when(b.isNull() | more(r, b), r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return centroids.cluster_vectors(vectors, "vec_id", "embedding")
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards by ``bytes``: contiguous in doc_id, cut at equal parts of all bytes."""
+    placed = sharding.balanced_shards(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_simhash, op1_similar, op2_html_text, op3_warc_revisits, op4_url_filter, op5_quality_rules, op6_toxicity, op7_decontaminate, op8_chat_format, op9_language_id, op10_sentencepiece)
+    f.__name__: f for f in (op1_simhash, op1_similar, op2_html_text, op3_warc_revisits, op4_url_filter, op5_quality_rules, op6_toxicity, op7_decontaminate, op8_chat_format, op9_language_id, op10_sentencepiece, op11_periodic_runs, op12_centroid_clusters, op13_shards)
 }

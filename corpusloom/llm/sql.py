@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from corpusloom.llm.centroids import CLUSTERS, COMPONENTS, ROUNDS, SCALE, SEED
 from corpusloom.llm.quality import LEAST_WORDS, MOST_REPEATED_PERCENT, RULES, STOP_WORDS
+from corpusloom.llm.sharding import ROW_COST, SHARDS
 
 OP3 = r"""
 WITH p AS (
@@ -136,4 +138,72 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(header + body) AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id"""
 
-ORACLE = {"op3_warc_revisits": OP3, "op5_quality_rules": OP5, "op7_decontaminate": OP7, "op8_chat_format": OP8}
+_NEAREST = """
+{assigned} AS MATERIALIZED (
+  SELECT r, x, min_by(c, (distance, c)) AS c, min(distance) AS distance
+  FROM (SELECT v.r, v.x, m.c, CAST(list_sum(list_transform(list_zip(v.x, m.x),
+      lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS distance FROM v, {centroids} m) GROUP BY r, x)"""
+# s - (s mod n) is a multiple of n, so the division gives the floor for negative sums too.
+_MOVED = """
+{moved} AS MATERIALIZED (
+  SELECT m.c, coalesce(n.x, m.x) AS x
+  FROM {centroids} m LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x
+    FROM (SELECT c, i, sum(x[i]) AS s, count(*) AS n
+      FROM {assigned}, (SELECT unnest(range(1, {components} + 1)) AS i) GROUP BY c, i) GROUP BY c) n ON m.c = n.c)"""
+
+
+def _rounds() -> str:
+    steps = [
+        text.format(assigned=f"a{k}", centroids=f"m{k}", moved=f"m{k + 1}", components=COMPONENTS)
+        for k in range(ROUNDS)
+        for text in (_NEAREST, _MOVED)
+    ]
+    return ",".join([*steps, _NEAREST.format(assigned="last", centroids=f"m{ROUNDS}")])
+
+
+OP12 = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id,
+    list_transform(embedding, lambda e: CAST(floor({SCALE} * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE len(embedding) = {COMPONENTS}
+    AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {COMPONENTS}),
+m0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY h NULLS LAST, x) - 1 AS INTEGER) AS c, x
+  FROM (SELECT sha256('{SEED}:' || vec_id) AS h, x FROM v ORDER BY h NULLS LAST, x LIMIT {CLUSTERS})),
+{_rounds()},
+t AS (SELECT c, CAST(sum(distance) AS BIGINT) AS s FROM last GROUP BY c)
+SELECT vec_id, a.c AS cluster, distance, t.s AS cluster_inertia,
+  (SELECT CAST(sum(s) AS BIGINT) FROM t) AS inertia, sha256(array_to_string(m.x, ',')) AS centroid_sha256
+FROM last a JOIN v USING (r) JOIN t ON t.c = a.c JOIN m{ROUNDS} m ON m.c = a.c"""
+
+# The checksum goes over the bytes with a table of 256 remainders, made by its rule.
+OP13 = f"""
+WITH c AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc),
+d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + {ROW_COST} AS size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(
+        regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+      lambda x, b: xor(x >> 8, crc[1 + (xor(x, b) & 255)])), 4294967295) AS text_crc32
+  FROM documents, c),
+p AS (
+  SELECT *, coalesce(sum(size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(size) OVER () AS total, row_number() OVER o AS place
+  FROM d WINDOW o AS (ORDER BY doc_id NULLS FIRST, text_crc32, size)),
+s AS (SELECT *, CAST((2 * before + size) * {SHARDS} // (2 * total) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+  place - min(place) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s"""
+
+
+ORACLE = {
+    "op3_warc_revisits": OP3,
+    "op5_quality_rules": OP5,
+    "op7_decontaminate": OP7,
+    "op8_chat_format": OP8,
+    "op12_centroid_clusters": OP12,
+    "op13_shards": OP13,
+}
