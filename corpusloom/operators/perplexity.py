@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.common import explode_once
-from corpusloom.operators.prefix import running_total
+from corpusloom.operators.prefix import running_total, starts_in_order
 
 STRIDE = 512
 SMOOTHING = 0.1
@@ -44,6 +46,28 @@ def joined_sequence(
     return running_total(sized, key, "n_tokens", "start")
 
 
+def joined_in_order(
+    docs: DataFrame, order: Sequence[str], tokens: str, separator: Sequence[str] = ()
+) -> DataFrame:
+    """``joined_sequence`` in the order of columns of any type; keys may repeat and may be null.
+
+    A document is first counted with a separator in front. The one that nothing comes before has none, so all
+    others move up by its length.
+    """
+    gap = F.array(*[F.lit(s) for s in separator]).cast("array<string>")
+    sized = docs.withColumn("n_tokens", F.size(tokens).cast("bigint") + len(separator))
+    placed = starts_in_order(sized, order, "n_tokens", "start")
+    if not separator:
+        return placed
+    first = F.col("start") == 0
+    return placed.select(
+        *docs.drop(tokens).columns,
+        F.when(first, F.col(tokens)).otherwise(F.concat(gap, F.col(tokens))).alias(tokens),
+        F.when(first, F.col("n_tokens") - len(separator)).otherwise(F.col("n_tokens")).alias("n_tokens"),
+        F.when(first, 0).otherwise(F.col("start") - len(separator)).alias("start"),
+    )
+
+
 def _pairs(tokens: Column) -> Column:
     """array<struct<0, 1>> of neighbouring tokens."""
     rest = F.greatest(F.size(tokens) - 1, F.lit(0))

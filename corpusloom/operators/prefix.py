@@ -107,18 +107,27 @@ def random_rank(
 
 
 def ordered_totals(
-    df: DataFrame, order: Sequence[str], amounts: dict[str, str], most_in_range: int = MOST_IN_RANGE
+    df: DataFrame,
+    order: Sequence[str],
+    amounts: dict[str, str],
+    most_in_range: int = MOST_IN_RANGE,
+    row: str | None = None,
 ) -> DataFrame:
     """``df`` with, for each ``out: amount``, the sum of ``amount`` over all rows before it in the order.
 
     ``order`` names columns of any orderable type; nulls come first. Rows alike in all of them are told
     apart by where the scan found them, so a key with most of the rows is cut into ranges like any other.
     Null amounts count as 0. All columns of ``df`` pass two exchanges, so it should be narrow: keys and
-    amounts; wide columns join in later. Ranges come from Spark's sampled splitters, which changes where
-    they are cut but not the result.
+    amounts; wide columns join in later (``starts_in_order``). Ranges come from Spark's sampled splitters, which
+    changes where they are cut but not the result. ``row`` names a unique number of rows that are stored
+    already; without it they are stored with one.
     """
-    row, cut = "__row", "__range"
-    rows = checkpointed(df.withColumn(row, F.monotonically_increasing_id()), "ordered")
+    cut = "__range"
+    if row:
+        rows = df
+    else:
+        row = "__row"
+        rows = checkpointed(df.withColumn(row, F.monotonically_increasing_id()), "ordered")
     n = rows.count()
     spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(1, -(-n // most_in_range), min(spread, n // LEAST_IN_RANGE))
@@ -139,3 +148,15 @@ def ordered_totals(
     placed = summed.join(F.broadcast(bases) if ranges <= MOST_BROADCAST_RANGES else bases, cut)
     whole = {out: F.col(out) + F.col(f"__base_{out}") for out in amounts}
     return placed.withColumns(whole).select(*df.columns, *amounts)
+
+
+def starts_in_order(df: DataFrame, order: Sequence[str], amount: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the sum of ``amount`` over all rows before it in the order.
+
+    The table is stored once with a number for every row. Order, amount and number alone pass the exchanges and
+    windows of ``ordered_totals``; the result comes back to the wide rows by their number, in one join.
+    """
+    number = "__number"
+    rows = checkpointed(df.withColumn(number, F.monotonically_increasing_id()), "rows")
+    placed = ordered_totals(rows.select(number, *order, amount), order, {out: amount}, row=number)
+    return rows.join(placed.select(number, out), number).drop(number)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from corpusloom.functions.common import let
 from corpusloom.functions.rng import draw_bits, uniform
 from corpusloom.functions.text import FIM_MIDDLE, FIM_PREFIX, FIM_SUFFIX
 from corpusloom.functions.tokens import regex_tokens
-from corpusloom.operators.prefix import random_rank, running_total
+from corpusloom.operators.prefix import random_rank, running_total, starts_in_order
 
 # Defaults of the data preparation.
 VALIDATION_FRACTION = 0.005
@@ -193,6 +194,14 @@ def assign_shards(
     ).drop("__chars_before")
 
 
+def shards_in_order(
+    df: DataFrame, order: Sequence[str], n_chars: str, bound: int, out: str = "shard"
+) -> DataFrame:
+    """:func:`assign_shards` in the order of columns of any type; only they and the sizes pass windows."""
+    placed = starts_in_order(df, order, n_chars, "__chars_before")
+    return placed.withColumn(out, F.floor(F.col("__chars_before") / bound).cast("bigint")).drop("__chars_before")
+
+
 def pack_constant_length(
     df: DataFrame,
     key: str,
@@ -217,6 +226,24 @@ def pack_constant_length(
         placed = sized.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     else:
         placed = running_total(sized, key, "__n", "__start", by)
+    return _pieces(placed, seq_length, by)
+
+
+def pack_in_order(
+    df: DataFrame, order: Sequence[str], tokens: str, seq_length: int = SEQ_LENGTH, eos: str = EOS
+) -> DataFrame:
+    """(piece, input_ids, labels) as :func:`pack_constant_length`, in the order of columns of any type.
+
+    Keys may repeat and may be null, which comes first; rows with equal keys follow each other in no promised
+    order. Only keys and sizes pass windows, whatever share of the rows a key or a range of keys has.
+    """
+    ended = df.select(*order, F.concat(F.col(tokens), F.array(F.lit(eos))).alias("__t"))
+    sized = ended.withColumn("__n", F.size("__t").cast("bigint"))
+    return _pieces(starts_in_order(sized, order, "__n", "__start"), seq_length)
+
+
+def _pieces(placed: DataFrame, seq_length: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pieces from (by…, __t, __n, __start): each row sends a slice to every piece it touches."""
     first = F.floor(F.col("__start") / seq_length)
     last = F.floor((F.col("__start") + F.col("__n") - 1) / seq_length)
     touched = placed.select(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators import halo
 from corpusloom.operators import perplexity as op
 from corpusloom.operators.training import is_validation
 from corpusloom.session import checkpointed
@@ -48,3 +50,30 @@ def bigram_perplexity(
     nll = checkpointed(op.bigram_nll(wanted, op.pairs_of(counts), op.firsts_of(counts)))
     windows = op.window_nll(bigrams, total, nll, max_length, stride)
     return Evaluation(nll, windows, op.perplexity(windows))
+
+
+def scorer_perplexity(
+    docs: DataFrame,
+    order: Sequence[str],
+    tokens: str,
+    models: Mapping[str, halo.ScoredModel],
+    separator: Sequence[str] = ("\n\n",),
+    stride: int = op.STRIDE,
+    deal: bool = True,
+) -> DataFrame:
+    """(model, window, mean_nll, scored) of plugged-in models over all documents joined to one sequence.
+
+    Each model has the windows of its own length; models of one length share them. The ranking is
+    ``operators.perplexity.perplexity`` of the result. Documents follow each other by ``order``, columns of any
+    type; a null array counts as no tokens.
+    """
+    filled = docs.select(*order, F.coalesce(F.col(tokens), F.array().cast("array<string>")).alias(tokens))
+    # read once per length of a window and for the total
+    sequence = checkpointed(op.joined_in_order(filled, order, tokens, separator), "sequence")
+    total = sequence.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).scalar()
+    windows = None
+    for length in sorted({m.max_length for m in models.values()}):
+        names = F.array(*[F.lit(name) for name, m in models.items() if m.max_length == length])
+        own = halo.halo_windows(sequence, tokens, total, length, stride).withColumn("model", F.explode(names))
+        windows = own if windows is None else windows.unionByName(own)
+    return halo.score_windows(windows, models, deal)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions.tokens import lower_words
 from corpusloom.operators import benchmarks as bench
 from corpusloom.operators import perplexity as op
-from corpusloom.plans.evaluation import bigram_perplexity
-from registry.derived import SQL_SAMPLES, runs_table, samples_table, sql_uniform, table
+from corpusloom.operators.halo import ScoredModel
+from corpusloom.plans.evaluation import bigram_perplexity, scorer_perplexity
+from registry.derived import SQL_FILES, SQL_SAMPLES, files_table, runs_table, samples_table, sql_uniform, table
 
 LENGTH, STRIDE = 256, 64
 FRACTION = 0.05
@@ -59,6 +63,52 @@ def model_ppl_ranking(spark, sf):
     return ranking.select("model", F.round(F.log("ppl"), 6).alias("log_ppl"), F.round("ppl", 2).alias("ppl"))
 
 
+def joined_by_path(spark, sf):
+    """All files as one sequence in the order of their paths."""
+    files = files_table(spark, sf, spread=True).select("path", lower_words(F.col("content")).alias("tokens"))
+    seq = op.joined_in_order(files, ["path"], "tokens", ["<nl>", "<nl>"])
+    return seq.select("path", "start", "n_tokens")
+
+
+#: Stand-ins for models: windows they look at, and how many unseen tokens they reckon with.
+CACHE_MODELS = {"cache-256-100": (256, 100), "cache-256-2000": (256, 2000), "cache-128-500": (128, 500)}
+
+
+def cache_scorer(unseen: int):
+    """A model that expects what it has read in its window: p = (times read + 1) / (tokens read + unseen)."""
+
+    def score(batch: list[list]) -> list[list[float]]:
+        out = []
+        for tokens in batch:
+            read: dict = {}
+            row = []
+            for i, token in enumerate(tokens):
+                n = read.get(token, 0)
+                row.append(math.log((i + unseen) / (n + 1)))
+                read[token] = n + 1
+            out.append(row)
+        return out
+
+    return score
+
+
+def _scored(spark, sf):
+    models = {
+        name: ScoredModel(functools.partial(cache_scorer, unseen), length)
+        for name, (length, unseen) in CACHE_MODELS.items()
+    }
+    return scorer_perplexity(_docs(spark, sf), ["doc_id"], "tokens", models, ["<nl>"], STRIDE)
+
+
+def scorer_ppl_windows(spark, sf):
+    return _scored(spark, sf).select("model", "window", F.round("mean_nll", 6).alias("mean_nll"), "scored")
+
+
+def scorer_ppl_ranking(spark, sf):
+    ranking = op.perplexity(_scored(spark, sf))
+    return ranking.select("model", F.round(F.log("ppl"), 6).alias("log_ppl"), F.round("ppl", 2).alias("ppl"))
+
+
 def benchmark_summary(spark, sf):
     return bench.benchmark_summary(runs_table(spark, sf)).select(
         "model_name", F.round("time_taken", 4).alias("time_taken"), "num_chars",
@@ -85,7 +135,7 @@ QUERIES = {
     fn.__name__: fn
     for fn in (
         joined_positions, ppl_window_ids, bigram_nll, perplexity_windows, model_ppl_ranking,
-        benchmark_summary, resource_median, melt_memory,
+        benchmark_summary, resource_median, melt_memory, joined_by_path, scorer_ppl_windows, scorer_ppl_ranking,
     )
 }
 
@@ -123,7 +173,35 @@ _SQL_MEDIANS = f"""{SQL_SAMPLES},
       coalesce(median(value) FILTER (metric = 'vram_mb') / 1000, 'nan'::DOUBLE) AS vram_gb
     FROM first WHERE NOT skip GROUP BY model_name)"""
 
+# naive: every model's windows in full, every token counted against all before it in its window
+_SQL_SCORED = f"""{_WORDS},
+  rows AS (SELECT doc_id, unnest(w) AS b, unnest(range(1, len(w) + 1)) AS i FROM docs
+    UNION ALL SELECT doc_id, '<nl>', 0 FROM docs WHERE doc_id > (SELECT min(doc_id) FROM docs)),
+  seq AS (SELECT b, row_number() OVER (ORDER BY doc_id, i) - 1 AS t, count(*) OVER () AS n FROM rows),
+  models(model, len, unseen) AS (VALUES {", ".join(f"('{m}', {a}, {b})" for m, (a, b) in CACHE_MODELS.items())}),
+  wins AS (SELECT model, len, unseen, k, k * {STRIDE} AS s, least(k * {STRIDE} + len, n) AS e, n
+    FROM (SELECT model, len, unseen, n, unnest(range(0, CAST(ceil(n / {STRIDE}) AS BIGINT))) AS k
+      FROM models, (SELECT max(n) AS n FROM seq))),
+  ends AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY model ORDER BY k), 0) AS before FROM wins),
+  used AS (SELECT *, e - least({STRIDE}, e - before) AS f FROM ends WHERE before < n),
+  read AS (SELECT model, k, f, s, t, ln((t - s + unseen) / (row_number() OVER (
+      PARTITION BY model, k, b ORDER BY t)::DOUBLE)) AS nll
+    FROM (SELECT *, unnest(range(s, e)) AS t FROM used) JOIN seq USING (t)),
+  scored AS (SELECT model, k AS win, avg(nll) AS mean_nll, count(*) AS scored FROM read
+    WHERE t >= f AND t > s GROUP BY model, k)"""
+
 ORACLE = {
+    "joined_by_path": f"""WITH {SQL_FILES},
+        n AS (SELECT path, len(regexp_extract_all(lower(content), '[a-z]+')) + CASE WHEN row_number() OVER (ORDER BY path) = 1
+          THEN 0 ELSE 2 END AS n_tokens FROM files)
+        SELECT path, CAST(coalesce(sum(n_tokens) OVER (ORDER BY path
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+          CAST(n_tokens AS BIGINT) AS n_tokens FROM n""",
+    "scorer_ppl_windows": f"""WITH {_SQL_SCORED}
+        SELECT model, win AS window, round(mean_nll, 6) AS mean_nll, scored FROM scored""",
+    "scorer_ppl_ranking": f"""WITH {_SQL_SCORED}
+        SELECT model, round(avg(mean_nll), 6) AS log_ppl, round(exp(avg(mean_nll)), 2) AS ppl
+        FROM scored GROUP BY model""",
     "joined_positions": f"""WITH {_WORDS},
         n AS (SELECT doc_id, len(w) + CASE WHEN row_number() OVER (ORDER BY doc_id) = 1 THEN 0 ELSE 2 END AS n_tokens
           FROM docs)

@@ -10,7 +10,7 @@ from corpusloom.functions.tokens import regex_tokens
 from corpusloom.operators import training as op
 from corpusloom.operators import vocabulary as voc
 from corpusloom.plans.training_data import TrainingConfig, prepare_training_data
-from registry.derived import sql_bits, sql_uniform, table
+from registry.derived import SQL_FILES, files_table, sql_bits, sql_uniform, table
 
 SEQ = 512
 BOUND = 50_000
@@ -103,6 +103,25 @@ def pack_sequences(spark, sf):
     )
 
 
+def _files_by_path(spark, sf):
+    files = files_table(spark, sf, spread=True)
+    return files.select("path", "content", F.length("content").cast("bigint").alias("n_chars"))
+
+
+def pack_by_path(spark, sf):
+    files = _files_by_path(spark, sf).select("path", regex_tokens(F.col("content"), WORD).alias("tokens"))
+    packed = op.pack_in_order(files, ["path"], "tokens", SEQ)
+    return packed.select(
+        "piece", F.md5(F.array_join("input_ids", " ")).alias("ids_md5"),
+        F.md5(F.array_join("labels", " ")).alias("labels_md5"),
+    )
+
+
+def shards_by_path(spark, sf):
+    files = _files_by_path(spark, sf).drop("content")
+    return op.shards_in_order(files, ["path"], "n_chars", BOUND).select("path", "shard")
+
+
 def token_ids(spark, sf):
     words = _words(spark, sf)
     ids = voc.token_ids(words, voc.vocabulary(words), "doc_id")
@@ -125,7 +144,7 @@ QUERIES = {
     for fn in (
         take_skip, train_val_split, train_val_split_exact, corpus_stats, chars_token_ratio, shuffle_order,
         repeat_epochs, fim_permute, fim_permute_truncated, fim_mode_counts, pack_shards, pack_sequences,
-        token_ids, training_sequences,
+        token_ids, training_sequences, pack_by_path, shards_by_path,
     )
 }
 
@@ -181,6 +200,17 @@ ORACLE = {
         SELECT p // {SEQ} AS piece, md5(string_agg(w, ' ' ORDER BY p)) AS ids_md5,
           md5(string_agg(w, ' ' ORDER BY p)) AS labels_md5
         FROM pos GROUP BY 1 HAVING count(*) = {SEQ}""",
+    "pack_by_path": f"""WITH {SQL_FILES},
+        words AS (SELECT path, regexp_extract_all(content, '\\S+') AS tokens FROM files),
+        rows AS (SELECT path, unnest(list_append(tokens, '<eos>')) AS w,
+            unnest(range(1, len(tokens) + 2)) AS i FROM words),
+        pos AS (SELECT w, row_number() OVER (ORDER BY path, i) - 1 AS p FROM rows)
+        SELECT p // {SEQ} AS piece, md5(string_agg(w, ' ' ORDER BY p)) AS ids_md5,
+          md5(string_agg(w, ' ' ORDER BY p)) AS labels_md5
+        FROM pos GROUP BY 1 HAVING count(*) = {SEQ}""",
+    "shards_by_path": f"""WITH {SQL_FILES}
+        SELECT path, CAST(floor(coalesce(sum(length(content)) OVER (ORDER BY path
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {BOUND}::DOUBLE) AS BIGINT) AS shard FROM files""",
     "token_ids": f"""WITH {_WORDS},
         vocab AS (SELECT w, row_number() OVER (ORDER BY {sql_bits("vocab", "w")}, w) - 1 AS id
           FROM (SELECT DISTINCT unnest(tokens) AS w FROM words)),
