@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.aggregators import Aggregator, aggregate
 from corpusloom.operators.joins import null_safe_join
+from corpusloom.operators.quantiles import radix_median
 
 MAX_BROADCAST_GROUPS = 10_000
+#: Rows of a group up to which its bracket (a fiftieth of a per cent and what the sketch errs) is ordered in one window.
+MOST_BRACKETED = 100_000_000
 _ACCURACY = 10_000
 _MARGIN = 0.001
 
@@ -42,13 +46,17 @@ def exact_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
     A quantile sketch brackets the median of each group. Below the bracket rows are only counted;
     the few distinct values inside it are ordered. The built-in exact median keeps all distinct
-    values of a group in the memory of one task.
+    values of a group in the memory of one task. With groups above ``MOST_BRACKETED`` rows, whose brackets would be
+    long too, all medians are found by radix selection.
     """
     bracket = df.groupBy(*by).agg(
         F.percentile_approx(value, [0.5 - _MARGIN, 0.5 + _MARGIN], _ACCURACY).alias("__q"),
         F.count(value).alias("__rows"),
     )
-    if bracket.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS:
+    groups, largest = bracket.agg(F.count(F.lit(1)), F.max("__rows")).first()
+    if (largest or 0) > MOST_BRACKETED:
+        return radix_median(df, by, value)
+    if groups <= MAX_BROADCAST_GROUPS:
         bracket = F.broadcast(bracket)
     values = df.groupBy(*by, value).agg(F.count(value).alias("__n")).where(F.col(value).isNotNull())
     placed = null_safe_join(values, bracket, by)
@@ -77,10 +85,10 @@ SUMMARY_NAMES = {"cpu": "cpu_usage", "gpu": "gpu_usage", "ram_mb": "ram_gb", "vr
 FIRST_SAMPLE_IGNORED = "cpu"
 
 
-def resource_summary(samples: DataFrame, agg: str = "median") -> DataFrame:
+def resource_summary(samples: DataFrame, agg: str | Aggregator = "median") -> DataFrame:
     """One row per model from (model_name, ts, sample_id, metric, value); no samples give NaN.
 
-    ``agg`` is 'median' or the name of any aggregate function. The first CPU sample of a model is
+    ``agg`` is 'median', the name of any aggregate function, or an aggregator of your own. The first CPU sample of a model is
     ignored: it covers the time before the measurement.
     """
     cpu = samples.where(F.col("metric") == FIRST_SAMPLE_IGNORED)
@@ -92,7 +100,10 @@ def resource_summary(samples: DataFrame, agg: str = "median") -> DataFrame:
         ["model_name", "metric", "ts", "sample_id"],
         "left_anti",
     )
-    if agg == "median":
+    if isinstance(agg, Aggregator):
+        summary = aggregate(kept, ["model_name", "metric"], "value", agg, "own")
+        agg = "own"
+    elif agg == "median":
         summary = exact_median(kept, ["model_name", "metric"], "value")
     else:
         summary = kept.groupBy("model_name", "metric").agg(

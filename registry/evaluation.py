@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions.tokens import lower_words
 from corpusloom.operators import benchmarks as bench
 from corpusloom.operators import perplexity as op
+from corpusloom.operators.aggregators import mean_without_extremes
 from corpusloom.operators.halo import ScoredModel
+from corpusloom.operators.quantiles import exact_quantiles
 from corpusloom.plans.evaluation import bigram_perplexity, scorer_perplexity
 from registry.derived import SQL_FILES, SQL_SAMPLES, files_table, runs_table, samples_table, sql_uniform, table
 
@@ -125,6 +127,21 @@ def resource_median(spark, sf):
     return _resources(spark, sf).select("model_name", *[F.round(n, 6).alias(n) for n in names])
 
 
+#: Samples left out on each side.
+EXTREMES = 25
+QUANTILES = (0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0)
+
+
+def resource_trimmed_mean(spark, sf):
+    """The summary by an aggregator that Spark does not have, over its mergeable states."""
+    summary = bench.resource_summary(samples_table(spark, sf), mean_without_extremes(EXTREMES))
+    return summary.select("model_name", *[F.round(n, 6).alias(n) for n in bench.SUMMARY_NAMES.values()])
+
+
+def value_quantiles(spark, sf):
+    return exact_quantiles(samples_table(spark, sf), ["model_name", "metric"], "value", QUANTILES)
+
+
 def melt_memory(spark, sf):
     return bench.melt_memory(_resources(spark, sf)).select(
         "model_name", "type", F.round("memory_gb", 6).alias("memory_gb")
@@ -136,6 +153,7 @@ QUERIES = {
     for fn in (
         joined_positions, ppl_window_ids, bigram_nll, perplexity_windows, model_ppl_ranking,
         benchmark_summary, resource_median, melt_memory, joined_by_path, scorer_ppl_windows, scorer_ppl_ranking,
+        resource_trimmed_mean, value_quantiles,
     )
 }
 
@@ -190,7 +208,26 @@ _SQL_SCORED = f"""{_WORDS},
   scored AS (SELECT model, k AS win, avg(nll) AS mean_nll, count(*) AS scored FROM read
     WHERE t >= f AND t > s GROUP BY model, k)"""
 
+_SQL_TRIMMED = f"""{SQL_SAMPLES},
+  marked AS (SELECT *, metric = 'cpu' AND row_number() OVER (PARTITION BY model_name, metric
+      ORDER BY ts, sample_id) = 1 AS skip FROM samples),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY model_name, metric ORDER BY value) AS place,
+      count(*) OVER (PARTITION BY model_name, metric) AS n FROM marked WHERE NOT skip),
+  means AS (SELECT model_name, metric, avg(value) AS m FROM placed
+    WHERE place > {EXTREMES} AND place <= n - {EXTREMES} GROUP BY ALL)"""
+
 ORACLE = {
+    "resource_trimmed_mean": f"""WITH {_SQL_TRIMMED}
+        SELECT model_name, {", ".join(f"round(coalesce(max(m) FILTER (metric = '{m}') / {s}, 'nan'::DOUBLE), 6) AS {bench.SUMMARY_NAMES[m]}"
+          for m, s in bench.METRICS.items())}
+        FROM samples LEFT JOIN means USING (model_name, metric) GROUP BY model_name""",
+    "value_quantiles": f"""WITH {SQL_SAMPLES},
+        q AS (SELECT unnest({list(QUANTILES)}::DOUBLE[]) AS quantile),
+        placed AS (SELECT model_name, metric, value,
+            row_number() OVER (PARTITION BY model_name, metric ORDER BY value) AS place,
+            count(value) OVER (PARTITION BY model_name, metric) AS n FROM samples WHERE value IS NOT NULL)
+        SELECT model_name, metric, quantile, value FROM placed, q
+        WHERE place = greatest(1, ceil(round(quantile * n, 9)))""",
     "joined_by_path": f"""WITH {SQL_FILES},
         n AS (SELECT path, len(regexp_extract_all(lower(content), '[a-z]+')) + CASE WHEN row_number() OVER (ORDER BY path) = 1
           THEN 0 ELSE 2 END AS n_tokens FROM files)
