@@ -9,10 +9,12 @@ extended by up to 5 words to each side, which reaches every 10-word window aroun
 An item of fewer than 10 words is one window. For each such length in the benchmark (9 at most) the
 documents' grams of that length join the same way, without winnowing.
 
-Documents stay in their scan tasks: positions are exploded, filtered and joined inside one stage, and only
-hits and one row per document are exchanged. The fingerprints of the benchmark are broadcast when
-their counted number is at most ``MOST_BROADCAST``; beyond it kept grams are joined by a shuffle and carry
-the 15 words around them.
+Documents stay in their scan tasks: positions are exploded and joined inside one stage, and only hits and one
+row per document are exchanged. A word is hashed once, a gram is the hash of its words' hashes. The
+fingerprints of the benchmark are broadcast when their counted number is at most ``MOST_BROADCAST``; then the
+join looks up the bare hash of every gram, and only where the benchmark keeps the same hash it is tested
+whether the document keeps the gram too. Beyond that number the documents' grams are thinned first, and the
+kept ones are joined by a shuffle and carry the 15 words around them.
 
 Null and empty texts have no words and no hits. Documents are told apart by doc_id and text; equal rows
 are judged once and given back as often as they occur. Items without words are ignored, an item without
@@ -42,15 +44,15 @@ def benchmark_words(text: Column) -> Column:
     return words_of(ascii_lower(text), SEPARATORS)
 
 
-def _gram(at: Callable[[int], Column], size: int) -> Column:
-    return F.xxhash64(*[at(k) for k in range(size)])
+def _marks(words: Column) -> Column:
+    """A hash for every word."""
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _gram_hashes(words: Column) -> Column:
-    grams = F.transform(
-        F.sequence(F.lit(0), F.size(words) - GRAM), lambda i: _gram(lambda k: F.get(words, i + k), GRAM)
-    )
-    return F.when(F.size(words) >= GRAM, grams).otherwise(F.array().cast("array<bigint>"))
+def _gram(marks: Column, p: Column, size: int, short: bool = False) -> Column:
+    """The hash of the ``size`` words from ``p`` on; null unless all are there. Grams and short items differ."""
+    whole = F.xxhash64(F.lit(size if short else 0), *[F.get(marks, p + k) for k in range(size)])
+    return F.when((p >= 0) & (p + size <= F.size(marks)), whole)
 
 
 def _run(same: Callable[[int], Column], most: int) -> Column:
@@ -61,11 +63,11 @@ def _run(same: Callable[[int], Column], most: int) -> Column:
     return result.otherwise(most)
 
 
-def _kept(hashes: Column, p: Column) -> Column:
+def _kept(marks: Column, p: Column) -> Column:
     """Is the gram at ``p`` the least of some ``NEIGHBOURS`` that stand side by side?"""
-    own = F.get(hashes, p)
-    left = _run(lambda k: F.get(hashes, p - k) >= own, NEIGHBOURS - 1)
-    right = _run(lambda k: F.get(hashes, p + k) >= own, NEIGHBOURS - 1)
+    own = _gram(marks, p, GRAM)
+    left = _run(lambda k: _gram(marks, p - k, GRAM) >= own, NEIGHBOURS - 1)
+    right = _run(lambda k: _gram(marks, p + k, GRAM) >= own, NEIGHBOURS - 1)
     return left + right >= NEIGHBOURS - 1
 
 
@@ -77,17 +79,17 @@ def _around(words: Column, p: Column) -> Column:
 def benchmark_fingerprints(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(size, hash, item, around): kept grams of long items with size 0, whole items with their size."""
     items = benchmark.select(F.col(item_id).alias("item"), benchmark_words(F.col(text)).alias("words"))
-    n = F.size("words")
-    long = items.where(n >= WINDOW).select("item", "words", _gram_hashes(F.col("words")).alias("hashes"))
-    at = long.select("item", "words", "hashes", F.explode(F.sequence(F.lit(0), F.size("hashes") - 1)).alias("p"))
-    kept = at.where(_kept(F.col("hashes"), F.col("p"))).select(
-        F.lit(0).alias("size"), F.get("hashes", F.col("p")).alias("hash"), "item",
+    items = items.withColumn("marks", _marks(F.col("words")))
+    n, marks = F.size("words"), F.col("marks")
+    at = items.where(n >= WINDOW).select("*", F.explode(F.sequence(F.lit(0), n - GRAM)).alias("p"))
+    kept = at.where(_kept(marks, F.col("p"))).select(
+        F.lit(0).alias("size"), _gram(marks, F.col("p"), GRAM).alias("hash"), "item",
         _around(F.col("words"), F.col("p")).alias("around"),
     )
     short = items.where((n > 0) & (n < WINDOW))
     whole = F.lit(None).cast("bigint")
     for size in range(1, WINDOW):
-        whole = F.when(n == size, _gram(lambda k: F.get("words", F.lit(k)), size)).otherwise(whole)
+        whole = F.when(n == size, _gram(marks, F.lit(0), size, True)).otherwise(whole)
     return kept.unionByName(
         short.select(n.alias("size"), whole.alias("hash"), "item", _around(F.col("words"), F.lit(0)).alias("around"))
     )
@@ -110,36 +112,33 @@ def contamination(
         F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"),
         benchmark_words(F.col(text)).alias("words"),
     )
-    hashed = words.select("*", _gram_hashes(F.col("words")).alias("hashes"))
+    marked = words.select("*", _marks(F.col("words")).alias("marks"))
     # Position -1 stands for the document itself: one row that is always kept.
-    last = F.size("words") - 1 if short else F.size("hashes") - 1
-    at = hashed.select("*", F.explode(F.sequence(F.lit(-1), F.greatest(last, F.lit(-1)))).alias("p"))
-    p = F.col("p")
-    gram = F.when((p >= 0) & (p < F.size("hashes")) & _kept(F.col("hashes"), p), F.get("hashes", p))
+    p, marks = F.col("p"), F.col("marks")
+    at = marked.select("*", F.explode(F.sequence(F.lit(-1), F.size("words") - 1)).alias("p"))
+    gram = _gram(marks, p, GRAM)
+    if not small:
+        gram = F.when(_kept(marks, p), gram)
     if short:
-        cells = [F.struct(F.lit(0).alias("size"), gram.alias("hash"))]
-        for size in short:
-            fits = (p >= 0) & (p + size <= F.size("words"))
-            whole = F.when(fits, _gram(lambda k: F.get("words", p + k), size))
-            cells.append(F.struct(F.lit(size).alias("size"), whole.alias("hash")))
-        at = at.select("*", F.explode(F.array(*cells)).alias("cell")).select(
-            "doc_id", "text_hash", "words", "p", "cell.size", "cell.hash"
-        )
+        hashes = F.array(gram, *[_gram(marks, p, size, True) for size in short])
+        none = F.array(F.lit(None).cast("bigint"))
+        at = at.select("*", F.explode(F.when(p >= 0, hashes).otherwise(none)).alias("hash"))
     else:
-        at = at.select("doc_id", "text_hash", "words", "p", F.lit(0).alias("size"), gram.alias("hash"))
-    document = (F.col("p") == -1) & (F.col("size") == 0)
+        at = at.withColumn("hash", gram)
+    document = p == -1
     at = at.where(document | F.col("hash").isNotNull())
     if small:
         prints = F.broadcast(prints)
-        here = lambda o: F.get("words", F.col("p") + o)
+        here = lambda o: F.get("words", p + o)
     else:
-        at = at.withColumn("near", F.when(F.col("p") >= 0, _around(F.col("words"), F.col("p"))))
-        at = at.withColumn("words", F.size("words"))
+        at = at.withColumn("near", F.when(p >= 0, _around(F.col("words"), p)))
+        at = at.withColumn("words", F.size("words")).drop("marks")
         here = lambda o: F.get("near", F.lit(o + REACH))
     n_words = F.size("words") if small else F.col("words")
 
-    right = prints.withColumnsRenamed({"size": "size2", "hash": "hash2"})
-    found = at.join(right, (F.col("hash") == F.col("hash2")) & (F.col("size") == F.col("size2")), "left")
+    right = prints.withColumnRenamed("hash", "hash2")
+    found = at.join(right, F.col("hash") == F.col("hash2"), "left")
+    found = found.where(document | F.col("size").isNotNull())
     there = lambda o: F.get("around", F.lit(o + REACH))
     same = lambda o: here(o) == there(o)
     core = same(0)
@@ -150,15 +149,18 @@ def contamination(
     whole = F.lit(True)
     for k in range(WINDOW - 1):
         whole = whole & ((F.lit(k) >= F.col("size")) | F.coalesce(same(k), F.lit(False)))
-    is_hit = F.when(F.col("size") == 0, core & (left + right_run + GRAM >= WINDOW)).otherwise(whole)
+    reached = core & (left + right_run + GRAM >= WINDOW)
+    if small:
+        reached = reached & _kept(marks, p)
+    is_hit = F.coalesce(F.when(F.col("size") == 0, reached).otherwise(whole), F.lit(False))
     span = F.when(
         F.col("size") == 0,
         F.struct((p - left).alias("start"), (p + GRAM + right_run).alias("end")),
     ).otherwise(F.struct(p.alias("start"), (p + F.col("size")).alias("end")))
-    hit = F.col("size2").isNotNull() & F.coalesce(is_hit, F.lit(False))
-    rows = found.where(document | hit).select(
+    hit = F.col("size").isNotNull() & is_hit
+    rows = found.select(
         "doc_id", "text_hash", n_words.alias("n_words"), document.alias("document"),
-        F.when(~document, span).alias("span"), F.when(~document, F.col("item")).alias("item"),
+        F.when(hit, span).alias("span"), F.when(hit, F.col("item")).alias("item"),
     )
     judged = rows.groupBy("doc_id", "text_hash", "n_words").agg(
         F.count(F.when(F.col("document"), 1)).cast("int").alias("copies"),
