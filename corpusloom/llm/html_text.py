@@ -7,7 +7,14 @@ notices, adverts, forms, reader comments) or in neither.
 
 Pass 1 decides the clear blocks. Blocks inside an element made for other things and blocks mostly of links are
 dropped; long blocks with enough stop words are kept, also outside the article of a page that has one. An article
-inside an aside, nav or footer, or named like one, is made for other things. Everything else, short blocks and long ones without stop words, stays open.
+inside an aside, nav or footer, or named like one, is made for other things. Everything else, short blocks and long
+ones without stop words, stays open.
+
+Forms and names of classes are evidence, not a verdict: a class counts when its head noun is a name of such elements
+(``cookie-banner``, but not ``no-sidebar`` or ``social-science``), and on a page without article the blocks
+beside the text for such reasons only are judged like any other when their long blocks with stop words hold more
+text than all that is kept without them.
+
 Pass 2 gives an open block the label of its nearest decided neighbours in its own section (an article,
 or the page outside of articles): what both sides agree on, or the nearer one; in an article it takes two
 dropped sides to drop a block. With none decided the block is kept, but outside the
@@ -16,15 +23,17 @@ article of a page that has one it is dropped.
 Scripts, styles, comments and hidden elements have no text. Character references are decoded, white space
 inside a block becomes one space, a single <br> counts as white space and two in a row end a block. Null
 and empty pages, and pages without text, give an empty text. Broken markup never fails: an unclosed
-script or comment lasts to the end, an unclosed tag at the end is dropped, a stray < is text. Pages of
-any length take one linear pass. Repeated rows are read each.
+script or comment lasts to the end, an unclosed tag at the end is dropped, a stray < is text. A nav, header or
+aside that is never closed ends where an article or main element begins, a link that is not closed before the next
+one ends with its block. Pages of any length take one linear pass. Repeated rows are read each, an empty table gives
+an empty one, and a column named like the result is replaced.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from html import unescape
 
 import pandas as pd
@@ -42,6 +51,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_LINK = re.compile(r"<(/?)a(?=[\s/>])", re.IGNORECASE)
 
 # Element and class names of markup.
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea title noembed noframes".split())
@@ -57,6 +67,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ASIDE = frozenset("nav header footer aside form button select menu dialog".split())
 #: Articles inside of these stand beside the text too.
 HOLDING = frozenset("aside nav footer".split())
+#: A page that does not close these ends them where its article begins.
+UNCLOSED = ("nav", "header", "aside")
 HOLDING_ROLES = frozenset("complementary navigation contentinfo".split())
 ARTICLE = frozenset("article main".split())
 ASIDE_NAMES = frozenset(
@@ -65,6 +77,14 @@ ASIDE_NAMES = frozenset(
     "notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing "
     "social related recommended recommendations widget toolbar pagination pager copyright skip search".split()
 )
+#: First words of classes that say what the page as a whole has or lacks.
+LAYOUT_WORDS = frozenset("no not non without has have with is js hide hidden show".split())
+#: Last words of classes that say nothing; the word before them is the head noun.
+CONTAINER_WORDS = frozenset(
+    "area bar block body bottom box button buttons col column container content fixed group header holder icon icons "
+    "inner item items left link links list outer panel primary right row secondary section text title top unit "
+    "widget wrap wrapper".split()
+)
 COMMENT_NAMES = frozenset("comment comments disqus replies reply respond".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
@@ -90,8 +110,19 @@ class Block:
         return sum(w.strip(_STRIP) in _STOP for w in words) / len(words) if words else 0.0
 
 
-#: Places of a block.
-IN_ARTICLE, BESIDE, ELSEWHERE = 1, 2, 0
+#: Places of a block; DOUBTFUL is beside the text for a form or a class name only.
+IN_ARTICLE, BESIDE, ELSEWHERE, DOUBTFUL = 1, 2, 0, 3
+
+
+def _head_nouns(token: str) -> set[str]:
+    """The words of a class that may name what its element is for."""
+    parts = [w.lower() for w in _NAME_PART.findall(token) if not w.isdigit()]
+    if not parts or parts[0] in LAYOUT_WORDS and len(parts) > 1:
+        return set()
+    last = len(parts) - 1
+    while last and parts[last] in CONTAINER_WORDS:
+        last -= 1
+    return {parts[last], parts[-1]}
 
 
 def _place_of(name: str, rest: str, place: int, sticky: bool) -> tuple[int, bool, bool]:
@@ -105,7 +136,7 @@ def _place_of(name: str, rest: str, place: int, sticky: bool) -> tuple[int, bool
             key, value = key.lower(), value.strip("\"'")
             if key in ("class", "id"):
                 for token in value.split():
-                    words.update(w.lower() for w in _NAME_PART.findall(token))
+                    words |= _head_nouns(token)
             elif key == "role":
                 role = value.lower()
             elif key == "style":
@@ -124,15 +155,21 @@ def _place_of(name: str, rest: str, place: int, sticky: bool) -> tuple[int, bool
         return (place if sticky else IN_ARTICLE), sticky, hidden
     if name == "header" and place == IN_ARTICLE and not words & (ASIDE_NAMES - {"header"}):
         return place, sticky, hidden
-    if name in ASIDE or role in ASIDE_ROLES or (name not in HEADINGS and words & ASIDE_NAMES):
+    if name != "form" and (name in ASIDE or role in ASIDE_ROLES):
         return BESIDE, sticky or name in HOLDING or role in HOLDING_ROLES, hidden
+    if name == "form" or (name not in HEADINGS and words & ASIDE_NAMES):
+        return (place if place == BESIDE else DOUBTFUL), sticky, hidden
     return place, sticky, hidden
 
 
 def blocks_of(html: str) -> list[Block]:
     """The blocks of a page in order, without empty ones."""
     blocks: list[Block] = []
-    stack: list[tuple[str, int, bool, int]] = []  # name, then what held outside of it
+    # Name, what held outside of it, and the begun block that an inline element interrupts.
+    stack: list[tuple[str, int, bool, int, tuple | None]] = []
+    depths: dict[str, list[int]] = {}  # places in the stack by name
+    ahead: dict[str, tuple[int, bool]] = {}  # next tag of a name, and whether it is a closing one
+    link_closed = False
     place, sticky, section, sections = ELSEWHERE, False, 0, 0
     parts: list[str] = []
     links = 0
@@ -150,7 +187,27 @@ def blocks_of(html: str) -> list[Block]:
                 blocks.append(Block(text, inside, heading, place, section))
             parts.clear()
         links, chars, breaks, heading = 0, 0, 0, False
-        link_from = 0 if link_from >= 0 else -1
+        link_from = 0 if link_from >= 0 and link_closed else -1
+
+    def leave(k: int) -> None:
+        """Close the element at place ``k`` of the stack and all inside it."""
+        nonlocal place, sticky, section, parts, links, link_from, heading, breaks, chars
+        while len(stack) > k:
+            name, *outside, begun = stack.pop()
+            depths[name].pop()
+            if begun or name in BLOCKS:
+                flush()
+            place, sticky, section = outside
+            if begun:
+                parts, links, link_from, heading, breaks, chars = begun
+
+    def closes(name: str, at: int) -> bool:
+        """Whether the next tag of that name behind ``at`` closes it."""
+        found, closing = ahead.get(name, (-1, False))
+        if found < at:
+            tag = re.compile(rf"<(/?){name}(?=[\s/>])", re.I).search(html, at)
+            found, closing = ahead[name] = (tag.start(), bool(tag[1])) if tag else (len(html) + 1, False)
+        return closing
 
     at, end = 0, len(html)
     while at < end:
@@ -176,11 +233,8 @@ def blocks_of(html: str) -> list[Block]:
                 continue
             if name in BLOCKS:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    place, sticky, section = stack[k][1:]
-                    del stack[k:]
-                    break
+            if depths.get(name):
+                leave(depths[name][-1])
             continue
         if name in FOREIGN and (token["rest"] or "").endswith("/"):
             continue
@@ -196,32 +250,51 @@ def blocks_of(html: str) -> list[Block]:
                 flush()
             continue
         if name == "a":
+            if link_from >= 0 and not link_closed:
+                links += chars - link_from
+                link_from = -1
             link_from = chars if link_from < 0 else link_from
+            following = _LINK.search(html, at)
+            link_closed = bool(following and following[1])
             continue
         if name in BLOCKS:
             flush()
             heading = name in HEADINGS
         if name in VOID:
             continue
+        if name in ARTICLE and place == BESIDE:
+            unclosed = [depths[n][0] for n in UNCLOSED if depths.get(n) and not closes(n, at)]
+            if unclosed:
+                leave(min(unclosed))
         inner, held, hidden = _place_of(name, token["rest"] or "", place, sticky)
         if hidden:
             inner, held = BESIDE, True
         if name in BLOCKS and name != "p" and name not in HEADINGS or inner != place or held != sticky:
-            stack.append((name, place, sticky, section))
+            depths.setdefault(name, []).append(len(stack))
+            begun = None
+            if name not in BLOCKS and inner != place and inner in (BESIDE, DOUBTFUL):
+                begun = (parts, links, link_from, heading, breaks, chars)
+                parts, links, link_from, heading, breaks, chars = [], 0, -1, False, 0, 0
+            stack.append((name, place, sticky, section, begun))
             if inner == IN_ARTICLE and (place != IN_ARTICLE or name in ARTICLE):
                 sections += 1
                 section = sections
             place, sticky = inner, held
     flush()
+    leave(0)
     return blocks
 
 
+def _is_long_text(block: Block) -> bool:
+    return len(block.text) >= LONG_CHARS and block.stop_share() >= LEAST_STOP_SHARE
+
+
 def first_pass(block: Block) -> int:
-    if block.place == BESIDE:
+    if block.place in (BESIDE, DOUBTFUL):
         return DROP
     if block.link_chars > MOST_LINK_SHARE * max(len(block.text), 1) and not block.heading:
         return DROP
-    if len(block.text) >= LONG_CHARS and block.stop_share() >= LEAST_STOP_SHARE:
+    if _is_long_text(block):
         return KEEP
     return OPEN
 
@@ -233,7 +306,7 @@ def second_pass(blocks: list[Block], labels: list[int], undecided: int = KEEP) -
     """
     by_section: dict[int, list[int]] = {}
     for i, block in enumerate(blocks):
-        if block.place != BESIDE:
+        if block.place not in (BESIDE, DOUBTFUL):
             by_section.setdefault(block.section, []).append(i)
     result = list(labels)
     for members in by_section.values():
@@ -259,12 +332,23 @@ def second_pass(blocks: list[Block], labels: list[int], undecided: int = KEEP) -
     return result
 
 
+def _kept(blocks: list[Block]) -> list[Block]:
+    has_article = any(b.place == IN_ARTICLE for b in blocks)
+    labels = second_pass(blocks, [first_pass(b) for b in blocks], DROP if has_article else KEEP)
+    return [b for b, label in zip(blocks, labels, strict=True) if label == KEEP]
+
+
 def main_text(html: str | None) -> str:
     """The kept blocks of a page, one per line."""
     blocks = blocks_of(html or "")
-    has_article = any(b.place == IN_ARTICLE for b in blocks)
-    labels = second_pass(blocks, [first_pass(b) for b in blocks], DROP if has_article else KEEP)
-    return "\n".join(b.text for b, label in zip(blocks, labels, strict=True) if label == KEEP)
+    kept = _kept(blocks)
+    if not any(b.place == IN_ARTICLE for b in blocks):
+        # Those of an empty article have a section of their own and stay out.
+        judged = [replace(b, place=ELSEWHERE) if b.place == DOUBTFUL and not b.section else b for b in blocks]
+        weight = sum(len(b.text) for b, old in zip(judged, blocks, strict=True) if b is not old and first_pass(b) == KEEP)
+        if weight > sum(len(b.text) for b in kept):
+            kept = _kept(judged)
+    return "\n".join(b.text for b in kept)
 
 
 def with_main_text(pages: DataFrame, html: str = "html", name: str = "text") -> DataFrame:
