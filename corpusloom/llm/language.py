@@ -1,9 +1,10 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-A bounded sample of labelled texts (``Settings.per_lang`` of each language in expectation, chosen by a hash
-of the text) is turned into sparse counts by Spark tasks. Four fifths train the weights with the
-follow-the-regularised-leader update and an elastic net, which leaves most weights at zero; the rest
-calibrates one temperature, so that scores are probabilities.
+A bounded sample of the distinct labelled texts (``Settings.per_lang`` of each language in expectation, chosen by
+a hash of the text; copies of a text count once) is turned into sparse counts by Spark tasks. Four fifths train
+the weights with the follow-the-regularised-leader update and an elastic net, which leaves most weights at
+zero; the rest calibrates one temperature, so that scores are probabilities. A sample of fewer than
+``Settings.least_calibrated`` texts trains with all of them and has no temperature (1).
 
 Every text is then read whole, once, without a shuffle. A null text or one without a letter is ``und``
 with score 0; so is every text when nothing could be learned. Rows with a null language are not learned
@@ -31,8 +32,10 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    #: Sampled training texts of each language, in expectation; the bound of all work in training.
+    #: Sampled distinct training texts of each language, in expectation; the bound of all work in training.
     per_lang: int = 800
+    #: Smaller samples are not cut for a temperature.
+    least_calibrated: int = 50
     sizes: tuple[int, ...] = (1, 2, 3)
     epochs: int = 2
     alpha: float = 0.5
@@ -85,17 +88,20 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def _sample(docs: DataFrame, train_where: str, settings: Settings, text: str, lang: str) -> pa.Table:
     """(lang, buckets, counts) of the sampled texts, in the order of a hash; bounded by the sample."""
-    usable = docs.where(F.expr(train_where) & F.col(lang).isNotNull())
-    sizes = usable.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"))
+    usable = docs.where(F.expr(train_where)).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    usable = usable.where("text is not null and lang is not null")
+    h = F.xxhash64(F.lit("language"), "text")
+    # Distinct texts are estimated, which needs no exchange of the rows; the error only changes the share drawn.
+    sizes = usable.groupBy("lang").agg(F.approx_count_distinct(h, 0.02).alias("n"))
     share = F.least(F.lit(1.0), F.lit(float(settings.per_lang)) / F.col("n"))
     # One row per language.
     shares = {r["lang"]: r["s"] for r in sizes.select("lang", share.alias("s")).collect()}
     wanted = F.lit(0.0)
     for name, s in sorted(shares.items()):
         wanted = F.when(F.col("lang") == name, s).otherwise(wanted)
-    h = F.xxhash64(F.lit("language"), "text")
-    rows = usable.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null")
-    picked = rows.where(F.pmod(h, F.lit(1 << 20)) / float(1 << 20) < wanted).select("text", "lang", h.alias("h"))
+    drawn = usable.where(F.pmod(h, F.lit(1 << 20)) / float(1 << 20) < wanted)
+    # Copies of a drawn text are merged before anything is exchanged.
+    picked = drawn.groupBy(h.alias("h"), "lang").agg(F.min("text").alias("text")).select("text", "lang", "h")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +136,7 @@ def train(
     document_count = np.bincount(np.concatenate([i for i, _ in rows]), minlength=WIDTH)
     idf = np.log((1 + len(rows)) / (1 + document_count)) + 1
     rows = [scaled(i, c, idf) for i, c in rows]
-    held = np.arange(len(rows)) % 5 == 4 if len(rows) >= 50 else np.zeros(len(rows), bool)
+    held = np.arange(len(rows)) % 5 == 4 if len(rows) >= settings.least_calibrated else np.zeros(len(rows), bool)
     weights, bias = _follow_leader([r for r, h in zip(rows, held, strict=True) if not h], y[~held], len(langs), settings)
     z = np.array([v @ weights[i] + bias for (i, v), h in zip(rows, held, strict=True) if h])
     temperature = _temperature(z, y[held]) if held.any() else 1.0

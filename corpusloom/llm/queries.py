@@ -117,7 +117,7 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     scored = toxicity.with_toxicity(docs, toxicity_model(spark, sf_dir))
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
@@ -176,7 +176,7 @@ def language_model(spark: SparkSession, sf_dir: str) -> language.Model | None:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     predicted = language.with_language(docs, language_model(spark, sf_dir))
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 

@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Training uses a bounded sample of labelled rows (``Settings.per_class`` of each class at most, chosen by
-a hash of doc_id). Spark counts, for every hashed n-gram, the sampled texts of each class that contain it;
+Training uses a bounded sample of labelled documents (``Settings.per_class`` of each class in expectation, chosen
+by a hash of doc_id; of several rows of one doc_id the text with the smallest hash is taken). Spark counts, for every hashed n-gram, the sampled texts of each class that contain it;
 the ratio of the two shares is the n-gram's log-count ratio. The n-grams with the clearest ratios become
 features whose value is their ratio, and logistic regression weighs them; rows count by the share of
 their class that was sampled, so scores follow the true class sizes.
@@ -82,7 +82,9 @@ def sampled(docs: DataFrame, labels: DataFrame, train: str, per_class: int, text
         share = F.when(F.col("y") == y, min(1.0, per_class / n)).otherwise(share)
     chosen = clean.where(draw < share)
     # Bounded by the sampling: about 2 * per_class rows of two numbers.
-    picked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    found = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    # One text per document, also where an id stands in many rows; merged before they are exchanged.
+    picked = found.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     return checkpointed(picked.select("text", "y"), "toxic-sample"), sizes
 
 
