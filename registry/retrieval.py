@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from corpusloom.functions.common import explode_once
 from corpusloom.functions.tokens import hash_embedding
 from corpusloom.operators import embedding as emb
+from corpusloom.operators import ivf
 from corpusloom.operators import retrieval as op
 from corpusloom.operators.joins import unseen
 from corpusloom.plans.answering import answer_prompts
 from corpusloom.functions import prompts
+from corpusloom.session import scratch_path
 from registry.chunking import sql_level
 from registry.derived import sql_uniform, table
 
@@ -54,10 +56,22 @@ def knn_cosine(spark, sf):
     return _ids_and_distances(op.knn(v, v, 4, "cosine", query_id="vec_id", doc_id="vec_id"))
 
 
-def knn_lsh(spark, sf):
+def _indexed(spark, sf):
+    """The index over all vectors, and the queries: every fiftieth row."""
     v = _vectors(spark, sf)
-    hits = op.knn_lsh(v, v, 4, "l2", query_id="vec_id", doc_id="vec_id", **LSH)
-    return _ids_and_distances(hits)
+    index = ivf.build_index(v, scratch_path(spark, "ivf"), "vec_id", "embedding", k=4)
+    return index, v.where(F.col("vec_id") % 50 == 0)
+
+
+def knn_ivf(spark, sf):
+    index, queries = _indexed(spark, sf)
+    return _ids_and_distances(ivf.search_index(queries, index, 4, "vec_id", "embedding"))
+
+
+def knn_ivf_all_lists(spark, sf):
+    """With every list probed the index answers as an exact search does."""
+    index, queries = _indexed(spark, sf)
+    return _ids_and_distances(ivf.search_index(queries, index, 4, "vec_id", "embedding", len(index.sizes)))
 
 
 def lsh_buckets(spark, sf):
@@ -110,7 +124,7 @@ def vector_upsert_new(spark, sf):
 QUERIES = {
     fn.__name__: fn
     for fn in (
-        hash_embeddings, knn_l2, knn_cosine, knn_lsh, lsh_buckets, rag_prompt, embed_cache_misses,
+        hash_embeddings, knn_l2, knn_cosine, knn_ivf, knn_ivf_all_lists, lsh_buckets, rag_prompt, embed_cache_misses,
         embed_cached, vector_upsert_new,
     )
 }
@@ -182,10 +196,7 @@ ORACLE = {
     "knn_l2": _L2.format(extra=""),
     "knn_cosine": _sql_knn("cosine").format(extra=""),
     "lsh_buckets": f"WITH {_SQL_BUCKETS} SELECT vec_id, band, bucket FROM buckets",
-    "knn_lsh": f"WITH {_SQL_BUCKETS}, " + _L2.removeprefix("WITH ").format(
-        extra="""WHERE EXISTS (SELECT 1 FROM buckets x JOIN buckets y USING (band, bucket)
-            WHERE x.vec_id = q.vec_id AND y.vec_id = d.vec_id)"""
-    ),
+    "knn_ivf_all_lists": _L2.format(extra="WHERE q.vec_id % 50 = 0"),
     "rag_prompt": _RAG,
     "embed_cache_misses": """
         SELECT DISTINCT 'hash-64' AS model, md5(replace(text, chr(10), ' ')) AS text_key FROM documents
