@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.common import explode_once
 from corpusloom.functions.tokens import hash_embedding
 from corpusloom.operators import embedding as emb
-from corpusloom.operators import ivf
+from corpusloom.operators import ivf, pivots
 from corpusloom.operators import retrieval as op
 from corpusloom.operators.joins import unseen
 from corpusloom.plans.answering import answer_prompts
@@ -56,6 +56,12 @@ def knn_cosine(spark, sf):
     return _ids_and_distances(op.knn(v, v, 4, "cosine", query_id="vec_id", doc_id="vec_id"))
 
 
+def knn_l2_many(spark, sf):
+    """Every vector asks: queries meet only the pieces that bounds by pivots leave."""
+    v = _vectors(spark, sf)
+    return _ids_and_distances(pivots.knn_pivots(v, v, 4, query_id="vec_id", doc_id="vec_id").hits)
+
+
 def _indexed(spark, sf):
     """The index over all vectors, and the queries: every fiftieth row."""
     v = _vectors(spark, sf)
@@ -124,7 +130,7 @@ def vector_upsert_new(spark, sf):
 QUERIES = {
     fn.__name__: fn
     for fn in (
-        hash_embeddings, knn_l2, knn_cosine, knn_ivf, knn_ivf_all_lists, lsh_buckets, rag_prompt, embed_cache_misses,
+        hash_embeddings, knn_l2, knn_cosine, knn_l2_many, knn_ivf, knn_ivf_all_lists, lsh_buckets, rag_prompt, embed_cache_misses,
         embed_cached, vector_upsert_new,
     )
 }
@@ -196,6 +202,7 @@ ORACLE = {
     "knn_l2": _L2.format(extra=""),
     "knn_cosine": _sql_knn("cosine").format(extra=""),
     "lsh_buckets": f"WITH {_SQL_BUCKETS} SELECT vec_id, band, bucket FROM buckets",
+    "knn_l2_many": _L2.format(extra=""),
     "knn_ivf_all_lists": _L2.format(extra="WHERE q.vec_id % 50 = 0"),
     "rag_prompt": _RAG,
     "embed_cache_misses": """
