@@ -10,6 +10,7 @@ from corpusloom.functions.tokens import hash_embedding
 from corpusloom.operators.embedding import Embedder
 from corpusloom.operators.training import is_validation, shuffle_rows
 from corpusloom.plans.indexing import chunks_of, store_chunks
+from corpusloom.sources import versions
 
 
 def index_stream(
@@ -39,6 +40,31 @@ def index_stream(
     )
 
 
+def index_changes_stream(
+    changes: DataFrame,
+    table: str,
+    cache_path: str,
+    checkpoint: str,
+    model: str = "hash-64",
+    embedder: Embedder = hash_embedding,
+    **sizes: int,
+) -> StreamingQuery:
+    """Keep a versioned vector table up to date with a stream of changed and vanished files.
+
+    The number of a micro-batch is that of the stream's checkpoint, so one that runs again replaces what it wrote.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        versions.apply_changes(batch, table, batch_id, cache_path, model, embedder, **sizes)
+
+    return (
+        changes.writeStream.foreachBatch(apply)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def corpus_stream(
     rows: DataFrame,
     key: str,

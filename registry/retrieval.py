@@ -178,7 +178,9 @@ _SQL_BUCKETS = f"""
 
 _HEAD, _TAIL = prompts.QA_TEMPLATE.replace("\n", "' || chr(10) || '").split("{context}")
 _QUESTION_AT = _TAIL.replace("{question}", "' || question || '")
-_RAG = f"""WITH RECURSIVE
+SQL_RAG_PROMPT = f"'{_HEAD}' || string_agg(t, chr(10) || chr(10) ORDER BY rank) || '{_QUESTION_AT}'"
+#: The passages of all documents and, in ``top``, the nearest ones of every question.
+SQL_RAG = f"""WITH RECURSIVE
         l0 AS (SELECT doc_id, CAST([] AS BIGINT[]) AS path, text AS t FROM documents),
         {sql_level("l0", "l1", chr(10), PASSAGE_SIZE)},
         chunks AS (SELECT lpad(CAST(doc_id AS VARCHAR), 20, '0') || ':' || lpad(CAST(
@@ -190,10 +192,7 @@ _RAG = f"""WITH RECURSIVE
             lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 9) AS distance
           FROM qe CROSS JOIN ce),
         top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank
-          FROM dist) WHERE rank <= 4)
-        SELECT query_id, md5('{_HEAD}' || string_agg(t, chr(10) || chr(10) ORDER BY rank) || '{_QUESTION_AT}')
-          AS prompt_md5
-        FROM top GROUP BY query_id, question"""
+          FROM dist) WHERE rank <= 4)"""
 
 ORACLE = {
     "hash_embeddings": f"""WITH d AS (SELECT doc_id, text FROM documents), {sql_embedding("d", "doc_id", "text", "e")}
@@ -204,7 +203,8 @@ ORACLE = {
     "lsh_buckets": f"WITH {_SQL_BUCKETS} SELECT vec_id, band, bucket FROM buckets",
     "knn_l2_many": _L2.format(extra=""),
     "knn_ivf_all_lists": _L2.format(extra="WHERE q.vec_id % 50 = 0"),
-    "rag_prompt": _RAG,
+    "rag_prompt": SQL_RAG + f"""
+        SELECT query_id, md5({SQL_RAG_PROMPT}) AS prompt_md5 FROM top GROUP BY query_id, question""",
     "embed_cache_misses": """
         SELECT DISTINCT 'hash-64' AS model, md5(replace(text, chr(10), ' ')) AS text_key FROM documents
         WHERE md5(replace(text, chr(10), ' ')) NOT IN

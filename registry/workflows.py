@@ -8,15 +8,20 @@ import functools
 import pandas as pd
 from pyspark.sql import functions as F
 
+from corpusloom.functions.common import explode_once
 from corpusloom.functions.models import complete_tasks
+from corpusloom.functions.tokens import hash_embedding
 from corpusloom.operators import completions as op
+from corpusloom.operators import embedding as emb
 from corpusloom.operators.chunking import char_chunks, python_ast_blocks
-from corpusloom.plans.answering import answer_from_table
+from corpusloom.plans.answering import answer_from_table, passages
 from corpusloom.plans.indexing import index_source_tree, load_documents
-from corpusloom.session import scratch_path
-from corpusloom.sources import readers, tables
+from corpusloom.session import checkpointed, scratch_path
+from corpusloom.sources import readers, tables, versions
 from corpusloom.sources.filetree import scan_files, write_files
+from corpusloom.streaming.corpus import index_changes_stream
 from registry.derived import MODELS, SQL_FILES, SQL_KEPT, SQL_TASKS, TASK_LANG, files_table, table, todo_table
+from registry.retrieval import PASSAGE_SIZE, SQL_RAG, SQL_RAG_PROMPT, sql_embedding
 from registry.text import _MODELS
 
 
@@ -118,18 +123,8 @@ def completed_tasks(spark, sf):
     )
 
 
-def stored_completions(spark, sf):
-    """Tasks, answered by models, written as files and read back."""
-    out = _folder(spark, "results")
-    tables.write_results(_completed(spark, sf).where("lang_id = 'rust'"), out)
-    stored = op.stored_results(readers.read_stored_completions(spark, f"{out}/rust"))
-    return stored.select("task_name", "task", F.explode("completions")).select(
-        "task_name", F.md5("task").alias("task_md5"), F.col("key").alias("model_id"), F.md5("value").alias("full_code_md5")
-    )
-
-
 def stored_completions_all(spark, sf):
-    """As stored_completions, in every language."""
+    """Tasks of every language, answered by models, written as files and read back."""
     out = _folder(spark, "results")
     tables.write_results(_completed(spark, sf), out)
     read = [
@@ -156,24 +151,6 @@ def report_pages(spark, sf):
     )
 
 
-def _indexed(spark, sf) -> tuple[str, str]:
-    """A tree indexed twice: the second run finds nothing new."""
-    root, stored, cache = _tree(spark, sf), scratch_path(spark, "chunks"), scratch_path(spark, "cache")
-    plain = scan_files(spark, root, ignored_dir_regex=None, skip_hidden_dirs=False).where("extension in ('.txt', '.rb', '')")
-    moved = _folder(spark, "plain")
-    write_files(plain.select(_below(root).alias("rel_path"), "content"), moved)
-    for reset in (True, False):
-        index_source_tree(spark, moved, stored, cache, reset=reset, size=1_000_000, overlap=0)
-    return stored, cache
-
-
-def indexed_tree(spark, sf):
-    stored, _ = _indexed(spark, sf)
-    return spark.read.parquet(stored).select(
-        F.md5("content").alias("content_md5"), "part", "num_parts", F.size("embedding").alias("width")
-    )
-
-
 def indexed_whole_tree(spark, sf):
     """Every file of a tree, indexed twice with the default sizes: its chunks are numbered without gaps and have
     vectors, or the file is among the errors."""
@@ -189,9 +166,82 @@ def indexed_whole_tree(spark, sf):
     return every.select(_below(root).alias("rel_path"), "settled")
 
 
-def embedding_cache_roundtrip(spark, sf):
-    _, cache = _indexed(spark, sf)
-    return tables.load_embedding_cache(spark, cache).select("model", "text_key")
+def _weights(rows, key: str):
+    """Every number of a vector that is not 0."""
+    each = explode_once(rows, F.col("embedding"), key, pos="bucket").where(F.col("col") != 0)
+    return each.select(key, "bucket", F.round(F.col("col").cast("double"), 5).alias("weight"))
+
+
+def cache_whole_table(spark, sf):
+    """The vectors of all documents through a cache that a first run has left with half of them."""
+    path = scratch_path(spark, "cache")
+    docs = table(spark, sf, "documents", "doc_id", "text", "lang", spread=True)
+    for part in (docs.where(F.col("lang").isin("de", "es")), docs):
+        misses = emb.cache_misses(part, tables.load_embedding_cache(spark, path), "hash-64")
+        tables.save_embedding_cache(misses, path)
+    cache = tables.load_embedding_cache(spark, path)
+    return _weights(emb.attach_embeddings(docs.select("doc_id", "text"), cache, "hash-64"), "doc_id")
+
+
+def _changes(spark, sf):
+    """A history of files made of the documents, with a number for the batch that brings each change.
+
+    Every document is written twice, and of every seven one vanishes, half of which come back. Batches bring newer
+    versions before older ones.
+    """
+    d = table(spark, sf, "documents", "doc_id", "text")
+    doc = F.col("doc_id")
+
+    def version(k: int, content, gone: bool):
+        return F.struct(F.lit(k).alias("k"), content.alias("content"), F.lit(gone).alias("gone"))
+
+    events = F.array(
+        version(1, F.concat(F.lit("old "), F.col("text")), False),
+        version(2, F.col("text"), False),
+        F.when(doc % 7 == 3, version(3, F.lit(None).cast("string"), True)),
+        F.when(doc % 14 == 3, version(4, F.concat("text", F.lit(" again")), False)),
+    )
+    rows = d.select("doc_id", F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e"))
+    return rows.select(
+        F.concat(F.lit("/corpus/doc_"), doc.cast("string"), F.lit(".txt")).alias("path"),
+        F.lit(".txt").alias("extension"),
+        F.octet_length("e.content").cast("bigint").alias("size"),
+        F.lit(0).cast("bigint").alias("line_count"),
+        F.timestamp_add("MINUTE", F.col("e.k"), F.expr("timestamp_ntz'2024-01-01 00:00:00'")).alias("last_modified"),
+        "e.content",
+        "e.gone",
+        ((doc + 2 * F.col("e.k")) % 3).alias("batch"),
+    )
+
+
+def _current(spark, path):
+    chunks = versions.current_chunks(spark, path)
+    return _weights(chunks.where("part = 0 and num_parts = 1"), "path")
+
+
+def index_changes(spark, sf):
+    """The index after three unordered batches of changes and a compaction."""
+    path, cache = scratch_path(spark, "versions"), scratch_path(spark, "cache")
+    changes = checkpointed(_changes(spark, sf), "changes")
+    for batch in range(3):
+        part = changes.where(F.col("batch") == batch).drop("batch")
+        versions.apply_changes(part, path, batch, cache, size=10_000_000, overlap=0)
+    versions.compact(spark, path)
+    return _current(spark, path)
+
+
+def index_changes_streaming(spark, sf):
+    """The same changes as a stream of three micro-batches."""
+    path, cache = scratch_path(spark, "versions"), scratch_path(spark, "cache")
+    folder = scratch_path(spark, "changes")
+    changes = _changes(spark, sf)
+    schema = changes.drop("batch").schema
+    # One folder of files per batch; the stream takes a file at a time.
+    changes.repartition(3, "batch").sortWithinPartitions("batch").drop("batch").write.parquet(folder)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    state = scratch_path(spark, "state")
+    index_changes_stream(source, path, cache, state, size=10_000_000, overlap=0).awaitTermination()
+    return _current(spark, path)
 
 
 def python_blocks(spark, sf):
@@ -214,17 +264,20 @@ def corpus_of_lang(spark, sf):
     return found.select("doc_id", "lang", F.md5("text").alias("text_md5"))
 
 
-def rag_answer_stored(spark, sf):
-    """Questions asked of a stored vector table, and answered by a model."""
-    stored, _ = _indexed(spark, sf)
+def rag_answer_whole_table(spark, sf):
+    """All documents as passages in a stored vector table; questions are asked of it and answered by a model."""
+    stored = scratch_path(spark, "chunks")
+    docs = table(spark, sf, "documents", "doc_id", "text", spread=True)
+    chunks = passages(docs, "doc_id", "text", PASSAGE_SIZE, "\n")
+    rows = chunks.select(F.col("chunk_id").alias("doc_id"), "content", hash_embedding(F.col("content")).alias("embedding"))
+    tables.write_vector_table(rows, stored)
     questions = table(spark, sf, "benchmark", "item_id", "text").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("question")
     )
     answered = answer_from_table(spark, stored, questions, functools.partial(_Shout, "m"))
     return answered.select(
-        "query_id", F.size("chunk_ids").cast("bigint").alias("passages"),
-        F.contains("prompt", F.col("question")).alias("asks"),
-        (F.col("answer") == F.concat("prompt", F.lit("m "), F.length("prompt"))).alias("answered"),
+        "query_id", F.array_join("chunk_ids", " ").alias("chunk_ids"), F.md5("prompt").alias("prompt_md5"),
+        F.md5("answer").alias("answer_md5"),
     )
 
 
@@ -232,9 +285,8 @@ QUERIES = {
     fn.__name__: fn
     for fn in (
         scan_files_tree, source_tree, text_documents, load_documents_tree, load_documents_split, completion_task_files,
-        snippet_files, completed_tasks, stored_completions, stored_completions_all, report_pages, indexed_tree,
-        indexed_whole_tree, embedding_cache_roundtrip,
-        python_blocks, corpus_of_lang, rag_answer_stored,
+        snippet_files, completed_tasks, stored_completions_all, report_pages, indexed_whole_tree, cache_whole_table,
+        index_changes, index_changes_streaming, python_blocks, corpus_of_lang, rag_answer_whole_table,
     )
 }
 
@@ -245,7 +297,13 @@ _DONE = f"""{SQL_TASKS}, models(m) AS (VALUES {_MODELS}),
   done AS (SELECT 't' || doc_id AS task_name, lang_id, m, prefix, suffix,
     m || ' ' || length('<fim-prefix>' || prefix || '<fim-suffix>' || suffix || '<fim-middle>') AS completion
     FROM tasks CROSS JOIN models)"""
-_PLAIN = f"{SQL_FILES}, plain AS (SELECT * FROM files WHERE doc_id % 5 IN (2, 3, 4) AND doc_id % 11 <> 0 AND doc_id % 7 NOT IN (1, 2, 3, 5))"
+_PROMPT = SQL_RAG_PROMPT
+_CHANGED = f"""WITH d AS (SELECT '/corpus/doc_' || doc_id || '.txt' AS path,
+      text || CASE WHEN doc_id % 14 = 3 THEN ' again' ELSE '' END AS text
+    FROM documents WHERE doc_id % 7 <> 3 OR doc_id % 14 = 3),
+  {sql_embedding("d", "path", "text", "e")}
+  SELECT path, i AS bucket, round(v[i + 1]::DOUBLE, 5) AS weight
+  FROM (SELECT path, v, unnest(range(0, 64)) AS i FROM e) WHERE v[i + 1] <> 0"""
 
 ORACLE = {
     "scan_files_tree": f"""WITH {SQL_KEPT} SELECT {_REL}, md5(content) AS content_md5, {_EXT} AS extension,
@@ -263,21 +321,22 @@ ORACLE = {
     "snippet_files": "SELECT conv_id || '-' || turn AS snippet_name, md5(text) AS code_md5 FROM conversations",
     "completed_tasks": f"""WITH {_DONE} SELECT task_name, m AS model_id, completion,
         md5(prefix || completion || suffix) AS full_code_md5 FROM done""",
-    "stored_completions": f"""WITH {_DONE} SELECT task_name, md5(prefix || '<todo>' || suffix) AS task_md5, m AS model_id,
-        md5(prefix || completion || suffix) AS full_code_md5 FROM done WHERE lang_id = 'rust'""",
     "stored_completions_all": f"""WITH {_DONE} SELECT task_name, lang_id, md5(prefix || '<todo>' || suffix) AS task_md5,
         m AS model_id, md5(prefix || completion || suffix) AS full_code_md5 FROM done""",
     "report_pages": f"""WITH {_DONE} SELECT lang_id, CAST(count(DISTINCT task_name) AS BIGINT) AS tasks,
         CAST(1 AS BIGINT) AS starts, CAST(1 AS BIGINT) AS ends FROM done GROUP BY 1""",
-    "indexed_tree": f"""WITH {_PLAIN} SELECT md5(content) AS content_md5, CAST(0 AS BIGINT) AS part,
-        CAST(1 AS BIGINT) AS num_parts, 64 AS width FROM plain""",
     "indexed_whole_tree": f"WITH {SQL_KEPT} SELECT {_REL}, true AS settled FROM kept",
-    "embedding_cache_roundtrip": f"""WITH {_PLAIN}
-        SELECT DISTINCT 'hash-64' AS model, md5(replace(content, chr(10), ' ')) AS text_key FROM plain""",
+    "cache_whole_table": f"""WITH d AS (SELECT doc_id, text FROM documents), {sql_embedding("d", "doc_id", "text", "e")}
+        SELECT doc_id, i AS bucket, round(v[i + 1]::DOUBLE, 5) AS weight
+        FROM (SELECT doc_id, v, unnest(range(0, 64)) AS i FROM e) WHERE v[i + 1] <> 0""",
+    "index_changes": _CHANGED,
+    "index_changes_streaming": _CHANGED,
     "python_blocks": """SELECT doc_id, unnest(generate_series(0, 3)) AS part, unnest(['import ' || source,
           chr(10) || 'x = ' || n_chars, '\"\"\"' || source || chr(10) || n_chars || '\"\"\"',
           chr(10) || 'def f():' || chr(10) || '    return ' || doc_id]) AS block FROM documents""",
     "corpus_of_lang": "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents WHERE lang = 'fr'",
-    "rag_answer_stored": """SELECT item_id AS query_id, CAST(4 AS BIGINT) AS passages, true AS asks, true AS answered
-        FROM benchmark""",
+    "rag_answer_whole_table": SQL_RAG + f"""
+        SELECT query_id, string_agg(chunk_id, ' ' ORDER BY rank) AS chunk_ids, md5({_PROMPT}) AS prompt_md5,
+          md5({_PROMPT} || 'm ' || length({_PROMPT})) AS answer_md5
+        FROM top GROUP BY query_id, question""",
 }
