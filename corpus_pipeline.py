@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, language, sentencepiece_bpe, simhash, similar, toxicity
+from corpusloom.llm import decontaminate, language, sentencepiece_bpe, simhash, toxicity
 from corpusloom.llm.common import table
 from corpusloom.llm.queries import digest_of_ids, piece_model
 from corpusloom.session import checkpointed
@@ -18,7 +18,10 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier doesn't predict as toxic."""
+    """Documents that the toxicity classifier doesn't predict as toxic.
+
+    Null and empty texts get the bias as their score; repeated rows are judged each; an empty table stays empty.
+    """
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
     model = toxicity.train(docs, labels, "crc32(cast(doc_id as string)) % 5 <> 0")
     scored = toxicity.with_toxicity(docs.select(*COLUMNS), model)
@@ -26,7 +29,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned and is predicted with enough confidence."""
+    """Documents in a language that was learned and is predicted with enough confidence.
+
+    Null texts and those without a letter have no language and go, as does everything when nothing can be learned.
+    """
     model = language.train(docs, "crc32(cast(doc_id as string)) % 4 <> 2")
     guessed = language.with_language(docs.select(*COLUMNS), model)
     sure = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
@@ -34,27 +40,25 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one with the smallest id.
+    """One document of each class of near-duplicates: the one with the smallest id, null ids last.
 
-    Near means within 3 bits, as in op1, which is almost the same text: of 200 words with one changed about half of
-    the pairs are that near. ``drop_similar_copies`` finds the others.
+    Near means within 3 bits of fingerprints over runs of three words, as in op1. Null and empty texts have the
+    fingerprint zero and are one class; of repeated rows one stays.
     """
     return simhash.drop_near_duplicates(docs.select(*COLUMNS))
 
 
-def drop_similar_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents no two of which have runs of five words with a Jaccard similarity of 0.8 or more."""
-    return similar.drop_similar(docs.select(*COLUMNS))
-
-
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark. Null and empty texts have none; repeated rows stay or go alike."""
     benchmark = table(spark, sf_dir, "benchmark", "item_id", "text")
     return decontaminate.drop_contaminated(docs.select(*COLUMNS), benchmark).select(*COLUMNS)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number and digest of the token ids of each document, and the digest of the text they decode to."""
+    """Number and digest of the token ids of each document, and the digest of the text they decode to.
+
+    Null texts are empty and have no ids; repeated rows are encoded each.
+    """
     return digest_of_ids(sentencepiece_bpe.encode_and_decode(docs.select("doc_id", "text"), piece_model()))
 
 
@@ -66,16 +70,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentencepiece", encode_pieces),
 ]
 
-#: With near copies beyond the 3 bits dropped too.
-WIDE_STAGES = [*STAGES[:3], ("similar", drop_similar_copies), *STAGES[3:]]
-
 #: The classifiers, the component search and the merges can't be stated in SQL; tests use plain versions.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str, stages: list = STAGES) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; what one keeps is stored before the next begins."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in stages[:-1]:
+    for name, stage in STAGES[:-1]:
         docs = checkpointed(stage(spark, docs, sf_dir), f"stage-{name}")
-    return stages[-1][1](spark, docs, sf_dir)
+    return STAGES[-1][1](spark, docs, sf_dir)
