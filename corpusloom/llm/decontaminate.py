@@ -38,6 +38,8 @@ GRAM = 5
 NEIGHBOURS = WINDOW - GRAM + 1
 REACH = WINDOW - GRAM
 MOST_BROADCAST = 100_000
+#: Rows with a hit whose keys are broadcast.
+MOST_DROPPED = 1_000_000
 
 
 def benchmark_words(text: Column) -> Column:
@@ -188,12 +190,20 @@ def covered_words(spans: Column) -> Column:
 
 
 def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **kwargs: str
-) -> DataFrame:
-    """The rows of ``docs`` without any hit."""
+    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
+    most_dropped: int = MOST_DROPPED, **kwargs: str,
+) -> DataFrame:
+    """The rows of ``docs`` without any hit.
+
+    The keys of the rows with one are broadcast when they are ``most_dropped`` or fewer, so no text is moved; beyond
+    that the rows are joined by key.
+    """
     judged = contamination(docs, benchmark, doc_id, text, **kwargs)
     bad = judged.where(F.size("spans") > 0).select(
         F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash")
     )
+    bad = checkpointed(bad.distinct(), "contaminated")
+    if bad.count() <= most_dropped:
+        bad = F.broadcast(bad)
     same = docs[doc_id].eqNullSafe(bad["__bad_id"]) & (F.xxhash64(docs[text]) == bad["__bad_hash"])
     return docs.join(bad, same, "left_anti")

@@ -17,7 +17,6 @@ from corpusloom.llm import (
     sentencepiece_bpe,
     sharding,
     simhash,
-    similar,
     toxicity,
     url_filter,
 )
@@ -28,12 +27,6 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-def op1_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents no two of which are within 3 bits or have a five-word similarity of 0.8 or more."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return similar.drop_similar(simhash.drop_near_duplicates(docs)).select("doc_id")
-
-
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_text.with_main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
@@ -251,5 +244,10 @@ def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_simhash, op1_similar, op2_html_text, op3_warc_revisits, op4_url_filter, op5_quality_rules, op6_toxicity, op7_decontaminate, op8_chat_format, op9_language_id, op10_sentencepiece, op11_periodic_runs, op12_centroid_clusters, op13_shards)
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_html_text, op3_warc_revisits, op4_url_filter, op5_quality_rules, op6_toxicity,
+        op7_decontaminate, op8_chat_format, op9_language_id, op10_sentencepiece, op11_periodic_runs,
+        op12_centroid_clusters, op13_shards,
+    )
 }

@@ -48,6 +48,8 @@ ATOMS = 8
 DISTANCE = 3
 SHINGLE_WORDS = 3
 SEED = 42
+#: Rows dropped whose numbers are broadcast.
+MOST_DROPPED = 1_000_000
 HOT_BUCKET = 2000
 #: Cost of one exchanged row, counted in comparisons of two fingerprints inside the join.
 ROW_COST = 10.0
@@ -375,21 +377,23 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", doc_id: str = "d
     )
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most_broadcast: int = MOST_DROPPED
+) -> DataFrame:
     """One row of every component stays: the one with the smallest doc_id, null ids last.
 
-    The fingerprints are computed once, stored beside the rows. A row is found again by its id and
-    fingerprint; of repeated rows one stays.
+    The fingerprints are computed once, stored beside the rows with a number for every row. What stays is decided on
+    (number, id, fingerprint) alone; of repeated rows one stays. The numbers of the rows that go are broadcast when
+    they are ``most_broadcast`` or fewer, so no text is moved; beyond that the rows are joined by number.
     """
-    name = fresh_name(docs, "__fp")
-    stored = checkpointed(with_fingerprint(docs, text, name), "fingerprinted")
-    narrow = stored.select(F.col(doc_id).alias("doc_id"), F.col(name).alias("fp"))
+    name, row = fresh_name(docs, "__fp"), fresh_name(docs, "__row")
+    numbered = with_fingerprint(docs, text, name).withColumn(row, F.monotonically_increasing_id())
+    stored = checkpointed(numbered, "fingerprinted")
+    narrow = stored.select(F.col(doc_id).alias("doc_id"), F.col(name).alias("fp"), F.col(row).alias("row"))
     classes = near_duplicates(narrow, "doc_id", "fp")
-    best = (
-        narrow.distinct().join(classes, "fp")
-        .groupBy("root")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "fp")).alias("k"))
-        .select(F.col("k.id").alias("best_id"), F.col("k.fp").alias("best_fp"))
-    )
-    kept = stored.join(best, stored[doc_id].eqNullSafe(best["best_id"]) & (stored[name] == best["best_fp"]), "left_semi")
-    return kept.dropDuplicates([doc_id, name]).select(*docs.columns)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "fp", "row")
+    best = narrow.join(classes, "fp").groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.row").alias("row"))
+    gone = checkpointed(narrow.select("row").join(best, "row", "left_anti"), "gone").withColumnRenamed("row", row)
+    if gone.count() <= most_broadcast:
+        gone = F.broadcast(gone)
+    return stored.join(gone, row, "left_anti").select(*docs.columns)

@@ -181,3 +181,32 @@ def test_toxicity_sample_of_a_hot_document(spark):
     assert sample.count() == 200 and sizes == {0: 100, 1: 100}
     again, _ = toxicity.sampled(docs.repartition(2), labels, "true", 10_000, "text", "doc_id", "toxic")
     assert sorted(map(repr, again.collect())) == sorted(map(repr, sample.collect()))
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_rows_go_alike_by_broadcast_and_by_join(spark, most):
+    from corpusloom.llm import decontaminate, simhash
+
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(3, words, "a"), (1, words, "b"), (1, words, "b"), (None, words, "c"), (2, "other text", "d"), (5, None, "e"), (4, "", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row string").repartition(3)
+    kept = simhash.drop_near_duplicates(docs, most_broadcast=most)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [(1, words, "b"), (2, "other text", "d"), (4, "", "f")]
+    benchmark = spark.createDataFrame([(1, "x two three four five six seven eight nine ten eleven y"), (2, "other")], "item_id int, text string")
+    clean = decontaminate.drop_contaminated(docs, benchmark, most_dropped=most)
+    assert sorted(map(repr, clean.collect())) == sorted(map(repr, docs.where("doc_id in (4, 5)").collect()))
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls, empty and repeated texts, clashing columns and empty tables pass every stage."""
+    import corpus_pipeline
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = [(900001, None, None, None, None), (900002, "", "en", "s", 0), (900003, "1 2 3", "de", None, 5), (None, "Ein Text", "de", "s", 8)]
+    docs = docs.unionByName(spark.createDataFrame(odd + odd[-1:], docs.schema)).withColumn("Score", F.lit("x"))
+    for _, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, docs, sf_dir).collect()
+        assert len({tuple(r) for r in rows}) > 100
+        assert stage(spark, docs.limit(0), sf_dir).collect() == []
