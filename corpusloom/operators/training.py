@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.common import let
-from corpusloom.functions.rng import draw_bits, uniform
+from corpusloom.functions.rng import draw_bits, permuted_rank, uniform
 from corpusloom.functions.text import FIM_MIDDLE, FIM_PREFIX, FIM_SUFFIX
 from corpusloom.functions.tokens import regex_tokens
 from corpusloom.operators.prefix import random_rank, running_total, starts_in_order
@@ -101,6 +101,16 @@ def repeat_epochs(df: DataFrame, epochs: int) -> DataFrame:
     return df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
 
 
+def epoch_positions(
+    df: DataFrame, rank: str, n: int, epoch: str = "epoch", out: str = "position", seed: int = 0
+) -> DataFrame:
+    """Add the place of every row in the order of its epoch; ``rank`` counts the ``n`` rows of an epoch from 0.
+
+    Each epoch has an order of its own, and no epoch is sorted: a place is a function of seed, epoch and rank.
+    """
+    return df.withColumn(out, permuted_rank(F.col(rank), n, "epoch", F.col(epoch), seed=seed))
+
+
 def chars_token_ratio(
     df: DataFrame, key: str, text: str = "text", n: int = 400, pattern: str | None = None
 ) -> DataFrame:

@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.common import explode_once
 from corpusloom.functions.rng import draw_bits
 from corpusloom.functions.tokens import CODE_TOKEN, regex_tokens
 from corpusloom.operators import training as op
-from corpusloom.operators.prefix import random_rank
+from corpusloom.operators.prefix import random_rank, running_total
+from corpusloom.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -57,8 +59,65 @@ def prepare_training_data(
     )
     if not ranked:
         return packed
-    # labels repeat input_ids: add them behind the shuffle
+    # Counted and ranked from what is stored; labels repeat input_ids, so they are added behind the shuffle.
+    packed = checkpointed(packed.drop("labels"), "pieces")
     draw = draw_bits("shuffle", F.lit(0), F.col("shard"), F.col("piece"), seed=config.seed)
-    drawn = packed.drop("labels").withColumns({"__bits": draw, "__tie": F.struct("shard", "piece")})
+    drawn = packed.withColumns({"__bits": draw, "__tie": F.struct("shard", "piece")})
     shuffled = random_rank(drawn, "__bits", "__tie", "rank", by=("is_validation",))
     return shuffled.drop("__bits", "__tie").withColumn("labels", F.col("input_ids"))
+
+
+def measured_ratio(docs: DataFrame, key: str, text: str, config: TrainingConfig, token_pattern: str) -> float:
+    """Characters per token of the first training rows; ``config.chars_per_token`` when they have no tokens."""
+    train = docs.where(~op.is_validation(F.col(key), config.validation_fraction, config.seed))
+    found = op.chars_token_ratio(train, key, text, pattern=token_pattern).first()["chars_per_token"]
+    return found or config.chars_per_token
+
+
+def prepare_epochs(
+    docs: DataFrame,
+    key: str,
+    text: str,
+    epochs: int,
+    config: TrainingConfig = TrainingConfig(),
+    token_pattern: str = CODE_TOKEN,
+) -> DataFrame:
+    """(epoch, is_validation, shard, piece, position, input_ids, labels): training repeats, validation does not.
+
+    Every epoch draws the fill-in-the-middle permutation anew and has an order of its own; ``position`` is the place
+    in the order of its split and epoch. The ratio of characters to tokens that bounds the shards is measured on the
+    first training rows. Texts are cut into tokens once; pieces are stored once, and their places come from
+    the counts of the shards and a keyed permutation, without a sort. Validation rows have epoch 0 only.
+    """
+    n_chars = F.col("n_chars") if "n_chars" in docs.columns else F.length(text)
+    held = op.is_validation(F.col(key), config.validation_fraction, config.seed).alias("is_validation")
+    split = docs.select(key, held, n_chars.cast("bigint").alias("n_chars"))
+    ratio = measured_ratio(docs, key, text, config, token_pattern)
+    bound = op.buffer_size(config.seq_length, ratio, config.sequences_per_buffer)
+    # Keys and sizes alone are placed; the texts meet their shard afterwards.
+    sharded = op.assign_shards(split, key, "n_chars", bound, by=("is_validation",)).drop("n_chars")
+    tokens = docs.select(key, regex_tokens(F.col(text), token_pattern).alias("tokens")).join(sharded, key)
+    repeats = F.when(F.col("is_validation"), 1).otherwise(epochs)
+    numbers = F.sequence(F.lit(0), repeats - 1)
+    each = explode_once(tokens, numbers, "is_validation", "shard", key, "tokens", value="epoch").drop("pos")
+    permuted = op.fim_permute(
+        F.col("tokens"), F.col("epoch"), F.col(key),
+        fim_rate=config.fim_rate, fim_spm_rate=config.fim_spm_rate, seed=config.seed,
+    )
+    by = ("epoch", "is_validation", "shard")
+    ready = each.select(*by, key, permuted["tokens"].alias("tokens"))
+    packed = op.pack_constant_length(ready, key, "tokens", config.seq_length, by=by, bounded=True)
+    pieces = checkpointed(packed.drop("labels"), "pieces")
+    counts = checkpointed(pieces.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), "piece-counts")
+    bases = running_total(counts, "shard", "n", "__base", by=("epoch", "is_validation")).drop("n")
+    ranked = pieces.join(bases, [*by]).withColumn("__rank", F.col("__base") + F.col("piece"))
+    # One row per epoch and split.
+    totals = counts.groupBy("epoch", "is_validation").agg(F.sum("n").alias("n")).collect()
+    placed = None
+    for row in sorted(totals, key=lambda r: (r["epoch"], r["is_validation"])):
+        own = ranked.where((F.col("epoch") == row["epoch"]) & (F.col("is_validation") == row["is_validation"]))
+        salted = op.epoch_positions(own, "__rank", row["n"], seed=config.seed)
+        placed = salted if placed is None else placed.unionByName(salted)
+    if placed is None:
+        placed = ranked.withColumn("position", F.col("__rank"))
+    return placed.drop("__rank", "__base").withColumn("labels", F.col("input_ids"))

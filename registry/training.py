@@ -9,7 +9,8 @@ from corpusloom.functions.text import FIM_MIDDLE, FIM_PREFIX, FIM_SUFFIX
 from corpusloom.functions.tokens import regex_tokens
 from corpusloom.operators import training as op
 from corpusloom.operators import vocabulary as voc
-from corpusloom.plans.training_data import TrainingConfig, prepare_training_data
+from corpusloom.functions.rng import FEISTEL_ROUNDS
+from corpusloom.plans.training_data import TrainingConfig, prepare_epochs, prepare_training_data
 from registry.derived import SQL_FILES, files_table, sql_bits, sql_uniform, table
 
 SEQ = 512
@@ -139,12 +140,24 @@ def training_sequences(spark, sf):
     )
 
 
+EPOCHS = 3
+
+
+def training_epochs(spark, sf):
+    d = table(spark, sf, "documents", "doc_id", "text", "n_chars", spread=True)
+    out = prepare_epochs(d, "doc_id", "text", EPOCHS, CONFIG, token_pattern=WORD)
+    return out.select(
+        F.col("epoch").cast("bigint").alias("epoch"), "is_validation", "shard", "piece", "position",
+        F.md5(F.array_join("input_ids", " ")).alias("ids_md5"),
+    )
+
+
 QUERIES = {
     fn.__name__: fn
     for fn in (
         take_skip, train_val_split, train_val_split_exact, corpus_stats, chars_token_ratio, shuffle_order,
         repeat_epochs, fim_permute, fim_permute_truncated, fim_mode_counts, pack_shards, pack_sequences,
-        token_ids, training_sequences, pack_by_path, shards_by_path,
+        token_ids, training_sequences, pack_by_path, shards_by_path, training_epochs,
     )
 }
 
@@ -168,7 +181,47 @@ _WORDS = "words AS (SELECT doc_id, n_chars, regexp_extract_all(text, '\\S+') AS
 _SPLIT = f"{sql_uniform('v', 'doc_id')} < {FRACTION}"
 _TRAIN_BOUND = op.buffer_size(SEQ, 3.6, 32)
 
+def _sql_feistel(x: str) -> str:
+    """One pass of the network over ``x``, with a and b as columns, for epoch ``epoch``."""
+    left, right = f"(({x}) // b)", f"(({x}) % b)"
+    for i in range(FEISTEL_ROUNDS):
+        drawn = sql_bits("epoch", "epoch", str(i), left if i % 2 else right)
+        if i % 2:
+            right = f"(({right} + {drawn}) % b)"
+        else:
+            left = f"(({left} + {drawn}) % a)"
+    return f"({left} * b + {right})"
+
+
+# naive: the pieces of every epoch numbered by a window, and each number walked until it is below their count
+_SQL_EPOCHS = f"""WITH RECURSIVE
+  ratio AS (SELECT sum(length(text)) / sum(len(regexp_extract_all(text, '\\S+'))) AS r FROM (
+    SELECT text FROM documents WHERE NOT {_SPLIT} ORDER BY doc_id LIMIT 400)),
+  bound AS (SELECT ceil({SEQ} * r * {CONFIG.sequences_per_buffer}) AS c FROM ratio),
+  words AS (SELECT doc_id AS id, {_SPLIT} AS is_validation, CAST(floor(coalesce(sum(n_chars) OVER (
+        PARTITION BY {_SPLIT} ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / c) AS BIGINT) AS shard,
+      regexp_extract_all(text, '\\S+') AS tokens FROM documents, bound),
+  each AS (SELECT epoch, epoch || ':' || id AS doc_id, id, is_validation, shard, tokens
+    FROM words, range({EPOCHS}) e(epoch) WHERE NOT is_validation OR epoch = 0),
+  {sql_fim("each", "f")},
+  rows AS (SELECT epoch, id, is_validation, shard, unnest(list_append(t, '<eos>')) AS w,
+      unnest(range(1, len(t) + 2)) AS i FROM f),
+  pos AS (SELECT *, row_number() OVER (PARTITION BY epoch, is_validation, shard ORDER BY id, i) - 1 AS p FROM rows),
+  pieces AS (SELECT epoch, is_validation, shard, p // {SEQ} AS piece, md5(string_agg(w, ' ' ORDER BY p)) AS ids_md5
+    FROM pos GROUP BY ALL HAVING count(*) = {SEQ}),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY epoch, is_validation ORDER BY shard, piece) - 1 AS x,
+      count(*) OVER (PARTITION BY epoch, is_validation) AS n FROM pieces),
+  sides AS (SELECT *, (CASE WHEN s * s >= n THEN s ELSE s + 1 END) AS a FROM (
+    SELECT *, CAST(floor(sqrt(n)) AS BIGINT) AS s FROM ranked)),
+  net AS (SELECT *, CAST(ceil(n / a) AS BIGINT) AS b FROM sides),
+  walk(epoch, is_validation, shard, piece, n, a, b, y, k) AS (
+    SELECT epoch, is_validation, shard, piece, n, a, b, {_sql_feistel("x")}, 1 FROM net
+    UNION ALL SELECT epoch, is_validation, shard, piece, n, a, b, {_sql_feistel("y")}, k + 1 FROM walk WHERE y >= n)
+SELECT epoch, is_validation, shard, piece, CASE WHEN n = 1 THEN 0 ELSE y END AS position, ids_md5
+FROM walk JOIN pieces USING (epoch, is_validation, shard, piece) WHERE y < n"""
+
 ORACLE = {
+    "training_epochs": _SQL_EPOCHS,
     "take_skip": """SELECT doc_id, source,
         CASE WHEN row_number() OVER (ORDER BY doc_id) <= 100 THEN 'validation' ELSE 'train' END AS part
         FROM documents""",

@@ -159,3 +159,39 @@ def test_missing_samples_are_nan_and_the_first_cpu_sample_is_ignored(spark):
     row = benchmarks.resource_summary(df).first()
     assert (row.cpu_usage, row.ram_gb) == (20.0, 2.0) and math.isnan(row.gpu_usage) and math.isnan(row.vram_gb)
     assert benchmarks.resource_summary(df, "max").first().cpu_usage == 30.0
+
+
+def test_ranks_are_permuted_alike_everywhere(spark):
+    from corpusloom.functions.rng import permuted_rank, permuted_rank_value
+
+    orders = {}
+    for n in (1, 2, 3, 5, 16, 17, 99, 1000):
+        for epoch in (0, 1):
+            df = spark.range(n).select("id", permuted_rank(F.col("id"), n, "e", F.lit(epoch), seed=4).alias("at"))
+            got = {r["id"]: r["at"] for r in df.collect()}
+            assert sorted(got.values()) == list(range(n))
+            assert got == {i: permuted_rank_value(i, n, "e", epoch, seed=4) for i in range(n)}
+            orders[n, epoch] = got
+    assert all(orders[n, 0] != orders[n, 1] for n in (16, 17, 99, 1000))
+    far = np.mean([abs(orders[1000, 0][i] - i) for i in range(1000)])
+    assert 250 < far < 420
+
+
+def test_epochs_have_orders_and_draws_of_their_own(spark):
+    from corpusloom.plans.training_data import TrainingConfig, measured_ratio, prepare_epochs
+
+    rows = [(i, " ".join(f"t{i}x{j}" for j in range(i % 40))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    config = TrainingConfig(seq_length=16, fim_rate=0.5, fim_spm_rate=0.5, validation_fraction=0.1, sequences_per_buffer=8)
+    assert 4 < measured_ratio(docs, "id", "text", config, r"\S+") < 9
+    got = prepare_epochs(docs, "id", "text", 3, config, r"\S+").collect()
+    for epoch in range(3):
+        train = sorted((r for r in got if r["epoch"] == epoch and not r["is_validation"]), key=lambda r: r["position"])
+        assert [r["position"] for r in train] == list(range(len(train))) and len(train) > 300
+        assert [(r["shard"], r["piece"]) for r in train] != sorted((r["shard"], r["piece"]) for r in train)
+    held = [r for r in got if r["is_validation"]]
+    assert {r["epoch"] for r in held} == {0} and sorted(r["position"] for r in held) == list(range(len(held)))
+    by_epoch = [{tuple(r["input_ids"]) for r in got if r["epoch"] == e and not r["is_validation"]} for e in range(3)]
+    assert len(by_epoch[0] & by_epoch[1]) < 0.2 * len(by_epoch[0])
+    assert all(r["labels"] == r["input_ids"] and len(r["input_ids"]) == 16 for r in got)
+    assert prepare_epochs(docs.limit(0), "id", "text", 2, config, r"\S+").collect() == []
