@@ -69,7 +69,7 @@ def features_of(text: str | None, slot: np.ndarray, sizes: tuple[int, ...]) -> n
 
 
 def sampled(docs: DataFrame, labels: DataFrame, train: str, per_class: int, text: str, doc_id: str, label: str):
-    """(text, y) of the sample, stored, and the rows of each class before sampling."""
+    """(text, y, h) of the sample, stored, and the rows of each class before sampling; h orders it, by a hash of the id."""
     clean = (
         labels.where(F.col(label).isNotNull() & F.expr(train))
         .groupBy(F.col(doc_id).alias("id"))
@@ -85,7 +85,8 @@ def sampled(docs: DataFrame, labels: DataFrame, train: str, per_class: int, text
     found = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
     # One text per document, also where an id stands in many rows; merged before they are exchanged.
     picked = found.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    return checkpointed(picked.select("text", "y"), "toxic-sample"), sizes
+    picked = picked.select("text", "y", F.xxhash64(F.lit("order"), "id").alias("h"))
+    return checkpointed(picked, "toxic-sample"), sizes
 
 
 def _class_counts(sample: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
@@ -152,10 +153,12 @@ def _sample_features(sample: DataFrame, buckets: np.ndarray, sizes: tuple[int, .
         for batch in batches:
             rows = [features_of(t, slot, sizes).astype(np.int16) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r.tobytes() for r in rows], pa.binary()), batch.column(1).cast(pa.int32())], names=["f", "y"]
+                [pa.array([r.tobytes() for r in rows], pa.binary()), batch.column(1).cast(pa.int32()), batch.column(2)],
+                names=["f", "y", "h"],
             )
 
-    got = sample.select("text", "y").mapInArrow(run, "f binary, y int").orderBy(F.xxhash64("f"), "f", "y").toArrow()
+    found = sample.select("text", "y", "h").mapInArrow(run, "f binary, y int, h long")
+    got = found.orderBy("h", "f", "y").toArrow()
     rows = [np.frombuffer(b, np.int16) for b in got["f"].to_pylist()]
     ends = np.cumsum([len(r) for r in rows])
     found = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
