@@ -96,6 +96,11 @@ def line_count(content: Column) -> Column:
     ).cast("bigint")
 
 
+def decodable(content: Column) -> Column:
+    """Whether bytes are valid UTF-8."""
+    return F.is_valid_utf8(content.cast("string"))
+
+
 def iso_timestamp(ts: Column) -> Column:
     """ISO 8601 with microseconds only when there are any."""
     micros = F.date_format(ts, "SSSSSS")
@@ -105,11 +110,33 @@ def iso_timestamp(ts: Column) -> Column:
     )
 
 
+#: Characters that a quoted literal shows by their number: control, format, unassigned and private ones, and
+#: every separator but the space.
+_HIDDEN = r"[\p{C}\p{Zl}\p{Zp}\p{Zs}&&[^ ]]"
+
+
+def _by_number(char: Column) -> Column:
+    code = F.ascii(char)
+    shown = F.lower(F.hex(code))
+    return (
+        F.when(code < 0x100, F.concat(F.lit("\\x"), F.lpad(shown, 2, "0")))
+        .when(code < 0x10000, F.concat(F.lit("\\u"), F.lpad(shown, 4, "0")))
+        .otherwise(F.concat(F.lit("\\U"), F.lpad(shown, 8, "0")))
+    )
+
+
 def quoted(text: Column) -> Column:
-    """Text as a quoted literal: single quotes, or double ones if only single ones occur in it."""
+    """Text as a quoted literal: single quotes, or double ones if only single ones occur in it.
+
+    Characters that can't be seen are shown by their number; which ones are unassigned depends on the version of
+    Unicode that the JVM knows.
+    """
     escaped = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     for char, code in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         escaped = F.replace(escaped, F.lit(char), F.lit(code))
+    # Few texts have others, and only those are taken apart.
+    each = F.transform(F.split(escaped, ""), lambda c: F.when(c.rlike(_HIDDEN), _by_number(c)).otherwise(c))
+    escaped = F.when(escaped.rlike(_HIDDEN), F.array_join(each, "")).otherwise(escaped)
     double = F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"'))
     return F.when(double, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(
         F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'"))

@@ -199,7 +199,7 @@ def read_contents(manifest: DataFrame) -> DataFrame:
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in manifest.schema)
     raw = spread.mapInArrow(_read_batches, f"{columns}, bytes binary")
     text = fn.text_mode(F.col("bytes").cast("string"))
-    return raw.where(F.is_valid_utf8(F.col("bytes").cast("string"))).select(
+    return raw.where(fn.decodable(F.col("bytes"))).select(
         *manifest.columns, text.alias("content")
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import files as fn
 from corpusloom.functions import text
+from corpusloom.operators.prefix import starts_in_order
 from corpusloom.sources.filetree import list_files, read_contents, scan_files
 
 
@@ -83,6 +84,12 @@ def read_stored_completions(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def number_questions(questions: DataFrame, question: str, *order: str) -> DataFrame:
+    """(query_id, question) of a table of questions, numbered from 0 in the order of columns of any type."""
+    one = questions.select(*order, F.col(question).alias("question"), F.lit(1).cast("bigint").alias("__one"))
+    return starts_in_order(one, list(order), "__one", "query_id").select("query_id", "question")
+
+
 def read_questions(spark: SparkSession, questions: list[str]) -> DataFrame:
     """(query_id, question) of a list of questions."""
     return spark.createDataFrame(list(enumerate(questions)), "query_id bigint, question string")

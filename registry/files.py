@@ -61,6 +61,14 @@ def document_id(spark, sf):
     return _info(files_table(spark, sf)).select("doc_id", ids.alias("document_id"))
 
 
+def drop_undecodable(spark, sf):
+    """Documents without their last byte: those whose last character had several are no text any more."""
+    d = table(spark, sf, "documents", "doc_id", "text")
+    content = F.col("text").cast("binary")
+    cut = d.select("doc_id", F.substring(content, F.lit(1), F.greatest(F.octet_length("text") - 1, F.lit(0))).alias("bytes"))
+    return cut.where(fn.decodable(F.col("bytes"))).select("doc_id", F.md5("bytes").alias("content_md5"))
+
+
 def splitter_route_counts(spark, sf):
     ext = fn.extension(F.col("path"))
     named = kept_files(spark, sf).select(fn.splitter_name(ext).alias("splitter"))
@@ -89,6 +97,7 @@ QUERIES = {
     "file_info": file_info,
     "document_metadata": document_metadata,
     "document_id": document_id,
+    "drop_undecodable": drop_undecodable,
     "splitter_route_counts": splitter_route_counts,
     "corpus_by_lang": corpus_by_lang,
     "load_documents_unsplit": load_documents_unsplit,
@@ -112,6 +121,8 @@ ORACLE = {
     "document_metadata": f"""WITH {SQL_FILES}, {_SQL_INFO.format(src="files")}
         SELECT doc_id, path AS source, 'overridden' AS extension, CAST(size AS VARCHAR) AS size,
           CAST(line_count AS VARCHAR) AS line_count, last_modified, 'driver' AS origin FROM info""",
+    "drop_undecodable": """SELECT doc_id, md5(left(text, length(text) - 1)) AS content_md5 FROM documents
+        WHERE text = '' OR octet_length(encode(right(text, 1))) = 1""",
     "document_id": f"""WITH {SQL_FILES}, {_SQL_INFO.format(src="files")}
         SELECT doc_id, 'path=''' || path || ''':last_modified=''' || last_modified || ''':0/1:size='
           || CAST(size AS VARCHAR) AS document_id FROM info""",

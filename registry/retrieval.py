@@ -13,6 +13,7 @@ from corpusloom.operators.joins import unseen
 from corpusloom.plans.answering import answer_prompts
 from corpusloom.functions import prompts
 from corpusloom.session import scratch_path
+from corpusloom.sources.readers import number_questions
 from registry.chunking import sql_level
 from registry.derived import sql_uniform, table
 
@@ -37,6 +38,11 @@ def _ids_and_distances(hits):
     )
 
 
+def numbered_questions(spark, sf):
+    q = table(spark, sf, "benchmark", "item_id", "text")
+    return number_questions(q, "text", "item_id")
+
+
 def hash_embeddings(spark, sf):
     d = table(spark, sf, "documents", "doc_id", "text", spread=True)
     v = d.withColumn("v", hash_embedding(F.col("text")))
@@ -130,7 +136,7 @@ def vector_upsert_new(spark, sf):
 QUERIES = {
     fn.__name__: fn
     for fn in (
-        hash_embeddings, knn_l2, knn_cosine, knn_l2_many, knn_ivf, knn_ivf_all_lists, lsh_buckets, rag_prompt, embed_cache_misses,
+        numbered_questions, hash_embeddings, knn_l2, knn_cosine, knn_l2_many, knn_ivf, knn_ivf_all_lists, lsh_buckets, rag_prompt, embed_cache_misses,
         embed_cached, vector_upsert_new,
     )
 }
@@ -195,6 +201,8 @@ SQL_RAG = f"""WITH RECURSIVE
           FROM dist) WHERE rank <= 4)"""
 
 ORACLE = {
+    "numbered_questions": """SELECT row_number() OVER (ORDER BY item_id) - 1 AS query_id, text AS question
+        FROM benchmark""",
     "hash_embeddings": f"""WITH d AS (SELECT doc_id, text FROM documents), {sql_embedding("d", "doc_id", "text", "e")}
         SELECT doc_id, i AS bucket, round(v[i + 1]::DOUBLE, 5) AS weight
         FROM (SELECT doc_id, v, unnest(range(0, 64)) AS i FROM e) WHERE v[i + 1] <> 0""",

@@ -56,6 +56,27 @@ def stream_to_html_streaming(spark, sf):
     return whole.select("response_id", F.md5("html").alias("html_md5"))
 
 
+def stream_to_html_fenced_streaming(spark, sf):
+    """Responses with a code block each, whose tokens come in three batches and in no order."""
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'assistant' and text is not null")
+    fenced = F.concat("text", F.lit("\n```python\n"), "text", F.lit("\n```\nEnd of\n"), "text")
+    lists = turns.select(
+        F.concat_ws("-", "conv_id", "turn").alias("response_id"), regex_tokens(fenced, STREAM_TOKEN).alias("l")
+    ).withColumn("n", F.size("l"))
+    rows = explode_once(lists, F.col("l"), "response_id", "n", pos="seq", value="token").select(
+        "response_id", "seq", "token", (F.col("seq") == F.col("n") - 1).alias("is_end"),
+        F.lit(datetime(2024, 1, 1)).cast("timestamp").alias("ts"),
+    )
+    folder = scratch_path(spark, "tokens")
+    draw = F.xxhash64("response_id", "seq")
+    rows.repartition(3, F.pmod(draw, F.lit(3))).sortWithinPartitions(draw).write.parquet(folder)
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    parts = run_available(html_stream(source), "html")
+    pieces = F.transform(F.sort_array(F.collect_list(F.struct("seq", "html"))), lambda p: p["html"])
+    whole = parts.groupBy("response_id").agg(F.array_join(pieces, "").alias("html"))
+    return whole.select("response_id", F.md5("html").alias("html_md5"))
+
+
 def latest_in_window_streaming(spark, sf):
     """When the input ends, what waits in state is decided too."""
     events, end = with_end(stream(spark, sf, "events", "event_id", "user_id", "ts"), "latest", ts=FAR, event_id=-1, user_id=-1)
@@ -96,7 +117,7 @@ def corpus_streaming(spark, sf):
 QUERIES = {
     fn.__name__: fn
     for fn in (
-        assemble_responses_streaming, stream_to_html_streaming, latest_in_window_streaming,
+        assemble_responses_streaming, stream_to_html_streaming, stream_to_html_fenced_streaming, latest_in_window_streaming,
         drop_stale_results_streaming, corpus_streaming,
     )
 }
@@ -110,6 +131,12 @@ ORACLE = {
           md5(replace(left(text, length(text) - length(tail)), chr(10), '<br>' || chr(10)) || tail) AS html_md5
         FROM (SELECT *, regexp_extract(text, '[\\n \\t]$') AS tail FROM conversations
               WHERE role = 'assistant' AND text <> '')""",
+    # the block is as it came, in marks of its own; line feeds around it are marked up, but for a trailing one
+    "stream_to_html_fenced_streaming": """SELECT conv_id || '-' || turn AS response_id,
+          md5(replace(text, chr(10), '<br>' || chr(10)) || chr(10) || '<pre>' || chr(10) || text || chr(10) || '</pre><br>'
+            || chr(10) || 'End of<br>' || chr(10)
+            || replace(left(text, length(text) - length(tail)), chr(10), '<br>' || chr(10)) || tail) AS html_md5
+        FROM (SELECT *, regexp_extract(text, '[\\n \\t]$') AS tail FROM conversations WHERE role = 'assistant')""",
     "latest_in_window_streaming": """WITH n AS (SELECT event_id, user_id, ts,
             lag(ts) OVER w AS prev_ts, lead(ts) OVER w AS next_ts FROM events
             WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

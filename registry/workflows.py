@@ -22,7 +22,7 @@ from corpusloom.sources.filetree import scan_files, write_files
 from corpusloom.streaming.corpus import index_changes_stream
 from registry.derived import MODELS, SQL_FILES, SQL_KEPT, SQL_TASKS, TASK_LANG, files_table, table, todo_table
 from registry.retrieval import PASSAGE_SIZE, SQL_RAG, SQL_RAG_PROMPT, sql_embedding
-from registry.text import _MODELS
+from registry.text import _MODELS, _sql_escape
 
 
 def _folder(spark, name: str) -> str:
@@ -151,6 +151,15 @@ def report_pages(spark, sf):
     )
 
 
+def report_lines(spark, sf):
+    """Every line of the pages, by value."""
+    out = scratch_path(spark, "report")
+    rows = _completed(spark, sf).withColumn("task", F.concat("prefix", F.lit("<todo>"), "suffix"))
+    tables.write_html_report(rows, out)
+    lines = spark.read.option("lineSep", "\n").text(out)
+    return lines.groupBy("lang_id", F.md5("value").alias("line_md5")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def indexed_whole_tree(spark, sf):
     """Every file of a tree, indexed twice with the default sizes: its chunks are numbered without gaps and have
     vectors, or the file is among the errors."""
@@ -285,7 +294,7 @@ QUERIES = {
     fn.__name__: fn
     for fn in (
         scan_files_tree, source_tree, text_documents, load_documents_tree, load_documents_split, completion_task_files,
-        snippet_files, completed_tasks, stored_completions_all, report_pages, indexed_whole_tree, cache_whole_table,
+        snippet_files, completed_tasks, stored_completions_all, report_pages, report_lines, indexed_whole_tree, cache_whole_table,
         index_changes, index_changes_streaming, python_blocks, corpus_of_lang, rag_answer_whole_table,
     )
 }
@@ -323,6 +332,18 @@ ORACLE = {
         md5(prefix || completion || suffix) AS full_code_md5 FROM done""",
     "stored_completions_all": f"""WITH {_DONE} SELECT task_name, lang_id, md5(prefix || '<todo>' || suffix) AS task_md5,
         m AS model_id, md5(prefix || completion || suffix) AS full_code_md5 FROM done""",
+    "report_lines": f"""WITH {_DONE},
+        parts AS (SELECT lang_id, '<h2>' || task_name || '</h2><pre>' || {_sql_escape("prefix")}
+            || '<span class="placeholder">&lt;todo&gt;</span>' || {_sql_escape("suffix")}
+            || '</pre><table class="answers"><tr>' || string_agg(CASE WHEN m = 'runs/ckpt-6000' THEN '</tr><tr>' ELSE '' END
+              || '<td><h4>' || m || '</h4><pre>' || {_sql_escape("prefix || completion || suffix")} || '</pre></td>', '' ORDER BY m)
+            || '</tr></table>' AS html
+          FROM done GROUP BY lang_id, task_name, prefix, suffix
+          UNION ALL SELECT DISTINCT lang_id, '<html><head><style>{op.PAGE_STYLE}</style></head><body><main><h1>' || lang_id
+            || '</h1>' FROM done
+          UNION ALL SELECT DISTINCT lang_id, '{op.PAGE_END}' FROM done)
+        SELECT lang_id, md5(line) AS line_md5, count(*) AS n
+        FROM (SELECT lang_id, unnest(string_split(html, chr(10))) AS line FROM parts) GROUP BY 1, 2""",
     "report_pages": f"""WITH {_DONE} SELECT lang_id, CAST(count(DISTINCT task_name) AS BIGINT) AS tasks,
         CAST(1 AS BIGINT) AS starts, CAST(1 AS BIGINT) AS ends FROM done GROUP BY 1""",
     "indexed_whole_tree": f"WITH {SQL_KEPT} SELECT {_REL}, true AS settled FROM kept",

@@ -230,3 +230,12 @@ def test_iso_timestamp_and_extensions(spark):
     paths = ["a/b.tar.gz", ".bashrc", "x.", "dir.d/plain", "..py", "a.b/.c.d"]
     got = spark.createDataFrame([(p,) for p in paths], "p string").select(fn.extension(F.col("p")))
     assert [r[0] for r in got.collect()] == [".gz", "", "", "", ".py", ".d"]
+
+
+def test_quoted_texts_look_like_literals(spark):
+    from corpusloom.functions.files import quoted
+
+    chars = [chr(c) for c in [*range(1, 0x180), 0x300, 0x378, 0x200B, 0x2028, 0x2029, 0x202F, 0x3000, 0xE000, 0xFEFF, 0x1F600, 0xE0001, 0x10FFFF]]
+    texts = [*chars, "", "it's", 'say "it\'s"', "a\\b\x00\x1b[0m\n", "tab\tend ", "plain"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", quoted(F.col("t")).alias("q")).collect()
+    assert {r["t"]: r["q"] for r in rows} == {t: repr(t) for t in texts}
