@@ -21,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
 from corpusloom.functions import files as fn
+from corpusloom.sources import objects
 
 # Directories that the driver opens at most to find enough units of work for the tasks.
 MAX_DRIVER_LISTINGS = 256
@@ -166,9 +167,13 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def list_files(
     spark: SparkSession, root: str, skip_hidden_dirs: bool = False, ignored_dir_regex: str | None = None
 ) -> DataFrame:
-    """(path, rel_path, last_modified) of all files below ``root``; skipped directories are not entered."""
-    spark.dataSource.register(FileTree)
-    reader = spark.read.format("filetree").option("skipHiddenDirs", str(skip_hidden_dirs).lower())
+    """(path, rel_path, last_modified) of all files below ``root``; skipped directories are not entered.
+
+    A root that is a URI is listed in its own store (``sources.objects``).
+    """
+    source = objects.ObjectTree if objects.is_uri(root) else FileTree
+    spark.dataSource.register(source)
+    reader = spark.read.format(source.name()).option("skipHiddenDirs", str(skip_hidden_dirs).lower())
     if ignored_dir_regex is not None:
         reader = reader.option("ignoredDirRegex", ignored_dir_regex)
     return reader.load(root)
@@ -179,8 +184,11 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         start, size, contents = 0, 0, []
         for i, path in enumerate(batch["path"].to_pylist()):
-            with open(path, "rb") as source:
-                contents.append(source.read())
+            if objects.is_uri(path):
+                contents.append(objects.read_bytes(path))
+            else:
+                with open(path, "rb") as source:
+                    contents.append(source.read())
             size += len(contents[-1])
             if size >= BATCH_BYTES:
                 yield batch.slice(start, i + 1 - start).append_column("bytes", pa.array(contents, pa.binary()))
@@ -238,6 +246,7 @@ def file_info(df: DataFrame) -> DataFrame:
 
 
 def write_files(df: DataFrame, root: str) -> None:
-    """Write (rel_path, content) rows as one file each below ``root``."""
-    df.sparkSession.dataSource.register(FileTree)
-    df.select("rel_path", "content").write.format("filetree").mode("append").save(root)
+    """Write (rel_path, content) rows as one file each below ``root``; below a URI they are staged first."""
+    source = objects.ObjectTree if objects.is_uri(root) else FileTree
+    df.sparkSession.dataSource.register(source)
+    df.select("rel_path", "content").write.format(source.name()).mode("append").save(root)

@@ -48,6 +48,16 @@ def scan_files_tree(spark, sf):
     )
 
 
+def scan_files_objects(spark, sf):
+    """The tree written and scanned as objects of a store, by its URI."""
+    root = f"file://{_folder(spark, 'objects')}"
+    files = files_table(spark, sf).select(F.substring("path", 9, 10_000).alias("rel_path"), "content")
+    write_files(files, root)
+    return scan_files(spark, root).select(
+        _below(root).alias("rel_path"), F.md5("content").alias("content_md5"), "extension", "size", "line_count"
+    )
+
+
 def source_tree(spark, sf):
     root = _tree(spark, sf)
     found = readers.read_source_tree(spark, root, ".py")
@@ -293,7 +303,7 @@ def rag_answer_whole_table(spark, sf):
 QUERIES = {
     fn.__name__: fn
     for fn in (
-        scan_files_tree, source_tree, text_documents, load_documents_tree, load_documents_split, completion_task_files,
+        scan_files_tree, scan_files_objects, source_tree, text_documents, load_documents_tree, load_documents_split, completion_task_files,
         snippet_files, completed_tasks, stored_completions_all, report_pages, report_lines, indexed_whole_tree, cache_whole_table,
         index_changes, index_changes_streaming, python_blocks, corpus_of_lang, rag_answer_whole_table,
     )
@@ -314,9 +324,12 @@ _CHANGED = f"""WITH d AS (SELECT '/corpus/doc_' || doc_id || '.txt' AS path,
   SELECT path, i AS bucket, round(v[i + 1]::DOUBLE, 5) AS weight
   FROM (SELECT path, v, unnest(range(0, 64)) AS i FROM e) WHERE v[i + 1] <> 0"""
 
+_SCANNED = f"""WITH {SQL_KEPT} SELECT {_REL}, md5(content) AS content_md5, {_EXT} AS extension,
+        CAST(strlen(content) AS BIGINT) AS size, {_LINES} AS line_count FROM kept"""
+
 ORACLE = {
-    "scan_files_tree": f"""WITH {SQL_KEPT} SELECT {_REL}, md5(content) AS content_md5, {_EXT} AS extension,
-        CAST(strlen(content) AS BIGINT) AS size, {_LINES} AS line_count FROM kept""",
+    "scan_files_tree": _SCANNED,
+    "scan_files_objects": _SCANNED,
     "source_tree": f"WITH {SQL_FILES} SELECT {_REL}, md5(content) AS content_md5 FROM files WHERE doc_id % 5 = 0",
     "text_documents": f"WITH {SQL_FILES} SELECT {_REL}, md5(content) AS content_md5 FROM files",
     "load_documents_tree": f"""WITH {SQL_KEPT} SELECT {_REL}, md5(content) AS content_md5, {_EXT} AS extension,
