@@ -2,7 +2,7 @@
 
 Events wait in state until the watermark has passed them, and are then taken in the order of
 (ts, event_id). So the result does not depend on the order of arrival, as long as rows are not
-later than the watermark allows. A row that comes after the watermark has passed its time can change
+later than the watermark allows. A null key is a key of its own. A row that comes after the watermark has passed its time can change
 nothing any more; it is handed out at once, marked as late and without a time to act.
 """
 
@@ -85,9 +85,10 @@ class _LatestInWindow(StatefulProcessor):
 
 def _frame(key: tuple, acting: list[tuple[int, int, int | None]]) -> pd.DataFrame:
     columns = list(zip(*acting, strict=True)) or [[], [], []]
+    user = None if pd.isna(key[0]) else int(key[0])
     return pd.DataFrame(
         {
-            "user_id": pd.Series([key[0]] * len(acting), dtype="int64"),
+            "user_id": pd.Series([user] * len(acting), dtype="Int64"),
             "event_id": pd.Series(columns[0], dtype="int64"),
             "ts": pd.to_datetime(pd.Series(columns[1], dtype="int64"), unit="us"),
             "fire": pd.to_datetime(pd.Series(columns[2], dtype="Int64"), unit="us"),

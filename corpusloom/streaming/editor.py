@@ -17,7 +17,7 @@ def drop_stale_results_stream(
 
     An outer join of two streams whose state is bounded by the watermarks: a request is passed on
     once no edit can come any more that would make it stale. ``max_wait`` is the longest time from
-    request to response, which limits that state; a longer one fails the job.
+    request to response, which limits that state; a longer one fails the job. A null key is a key of its own.
     """
     limit = F.col("ts").cast("timestamp") + F.expr(f"interval {max_wait}")
     in_time = F.when(
@@ -33,7 +33,7 @@ def drop_stale_results_stream(
         F.col(key).alias("edit_key"), F.col("ts").cast("timestamp").alias("edit_ts")
     ).withWatermark("edit_ts", lateness)
     between = (
-        (F.col("key") == F.col("edit_key"))
+        F.col("key").eqNullSafe(F.col("edit_key"))
         & (F.col("edit_ts") > F.col("ts"))
         & (F.col("edit_ts") <= F.col("resp_ts"))
         & (F.col("edit_ts") <= F.col("ts") + F.expr(f"interval {max_wait}"))

@@ -181,6 +181,29 @@ def test_stale_results_on_a_stream(spark, tmp_path):
     assert got == {i for i, ts in fresh.items() if ts + wait < due}
 
 
+def test_a_null_key_is_a_key_of_its_own(spark, tmp_path):
+    """In both forms: events and edits of no user meet each other and nobody else's."""
+    rows = [(i, None if u == 0 else u, ts) for i, u, ts in events(80, users=2, seed=4)]
+    last = max(r[2] for r in rows) + timedelta(hours=1)
+    batches = [rows[:40], rows[40:], [(900, 7, last)], [(901, 7, last + timedelta(hours=1))]]
+    df = spark.createDataFrame(rows, EVENTS)
+    got = run_available(latest_in_window_stream(parts(spark, tmp_path / "e", batches, EVENTS), 500, "1 second"), "n1")
+    expected = {(r.user_id, r.event_id) for r in timeline.latest_in_window(df).collect()}
+    assert {(r.user_id, r.event_id) for r in got.where("user_id is null or user_id <> 7").collect()} == expected
+    assert any(u is None for u, _ in expected)
+
+    wait = timedelta(milliseconds=1500)
+    asked = [[(*r, r[2] + wait) for r in b] for b in batches]
+    schema = EVENTS + ", resp_ts timestamp"
+    stream = drop_stale_results_stream(
+        parts(spark, tmp_path / "r", asked, schema), parts(spark, tmp_path / "d", batches, EVENTS), "1 minute", "1 second"
+    )
+    shown = {(r.user_id, r.event_id) for r in run_available(stream, "n2").where("event_id < 900").collect()}
+    requests = spark.createDataFrame([r for b in asked[:2] for r in b], schema)
+    kept = {(r.user_id, r.event_id) for r in timeline.drop_stale_results(requests, df).collect()}
+    assert shown == kept and any(u is None for u, _ in kept) and len(kept) < len(rows)
+
+
 def test_index_stream_adds_each_chunk_once(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     schema = "path string, content string, extension string, size long, line_count long, last_modified timestamp"
