@@ -10,13 +10,14 @@ Outcomes in ``state``: resolved; no_validator (resolved, but nothing to compare)
 there, but its validators differ); missing (no earlier response). Only revisit rows are returned.
 
 Only keys, times, validators and headers take part; bodies stay where they are and are named by
-``refers_to``. The as-of join is a running last value by URL. A URL with more than ``hot_rows`` rows is cut
-into runs of time at quantiles of its own times, each a window partition of its own, and the last
-response before each run is carried over from a table with one row per run. So no task gets all rows
-of a URL.
+``refers_to``. The as-of join is a running last value by URL. The rows of URLs with more than ``hot_rows`` rows are
+dealt in the order of the join itself (URL, time, record id) to ranges of about that size, each a window
+partition of its own, and the last response before each range is carried over from a table with one row per
+URL and range. So no task gets all rows of a URL, also when all of them have one time or one id.
 
 Rows with a null URL, time or record id can't be placed: a revisit among them is missing, a response is
-ignored. Repeated rows are resolved each; null headers are empty. Other columns are not carried.
+ignored. Repeated rows are resolved each; null headers are empty, an empty table gives no rows. Other columns are not
+carried.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.common import let
 from corpusloom.llm.common import ascii_lower
 from corpusloom.session import checkpointed
 
@@ -38,8 +40,10 @@ STORED_HEADERS = (
 #: Query parameters that don't name another page.
 TRACKING = "utm_[a-z]*|fbclid|gclid|ref|sessionid"
 HOT_ROWS = 50_000
-#: Runs of all hot URLs together, which bounds the broadcast table of their borders; one URL has 256 at most.
+#: Ranges of all hot URLs together, which bounds the rows that one URL has in the table of carried responses.
 MOST_RUNS = 2000
+#: Hot URLs that are broadcast; more are joined by a shuffle.
+MOST_HOT = 100_000
 
 
 def canonical_url(url: Column) -> Column:
@@ -66,9 +70,12 @@ def header_map(block: Column) -> Column:
             F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)).alias("value"),
         ),
     )
-    last = F.filter(
+    # The pairs are bound, so that they are made once and not for every line.
+    last = let(
         pairs,
-        lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"]),
+        lambda ps: F.filter(
+            ps, lambda x, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda y: y["key"] == x["key"])
+        ),
     )
     return F.map_from_entries(last)
 
@@ -116,17 +123,12 @@ def resolve_revisits(records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     hot = checkpointed(total.where(F.col("n") > hot_rows), "hot-urls")
     found = hot.agg(F.count("*"), F.sum("n")).first()
     if not found[0]:
-        timed = own.withColumn("run", F.lit(0))
-        answered = _with_last(timed)
-    else:
-        # At most MOST_RUNS borders in all, whatever the data: long runs get longer instead.
-        size = max(hot_rows, math.ceil(found[1] / MOST_RUNS))
-        borders = _borders(own, hot.where(F.col("n") > size), size)
-        timed = own.join(F.broadcast(borders), "canonical", "left").withColumn(
-            "run", F.coalesce(F.size(F.filter("borders", lambda b: b < F.col("captured").cast("double"))), F.lit(0))
-        ).drop("borders")
-        timed = timed.withColumn("run", F.greatest("run", F.lit(0)))
-        answered = _with_carry(_with_last(timed), timed)
+        return _judged(_with_last(own.withColumn("run", F.lit(0))), rows)
+    named = F.broadcast(hot.select("canonical")) if found[0] <= MOST_HOT else hot.select("canonical")
+    cold = own.join(named, "canonical", "left_anti").withColumn("run", F.lit(0))
+    ranges = min(MOST_RUNS, math.ceil(found[1] / hot_rows))
+    dealt = _ranged(own.join(named, "canonical", "left_semi"), ranges)
+    answered = _with_last(cold).where("asks").unionByName(_with_carry(_with_last(dealt), dealt))
     return _judged(answered, rows)
 
 
@@ -141,17 +143,11 @@ def _with_last(timed: DataFrame) -> DataFrame:
     return timed.withColumn("last", F.last(_answer(), ignorenulls=True).over(before))
 
 
-def _borders(own: DataFrame, hot: DataFrame, size: int) -> DataFrame:
-    """(canonical, borders): times that cut a hot URL into runs of about ``size`` rows."""
-    parts = hot.select("canonical", F.ceil(F.col("n") / size).cast("int").alias("parts"))
-    kept = own.join(F.broadcast(parts), "canonical")
-    shares = F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda i: i / F.col("parts"))
-    # The sketch is the same for all rows of a URL; its ranks are looked up with the URL's own shares.
-    sketch = kept.groupBy("canonical", "parts").agg(
-        F.percentile_approx(F.col("captured").cast("double"), [i / 256 for i in range(1, 256)], 1000).alias("q")
-    )
-    times = F.transform(shares, lambda s: F.get("q", F.least(F.lit(254), F.floor(s * 256).cast("int") - 1)))
-    return sketch.where("parts > 1").select("canonical", F.array_distinct(times).alias("borders"))
+def _ranged(rows: DataFrame, ranges: int) -> DataFrame:
+    """Rows with the number of their range in the order of the join; stored, as two plans read the ranges."""
+    numbered = rows.withColumn("__row", F.monotonically_increasing_id())
+    dealt = numbered.repartitionByRange(ranges, "canonical", "captured", "record_id", "asks", "__row")
+    return checkpointed(dealt.withColumn("run", F.spark_partition_id()).drop("__row"), "runs")
 
 
 def _with_carry(answered: DataFrame, timed: DataFrame) -> DataFrame:

@@ -210,3 +210,54 @@ def test_pipeline_stages_on_odd_rows(spark):
         rows = stage(spark, docs, sf_dir).collect()
         assert len({tuple(r) for r in rows}) > 100
         assert stage(spark, docs.limit(0), sf_dir).collect() == []
+
+
+@pytest.mark.parametrize("times", [1, 3])
+def test_captures_of_one_time_are_dealt_to_ranges(spark, monkeypatch, times):
+    """All captures of a URL share a time stamp, or a few; each revisit finds the last response before its id."""
+    from corpusloom.llm import revisits
+
+    draw = random.Random(9)
+    rows = []
+    for i in range(700):
+        kind = draw.choice(["response", "revisit"])
+        rows.append((i, "http://a.org/x" if i % 7 else f"http://b.org/{i % 3}", draw.randrange(times), kind, 200 if kind == "response" else 304))
+    frame = spark.createDataFrame(rows, "record_id long, url string, captured long, kind string, status int").repartition(6)
+    frame = frame.withColumns({"headers": F.create_map(F.lit("etag"), F.lit("t")), "digest": F.lit("d")})
+    sizes, keep = [], revisits._ranged
+
+    def ranged(df, ranges):
+        out = keep(df, ranges)
+        sizes.extend(r["count"] for r in out.groupBy("run").count().collect())
+        return out
+
+    monkeypatch.setattr(revisits, "_ranged", ranged)
+    got = {r["record_id"]: r["refers_to"] for r in revisits.resolve_revisits(frame, hot_rows=60).collect()}
+    want, last = {}, {}
+    for i, url, _, kind, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        if kind == "revisit":
+            want[i] = last.get(url)
+        else:
+            last[url] = i
+    assert got == want
+    assert len(sizes) >= 8 and max(sizes) <= 200
+
+
+def test_segments_abreast_as_one_by_one():
+    from corpusloom.llm import sentencepiece_bpe
+    from corpusloom.llm.queries import piece_model
+
+    pieces = sentencepiece_bpe.Pieces(piece_model())
+    draw = random.Random(13)
+    chars = sorted(pieces.plain_chars)
+    common = "▁etaoinshrdlucm.,-éü1"
+    segments = ["".join(draw.choice(common if draw.random() < 0.9 else chars) for _ in range(draw.randrange(1, 49))) for _ in range(4000)]
+    segments += ["aaaaaaaaaaaaaaaa", "a", "ababababab", "▁▁▁▁"]
+    got = [memoryview(b).cast("i").tolist() for b in pieces.merge_abreast(segments)]
+    assert got == [pieces.merge(s) for s in segments]
+    texts = ["plain text", "odd \U0001f9ff਀ text", "x" * 200, "▁ mark"]
+    known, decoded = pieces.learn({s for t in texts for s in pieces.segments(sentencepiece_bpe.marked(t))}, check=True)
+    for t in texts:
+        parts = pieces.segments(sentencepiece_bpe.marked(t))
+        ids = [i for p in parts for i in memoryview(known[p]).cast("i")]
+        assert ids == pieces.library.encode(t) and decoded(parts)[1:] == pieces.library.decode(ids)
