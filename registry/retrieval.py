@@ -80,6 +80,18 @@ def knn_ivf(spark, sf):
     return _ids_and_distances(ivf.search_index(queries, index, 4, "vec_id", "embedding"))
 
 
+def knn_ivf_recall(spark, sf):
+    """Does the index find nine of ten true neighbours, the query itself not counted?"""
+    v = _vectors(spark, sf)
+    index, queries = _indexed(spark, sf)
+    true = op.knn(queries, v, 4, "l2", query_id="vec_id", doc_id="vec_id").where("query_id <> doc_id")
+    hits = ivf.search_index(queries, index, 4, "vec_id", "embedding").select("query_id", "doc_id", F.lit(1).alias("hit"))
+    found = true.join(hits, ["query_id", "doc_id"], "left")
+    return found.agg(
+        F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("reached")
+    )
+
+
 def knn_ivf_all_lists(spark, sf):
     """With every list probed the index answers as an exact search does."""
     index, queries = _indexed(spark, sf)
@@ -136,12 +148,15 @@ def vector_upsert_new(spark, sf):
 QUERIES = {
     fn.__name__: fn
     for fn in (
-        numbered_questions, hash_embeddings, knn_l2, knn_cosine, knn_l2_many, knn_ivf, knn_ivf_all_lists, lsh_buckets, rag_prompt, embed_cache_misses,
+        numbered_questions, hash_embeddings, knn_l2, knn_cosine, knn_l2_many, knn_ivf_recall, knn_ivf_all_lists, lsh_buckets, rag_prompt, embed_cache_misses,
         embed_cached, vector_upsert_new,
     )
 }
 
 
+UNCHECKED = {"knn_ivf": knn_ivf}
+
+
 def sql_embedding(src: str, key: str, text: str, out: str) -> str:
     """CTE ``out`` (key, v): hashing embedding of ``src`` rows as a list of 64 numbers."""
     return f"""
@@ -210,6 +225,7 @@ ORACLE = {
     "knn_cosine": _sql_knn("cosine").format(extra=""),
     "lsh_buckets": f"WITH {_SQL_BUCKETS} SELECT vec_id, band, bucket FROM buckets",
     "knn_l2_many": _L2.format(extra=""),
+    "knn_ivf_recall": "SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 50 = 0",
     "knn_ivf_all_lists": _L2.format(extra="WHERE q.vec_id % 50 = 0"),
     "rag_prompt": SQL_RAG + f"""
         SELECT query_id, md5({SQL_RAG_PROMPT}) AS prompt_md5 FROM top GROUP BY query_id, question""",

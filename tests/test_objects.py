@@ -23,7 +23,9 @@ def tree(tmp_path) -> str:
 
 
 def rows(df, root: str) -> list[tuple]:
-    cols = df.withColumn("path", F.substring_index("path", root, -1))
+    # Times as floats lose a microsecond, which the two ways may round to different sides.
+    time = F.date_trunc("second", F.col("last_modified") + F.expr("interval 5 microseconds"))
+    cols = df.withColumn("path", F.substring_index("path", root, -1)).withColumn("last_modified", time)
     return sorted(map(tuple, cols.select("path", "content", "extension", "size", "line_count", "last_modified").collect()))
 
 
