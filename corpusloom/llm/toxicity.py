@@ -1,10 +1,11 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Training uses a bounded sample of labelled documents (``Settings.per_class`` of each class in expectation, chosen
-by a hash of doc_id; of several rows of one doc_id the text with the smallest hash is taken). Spark counts, for every hashed n-gram, the sampled texts of each class that contain it;
-the ratio of the two shares is the n-gram's log-count ratio. The n-grams with the clearest ratios become
-features whose value is their ratio, and logistic regression weighs them; rows count by the share of
-their class that was sampled, so scores follow the true class sizes.
+Training uses a bounded sample of labelled documents (``Settings.per_class`` of each class in expectation,
+chosen by a hash of doc_id; of several rows of one doc_id the text with the smallest hash is taken). Spark
+counts, for every hashed n-gram, the sampled texts of each class that contain it; the ratio of the two shares
+is the n-gram's log-count ratio. The n-grams with the clearest ratios become features whose value is their
+ratio, and logistic regression weighs them; rows count by the share of their class that was sampled, so scores
+follow the true class sizes.
 
 Scoring reads every text whole, once, without a shuffle. Null and empty texts have no features; their
 score is the bias. Labels: null labels are left out, several labels of a document count as the largest.
