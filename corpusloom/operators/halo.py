@@ -1,9 +1,10 @@
 """Overlapping windows over a joined sequence, with the context each one needs, for models that score tokens.
 
 Windows are ``max_length`` tokens long and begin every ``stride`` tokens, so most tokens stand in several of
-them. A document of the sequence sends to every window it touches the slice that lies in it; the slices of a
-window, at most ``max_length`` tokens together, meet in one row. A document of any length is many small slices,
-and many small documents are few tokens per window, so neither is a hot spot.
+them. Windows that follow each other are one segment, ``SEGMENT_LENGTHS`` lengths of a window long. A document of
+the sequence sends to every segment it touches the slice that lies in it; the slices of a segment meet in one row
+and are cut into windows there, so a token passes the shuffle about once and not once per window. A document of
+any length is many small slices, and many small documents are few tokens per segment, so neither is a hot spot.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions.common import explode_once
 from corpusloom.operators.perplexity import STRIDE
 
+#: Lengths of a window that a segment holds; one more of them, less the stride, stands in its neighbour as well.
+SEGMENT_LENGTHS = 8
+
 #: From a batch of token lists to the negative log-likelihood of every token, given those before it in its list.
 #: The first number of each list is not used: nothing stands before that token.
 Scorer = Callable[[list[list]], Sequence[Sequence[float]]]
@@ -33,33 +37,54 @@ class ScoredModel:
     batch: int = 16
 
 
-def halo_windows(
-    sequence: DataFrame, tokens: str, total: Column, max_length: int, stride: int = STRIDE
-) -> DataFrame:
-    """(window, tokens, first_scored) of a sequence with ``start`` and ``n_tokens``, ``total`` tokens long.
+def halo_segments(sequence: DataFrame, tokens: str, max_length: int, stride: int = STRIDE) -> DataFrame:
+    """(segment, windows, until, tokens) of a sequence with ``start`` and ``n_tokens``.
 
-    The last window is the first one that reaches the end. A window scores what the one before did not reach,
-    the first one only its last ``stride`` tokens; ``first_scored`` is the place in the window where that begins,
-    but not 0, as the first token has no context.
+    Segment s has the ``windows`` windows from s * windows on, and all tokens of theirs. ``until`` is the position
+    behind its last token, so the largest one is the length of the sequence.
     """
     if max_length < stride:
         raise ValueError("max_length must not be smaller than stride")
-    filled = sequence.where(F.col("n_tokens") > 0).withColumn("__total", total)
+    each = math.ceil(SEGMENT_LENGTHS * max_length / stride)
+    filled = sequence.where(F.col("n_tokens") > 0)
     end = F.col("start") + F.col("n_tokens")
-    last_window = F.greatest(F.ceil((F.col("__total") - max_length) / stride), F.lit(0))
     first = F.greatest(F.floor((F.col("start") - max_length) / stride) + 1, F.lit(0))
-    last = F.least(F.ceil(end / stride) - 1, last_window)
+    last = F.ceil(end / stride) - 1
     touched = explode_once(
-        filled.withColumn("__windows", F.sequence(first, last)), F.col("__windows"),
-        tokens, "start", "n_tokens", "__total", value="window",
+        filled.withColumn("__segments", F.sequence(F.floor(first / each), F.floor(last / each))), F.col("__segments"),
+        tokens, "start", "n_tokens", value="segment",
     )
-    begin = F.col("window") * stride
+    begin = F.col("segment") * (each * stride)
     at = F.greatest(begin, F.col("start"))
-    until = F.least(begin + max_length, F.col("start") + F.col("n_tokens"))
+    until = F.least(begin + ((each - 1) * stride + max_length), F.col("start") + F.col("n_tokens"))
     part = F.slice(F.col(tokens), (at - F.col("start") + 1).cast("int"), (until - at).cast("int"))
-    slices = touched.select("window", "__total", F.struct(at.alias("at"), part.alias("part")).alias("__slice"))
+    slices = touched.select("segment", until.alias("until"), F.struct(at.alias("at"), part.alias("part")).alias("__slice"))
     whole = F.flatten(F.transform(F.sort_array(F.collect_list("__slice")), lambda s: s["part"]))
-    windows = slices.groupBy("window", "__total").agg(whole.alias("tokens"))
+    return slices.groupBy("segment").agg(
+        F.lit(each).alias("windows"), F.max("until").alias("until"), whole.alias("tokens")
+    )
+
+
+def windows_of(segments: DataFrame, total: Column, max_length: int, stride: int = STRIDE) -> DataFrame:
+    """(window, tokens, first_scored) of :func:`halo_segments` that were made for this length or a larger one.
+
+    ``total`` is the length of the sequence. The last window is the first one that reaches the end. A window scores
+    what the one before did not reach, the first one only its last ``stride`` tokens; ``first_scored`` is the place
+    in the window where that begins, but not 0, as the first token has no context.
+    """
+    if max_length < stride:
+        raise ValueError("max_length must not be smaller than stride")
+    last_window = F.greatest(F.ceil((F.col("__total") - max_length) / stride), F.lit(0))
+    low = F.col("segment") * F.col("windows")
+    high = F.least(low + F.col("windows") - 1, last_window)
+    sized = segments.withColumn("__total", total)
+    # A slice behind the explode is compiled; inside a lambda it would pass over the segment for every window.
+    numbered = explode_once(
+        sized.withColumn("__low", low).withColumn("__windows", F.when(low <= last_window, F.sequence(low, high))),
+        F.col("__windows"), "__total", "__low", "tokens", value="window",
+    )
+    begin = ((F.col("window") - F.col("__low")) * stride + 1).cast("int")
+    windows = numbered.select("__total", "window", F.slice("tokens", begin, F.lit(max_length)).alias("tokens"))
     new = F.when(F.col("window") == 0, F.least(F.lit(stride), F.col("__total"))).otherwise(
         F.least(F.lit(stride), F.col("__total") - (F.col("window") - 1) * stride - max_length)
     )
@@ -67,6 +92,13 @@ def halo_windows(
     return windows.select("window", "tokens", first_scored.alias("first_scored"))
 
 
+def halo_windows(
+    sequence: DataFrame, tokens: str, total: Column, max_length: int, stride: int = STRIDE
+) -> DataFrame:
+    """(window, tokens, first_scored) of a sequence with ``start`` and ``n_tokens``, ``total`` tokens long."""
+    return windows_of(halo_segments(sequence, tokens, max_length, stride), total, max_length, stride)
+
+
 def score_windows(windows: DataFrame, models: Mapping[str, ScoredModel], deal: bool = True) -> DataFrame:
     """(model, window, mean_nll, scored): every model over every window of its own.
 

@@ -68,12 +68,18 @@ def scorer_perplexity(
     type; a null array counts as no tokens.
     """
     filled = docs.select(*order, F.coalesce(F.col(tokens), F.array().cast("array<string>")).alias(tokens))
-    # read once per length of a window and for the total
-    sequence = checkpointed(op.joined_in_order(filled, order, tokens, separator), "sequence")
-    total = sequence.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).scalar()
+    sequence = op.joined_in_order(filled, order, tokens, separator)
+    lengths = sorted({m.max_length for m in models.values()})
+    # Read once per model and for the total: windows overlap and models share them, so neither passes a shuffle.
+    segments = checkpointed(halo.halo_segments(sequence, tokens, lengths[-1], stride), "segments")
+    total = segments.agg(F.coalesce(F.max("until"), F.lit(0))).scalar()
     windows = None
-    for length in sorted({m.max_length for m in models.values()}):
-        names = F.array(*[F.lit(name) for name, m in models.items() if m.max_length == length])
-        own = halo.halo_windows(sequence, tokens, total, length, stride).withColumn("model", F.explode(names))
-        windows = own if windows is None else windows.unionByName(own)
-    return halo.score_windows(windows, models, deal)
+    for length in lengths:
+        names = [name for name, m in models.items() if m.max_length == length]
+        own = halo.windows_of(segments, total, length, stride)
+        # dealt: a scan of its own for each model, so a task needs one
+        scans = [[name] for name in names] if deal else [names]
+        for scan in scans:
+            named = own.withColumn("model", F.explode(F.array(*[F.lit(name) for name in scan])))
+            windows = named if windows is None else windows.unionByName(named)
+    return halo.score_windows(windows, models, deal=False)

@@ -106,3 +106,14 @@ def test_no_window_carries_tokens(spark, monkeypatch):
     packed = training.pack_in_order(df, ["path"], "tokens", 2)
     assert [r["input_ids"] for r in packed.orderBy("piece").collect()] == [["x", "<eos>"], ["y", "z"]]
     assert seen == [["__number", "path", "__n"]]
+
+
+def test_tokens_pass_the_shuffle_about_once(spark):
+    """Windows overlap fourfold and three models read them; the stored segments hardly repeat a token."""
+    df = spark.createDataFrame([(f"f{i}", ["w"] * 500) for i in range(40)], "path string, tokens array<string>")
+    sequence = perplexity.joined_in_order(df, ["path"], "tokens")
+    segments = halo.halo_segments(sequence, "tokens", 64, 16).selectExpr("size(tokens) n", "until").collect()
+    assert sum(r["n"] for r in segments) < 1.2 * 20_000 and max(r["until"] for r in segments) == 20_000
+    models = {name: halo.ScoredModel(lambda: cache_scorer(10), n) for name, n in (("a", 32), ("b", 64), ("c", 64))}
+    scored = scorer_perplexity(df, ["path"], "tokens", models, [], 16)
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
