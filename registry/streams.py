@@ -23,10 +23,10 @@ FRACTION = 0.05
 
 
 def stream(spark, sf, name, *cols):
-    """A driver table as a file stream."""
+    """A driver table as a file stream, whether it is one file or a folder of files."""
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return reader.parquet(sf).select(*cols)
+    # A pattern, as Spark takes a path without one for the folder of partitions, which a file cannot be.
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]").select(*cols)
 
 
 def _tokens(spark, sf):

@@ -17,6 +17,7 @@ from corpusloom.streaming.debounce import latest_in_window_stream
 from corpusloom.streaming.editor import drop_stale_results_stream
 from corpusloom.streaming.responses import assemble_responses_stream, format_step, stream_to_html
 from corpusloom.streaming.run import ROCKSDB, run_available
+from registry import streams
 
 START = datetime(2024, 1, 1)
 TOKENS = "response_id string, seq long, token string, is_end boolean"
@@ -213,3 +214,17 @@ def test_index_stream_adds_each_chunk_once(spark, tmp_path):
     corpus.index_stream(stream, table, cache, str(tmp_path / "state")).awaitTermination()
     assert sorted(r.path for r in spark.read.parquet(table).collect()) == [r[0] for r in rows]
     assert spark.read.parquet(cache).count() == 4
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_table_of_one_or_many_files_as_a_stream(spark, tmp_path, files):
+    """A driver table is one file, or a folder of that name with files in it."""
+    rows = spark.range(9).selectExpr("id as doc_id", "'en' as lang", "'s' as source").repartition(files)
+    path = tmp_path / "documents.parquet"
+    rows.write.parquet(str(path))
+    if files == 1:
+        next(path.glob("part-*")).rename(tmp_path / "one")
+        path.rename(tmp_path / "rest")
+        (tmp_path / "one").rename(path)
+    got = streams.corpus_streaming(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(9))
