@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,3 +240,47 @@ def test_quoted_texts_look_like_literals(spark):
     texts = [*chars, "", "it's", 'say "it\'s"', "a\\b\x00\x1b[0m\n", "tab\tend ", "plain"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", quoted(F.col("t")).alias("q")).collect()
     assert {r["t"]: r["q"] for r in rows} == {t: repr(t) for t in texts}
+
+
+@pytest.mark.parametrize("uri", [False, True])
+def test_very_many_folders_are_few_units_of_work(spark, tmp_path, uri):
+    """The driver hands out shares of a folder, not its subfolders one by one; every file is found once."""
+    want = set()
+    for i in range(2 * filetree.MAX_DRIVER_LISTINGS):
+        put(tmp_path, f"lang/task{i}/sub/one", str(i))
+        want.add(f"lang/task{i}/sub/one")
+    put(tmp_path, "lang/own", "x")
+    listed = filetree.list_files(spark, f"file://{tmp_path}" if uri else str(tmp_path))
+    got = [r["rel_path"] for r in listed.select("rel_path").collect()]
+    assert len(got) == len(want) + 1 and set(got) == want | {"lang/own"}
+    assert listed.rdd.getNumPartitions() <= filetree.MAX_DRIVER_LISTINGS + 1
+
+
+def test_read_batches_are_bounded(tmp_path):
+    """Contents held at a time stay below a bound that four tasks of an executor can have."""
+    paths = [str(put(tmp_path, f"f{i}", b"x" * 3_000_000)) for i in range(9)]
+    batch = pa.RecordBatch.from_pydict({"path": paths})
+    parts = list(filetree._read_batches(iter([batch])))
+    assert [p["path"].to_pylist() for p in parts] == [paths[:3], paths[3:6], paths[6:]]
+
+
+def test_report_shuffles_texts_once(spark, tmp_path, monkeypatch):
+    """The ranges of the page serve the grouping by task: no second exchange carries the texts."""
+    rows = spark.createDataFrame(
+        [(f"l{i % 2}", f"t{i}", "a<todo>b", m, f"a{m}b") for i in range(6) for m in ("m1", "m2", "m3")],
+        "lang_id string, task_name string, task string, model_id string, full_code string",
+    )
+    plans = []
+    keep = tables.op.report_fragments
+
+    def fragments(df, *args, **kwargs):
+        found = keep(df, *args, **kwargs)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(tables.op, "report_fragments", fragments)
+    tables.write_html_report(rows, str(tmp_path / "page"))
+    grouped = plans[0].split("Union")[0]
+    assert grouped.count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in grouped
+    lines = spark.read.text(str(tmp_path / "page")).collect()
+    assert sum("<h2>" in r["value"] for r in lines) == 6 and sum("<html>" in r["value"] for r in lines) == 2
