@@ -136,8 +136,8 @@ def compact(spark: SparkSession, table: str) -> int:
     if upto is None:
         return generation
     newest = log.groupBy("path").agg(F.max(F.struct("version", "batch", "gone")).alias("n"))
-    kept = checkpointed(current_chunks(spark, table), "live")
-    _write_batch(kept, table, "chunks", generation + 1, upto)
+    # the folder of another generation is written, so what is read needs no copy
+    _write_batch(current_chunks(spark, table), table, "chunks", generation + 1, upto)
     _write_batch(newest.select("path", "n.version", "n.gone"), table, "files", generation + 1, upto)
     done = spark.range(1).select(
         F.lit(generation + 1).cast("bigint").alias("generation"), F.lit(upto).cast("bigint").alias("upto")
