@@ -7,13 +7,16 @@ best of what it has seen, so no candidate pair ever becomes a row. Distances are
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions.common import explode_once
 from corpusloom.functions.rng import uniform_value
@@ -22,8 +25,9 @@ from corpusloom.functions.rng import uniform_value
 MAX_BROADCAST_QUERIES = 4096
 # Rows per side of one block when both sides are large.
 BLOCK_ROWS = 8192
-# Distances held in memory at a time, per task.
-_MAX_CELLS = 4_000_000
+# Rows of a block when every query meets every document: as many as keep the cores busy, within these bounds.
+LEAST_BLOCK_ROWS, MOST_BLOCK_ROWS = 1024, 65_536
+TASKS_PER_CORE = 8
 DIGITS = 9
 
 
@@ -35,80 +39,164 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.astype(np.float64).reshape(len(column), -1)
 
 
+def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.array(column.to_pylist(), dtype=object) if column.null_count else column.to_numpy(zero_copy_only=False)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def _distances(queries: np.ndarray, docs: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "cosine":
-        dist = 1.0 - _unit(queries) @ _unit(docs).T
-    elif metric == "l2":
-        dist = (
-            (queries**2).sum(axis=1)[:, None] + (docs**2).sum(axis=1)[None, :] - 2.0 * queries @ docs.T
-        )
-    else:
-        raise ValueError(f"unknown metric {metric}")
-    return np.round(np.maximum(dist, 0.0), DIGITS) + 0.0
+#: More than the relative rounding error of a fast score of up to some hundred components.
+_FAST_ERROR = {np.dtype(np.float32): 2e-5, np.dtype(np.float64): 1e-12}
+#: Rows of queries and of documents that meet in one product of matrices; pairs measured exactly at a time.
+_QUERY_TILE, _DOC_TILE, _PAIRS = 1024, 4096, 1 << 16
+_FIRST_TILE = 512
+#: Squares up to this fit single precision.
+_MOST_FAST = 1e30
+#: Pairs per query beyond which a tile is scored again in double precision.
+_MANY = 64
+
+
+def _codes(ids: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(names in order, their numbers): numbers of ``ids`` and then of ``known`` compare as the ids do."""
+    every = np.concatenate([ids, known.ravel()]) if known.size else ids
+    if every.dtype != object:
+        return np.unique(every, return_inverse=True)
+    names = sorted(set(every.tolist()), key=lambda v: (v is None, 0 if v is None else v))
+    place = {v: i for i, v in enumerate(names)}
+    return np.array(names, dtype=object), np.fromiter((place[v] for v in every), np.int64, len(every))
+
+
+def _first_copies(docs: np.ndarray, codes: np.ndarray, k: int) -> np.ndarray:
+    """Places of the documents that may be among the k nearest: of equal vectors the k with the smallest ids."""
+    rows = np.ascontiguousarray(docs + 0.0)
+    alike = np.unique(rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel(), return_inverse=True)[1]
+    if alike.max(initial=-1) + 1 == len(docs):
+        return np.argsort(codes, kind="stable")
+    order = np.lexsort((codes, alike))
+    return np.sort(order[_places(alike[order]) < k])
+
+
+def _places(sorted_keys: np.ndarray) -> np.ndarray:
+    """Place of each element among its equals, from 0."""
+    starts = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]])
+    return np.arange(len(sorted_keys)) - np.repeat(starts, np.diff(np.r_[starts, len(sorted_keys)]))
 
 
 class _Best:
-    """The k nearest documents of each query among all blocks added so far."""
+    """The k nearest documents of each query among all blocks added so far.
+
+    A product of matrices in single precision scores all pairs of a tile. Those whose score may belong to the k
+    nearest, by a bound of its rounding error, are few; they are measured in double precision by differences.
+    Distances that are no finite numbers come last.
 
-    def __init__(self, queries: np.ndarray, k: int, metric: str):
-        self.queries, self.k, self.metric, self.slack = queries, k, metric, 0.0
+    With ``limit``, a distance for each query, what is farther is of no interest: places that are left then have an
+    infinite distance.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int, metric: str, limit: np.ndarray | None = None):
+        if metric not in ("l2", "cosine"):
+            raise ValueError(f"unknown metric {metric}")
+        self.queries, self.k, self.metric = _unit(queries) if metric == "cosine" else queries, k, metric
+        self.limit = limit
         self.ids = np.empty((len(queries), 0), dtype=object)
         self.dist = np.empty((len(queries), 0))
 
     def add(self, ids: np.ndarray, docs: np.ndarray) -> None:
-        step = max(1, _MAX_CELLS // max(1, len(self.queries)))
-        for at in range(0, len(ids), step):
-            part = slice(at, at + step)
-            dist = _distances(self.queries, docs[part], self.metric)
-            # more than what the fast form of the distance loses
-            squares = (self.queries**2).sum(axis=1).max(initial=0) + (docs[part] ** 2).sum(axis=1).max(initial=0)
-            self.slack = 1e-8 + 1e-12 * squares
-            if self.ids.shape[1] < self.k:
-                touched = np.arange(len(dist))
-            else:
-                # only queries that this block can improve
-                touched = np.flatnonzero(dist.min(axis=1) <= self.dist.max(axis=1) + self.slack)
-            if len(touched):
-                self._merge(touched, ids[part], docs[part], dist[touched])
-
-    def _merge(self, touched: np.ndarray, ids: np.ndarray, docs: np.ndarray, dist: np.ndarray) -> None:
-        old = self.ids.shape[1]
-        every = np.hstack([self.ids[touched], np.broadcast_to(ids, dist.shape)])
-        dist = np.hstack([self.dist[touched], dist])
-        if dist.shape[1] > self.k:
-            # what may be among the nearest by the fast distances, then exactly
-            index = np.argpartition(dist, self.k - 1, axis=1)[:, : self.k]
-            border = np.take_along_axis(dist, index, 1).max(axis=1)
-            chosen = []
-            for q in range(len(dist)):
-                near = np.flatnonzero(dist[q] <= border[q] + self.slack)
-                exact = self._exact(touched[q], near, old, dist[q], docs)
-                order = sorted(range(len(near)), key=lambda j, n=near, e=exact, q=q: (e[j], every[q][n[j]]))[: self.k]
-                chosen.append((every[q][near[order]], exact[order]))
-            new_ids, new_dist = np.array([c[0] for c in chosen], dtype=object), np.array([c[1] for c in chosen])
-        else:
-            new_ids = every
-            new_dist = np.array(
-                [self._exact(touched[q], np.arange(dist.shape[1]), old, dist[q], docs) for q in range(len(dist))]
-            ).reshape(dist.shape)
-        if new_ids.shape[1] != old:
-            self.ids, self.dist = new_ids.reshape(len(touched), -1), new_dist.reshape(len(touched), -1)
+        if not len(ids) or not len(self.queries) or not self.k:
+            return
+        docs = _unit(docs) if self.metric == "cosine" else docs
+        n, old = len(ids), self.ids.shape[1]
+        names, codes = _codes(ids, self.ids)
+        known = codes[n:].reshape(self.dist.shape)
+        dist, places = (np.full((len(self.queries), self.k), x) for x in (np.inf, len(names)))
+        measured = np.isfinite(self.dist)
+        dist[:, :old], places[:, :old] = np.where(measured, self.dist, np.inf), np.where(measured, known, len(names))
+        kept = _first_copies(docs, codes[:n], self.k)
+        docs, codes = docs[kept], codes[:n][kept]
+        finite = np.isfinite(docs).all(axis=1)
+        near, own = docs[finite], codes[finite]
+        middle = near.mean(axis=0) if self.metric == "l2" and len(near) else np.zeros(docs.shape[1])
+        for at in range(0, len(self.queries), _QUERY_TILE):
+            rows = slice(at, at + _QUERY_TILE)
+            limit = None if self.limit is None else self.limit[rows]
+            self._scan(self.queries[rows], near, own, middle, dist[rows], places[rows], limit)
+        found = min(self.k, old + n)
+        if self.limit is None:
+            for q in np.flatnonzero(~np.isfinite(dist[:, :found]).all(axis=1)):
+                every = np.concatenate([self.dist[q], self._exact(self.queries[[q]].repeat(len(docs), axis=0), docs)])
+                code = np.concatenate([known[q], codes])
+                order = np.lexsort((code, every))[:found]
+                dist[q, :found], places[q, :found] = every[order], code[order]
+        self.ids, self.dist = names[np.minimum(places[:, :found], len(names) - 1)], dist[:, :found]
+
+    def _scan(
+        self, q: np.ndarray, docs: np.ndarray, codes: np.ndarray, middle: np.ndarray, dist: np.ndarray,
+        places: np.ndarray, limit: np.ndarray | None,
+    ) -> None:
+        """Take the documents into ``dist`` and ``places``, the k nearest of the queries ``q`` in order."""
+        # A short tile first: without a k-th distance yet its scores are partitioned.
+        cuts = [0, *range(min(_FIRST_TILE, len(docs)), len(docs), _DOC_TILE), len(docs)]
+        for at, end in itertools.pairwise(cuts):
+            d, own = docs[at:end], codes[at:end]
+            kth = dist[:, -1] if limit is None else np.minimum(dist[:, -1], limit)
+            for kind in (np.float32, np.float64):
+                row, column = self._near(q, d, middle, kth, np.dtype(kind))
+                if len(row) <= _MANY * len(q):
+                    break
+            exact = np.empty(len(row))
+            for i in range(0, len(row), _PAIRS):
+                part = slice(i, i + _PAIRS)
+                exact[part] = self._exact(q[row[part]], d[column[part]])
+            code = own[column]
+            better = (exact < dist[row, -1]) | ((exact == dist[row, -1]) & (code < places[row, -1]))
+            row, exact, code = row[better], exact[better], code[better]
+            if not len(row):
+                continue
+            touched = np.unique(row)
+            row = np.concatenate([np.repeat(touched, self.k), row])
+            exact = np.concatenate([dist[touched].ravel(), exact])
+            code = np.concatenate([places[touched].ravel(), code])
+            order = np.lexsort((code, exact, row))
+            order = order[_places(row[order]) < self.k]
+            dist[touched], places[touched] = exact[order].reshape(-1, self.k), code[order].reshape(-1, self.k)
+
+    def _near(
+        self, q: np.ndarray, d: np.ndarray, middle: np.ndarray, kth: np.ndarray, kind: np.dtype
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """(query, document) of all pairs in the tile that may be as near as ``kth`` or among the k nearest of it."""
+        q, d = q - middle, d - middle
+        if self.metric == "l2":
+            own, length = (q * q).sum(axis=1), (d * d).sum(axis=1)
+            scores = np.hstack([-2 * q, np.ones((len(q), 1))]).astype(kind) @ np.hstack([d, length[:, None]]).astype(kind).T
+            reach = 2 * np.sqrt(own * length.max()) + own + length.max()
         else:
-            self.ids[touched], self.dist[touched] = new_ids, new_dist
-
-    def _exact(self, query: int, near: np.ndarray, old: int, dist: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """Distances by differences: the fast form loses digits, so equal vectors would not be at 0."""
-        out = dist[near].copy()
-        fresh = near >= old
-        if self.metric == "l2" and fresh.any():
-            apart = docs[near[fresh] - old] - self.queries[query]
-            out[fresh] = np.round((apart * apart).sum(axis=1), DIGITS) + 0.0
-        return out
+            own = np.ones(len(q))
+            scores = (-q).astype(kind) @ d.astype(kind).T
+            reach = np.full(len(q), 2.0)
+        if kind == np.float32 and not np.nanmax(reach, initial=0) < _MOST_FAST:
+            return self._near(q + middle, d + middle, middle, kth, np.dtype(np.float64))
+        slack = 1e-8 + _FAST_ERROR[kind] * reach
+        border = kth - own + slack
+        open_ = np.flatnonzero(~np.isfinite(kth))
+        if len(open_):
+            nearest = scores[open_]
+            if len(d) > self.k:
+                nearest = np.partition(nearest, self.k - 1, axis=1)[:, : self.k]
+            border[open_] = nearest.max(axis=1) + 2 * slack[open_]
+        # Rounded up, as the border passes into the precision of the scores.
+        border = np.nextafter(border.astype(kind), kind.type(np.inf))
+        flat = np.flatnonzero(scores <= border[:, None])
+        return flat // len(d), flat % len(d)
+
+    def _exact(self, q: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Distances of pairs by differences: the fast form loses digits, so equal vectors would not be at 0."""
+        if self.metric == "l2":
+            apart = q - d
+            return np.round(np.einsum("ij,ij->i", apart, apart), DIGITS) + 0.0
+        return np.round(np.maximum(1.0 - np.einsum("ij,ij->i", q, d), 0.0), DIGITS) + 0.0
 
 
 def _ranked(candidates: DataFrame, k: int) -> DataFrame:
@@ -163,8 +251,7 @@ def knn(
         best = _Best(vectors, k, metric)
         for batch in batches:
             if batch.num_rows:
-                doc_ids = batch["doc_id"].to_numpy(zero_copy_only=False).astype(object)
-                best.add(doc_ids, _matrix(batch["vector"]))
+                best.add(_ids(batch["doc_id"]), _matrix(batch["vector"]))
         found = best.ids.shape[1]
         yield pa.RecordBatch.from_pandas(
             pd.DataFrame(
@@ -195,7 +282,7 @@ def _block_search(k: int, metric: str) -> Callable:
             return pd.DataFrame({"query_id": [], "doc_id": [], "distance": []})
         best = _Best(np.stack(q["vector"].to_numpy()).astype(np.float64), k, metric)
         best.add(
-            c["doc_id"].to_numpy().astype(object), np.stack(c["vector"].to_numpy()).astype(np.float64)
+            c["doc_id"].to_numpy(), np.stack(c["vector"].to_numpy()).astype(np.float64)
         )
         found = best.ids.shape[1]
         return pd.DataFrame(
@@ -213,25 +300,49 @@ def _block_of(key: Column, count: Column) -> Column:
     return F.pmod(F.xxhash64(key), count).cast("int")
 
 
+def blocks_per_side(spark: SparkSession, rows: int) -> int:
+    """Blocks to cut ``rows`` into whose pairs keep all cores busy; more only where a block would be too long."""
+    wanted = math.isqrt(TASKS_PER_CORE * spark.sparkContext.defaultParallelism) + 1
+    return max(_block_count(rows, MOST_BLOCK_ROWS), min(wanted, _block_count(rows, LEAST_BLOCK_ROWS)))
+
+
 def _knn_blocks(
-    q: DataFrame, c: DataFrame, k: int, metric: str, block_rows: int = BLOCK_ROWS
+    q: DataFrame, c: DataFrame, k: int, metric: str, block_rows: int | None = None
 ) -> DataFrame:
-    q_type, c_type = _types(q, c)
-    q_blocks, c_blocks = _block_count(q.count(), block_rows), _block_count(c.count(), block_rows)
+    """Every block of queries meets every block of documents, in a task of its own.
+
+    A row is copied once per block of the other side, which a table of up to millions of rows has few of.
+    """
+    spark = q.sparkSession
+    q_blocks, c_blocks = (
+        _block_count(n, block_rows) if block_rows else blocks_per_side(spark, n) for n in (q.count(), c.count())
+    )
     left = q.withColumn("qb", _block_of(F.col("query_id"), F.lit(q_blocks))).withColumn(
         "cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))
     )
     right = c.withColumn("cb", _block_of(F.col("doc_id"), F.lit(c_blocks))).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
     )
-    partial = (
-        left.groupBy("qb", "cb")
-        .cogroup(right.groupBy("qb", "cb"))
-        .applyInPandas(
-            _block_search(k, metric), f"query_id {q_type}, doc_id {c_type}, distance double"
+    schema = T.StructType([q.schema["query_id"], c.schema["doc_id"], T.StructField("distance", T.DoubleType())])
+
+    def search(asked: pa.Table, corpus: pa.Table) -> pa.Table:
+        types = asked.schema.field("query_id").type, corpus.schema.field("doc_id").type
+        best = _Best(_matrix(asked["vector"]) if len(asked) else np.zeros((0, 0)), k, metric)
+        if len(asked) and len(corpus):
+            best.add(_ids(corpus["doc_id"]), _matrix(corpus["vector"]))
+        found = pa.array(np.repeat(np.arange(len(asked)), best.ids.shape[1]))
+        return pa.table(
+            [
+                asked["query_id"].take(found).cast(types[0]),
+                pa.array(best.ids.ravel().tolist(), types[1]),
+                pa.array(best.dist.ravel(), pa.float64()),
+            ],
+            names=schema.names,
         )
-    )
-    return _ranked(partial, k)
+
+    # The blocks are small tables but long tasks, so their number is given and not found by size.
+    sides = [df.repartition(q_blocks * c_blocks, "qb", "cb").groupBy("qb", "cb") for df in (left, right)]
+    return _ranked(sides[0].cogroup(sides[1]).applyInArrow(search, schema), k)
 
 
 def lsh_buckets(vector: Column, dim: int, bands: int, bits: int, seed: int = 0) -> Column:

@@ -163,3 +163,39 @@ def test_equal_vectors_far_from_the_origin_are_at_zero(spark):
         assert {(r.query_id, r.doc_id, r.distance, r["rank"]) for r in got} == {
             x for i in range(25) for x in ((i, i, 0.0, 1), (i, i + 25, 0.0, 2))
         }
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+@pytest.mark.parametrize("offset", [0.0, 1e4])
+def test_few_pairs_are_measured(monkeypatch, metric, offset):
+    measured = []
+    exact = op._Best._exact
+    monkeypatch.setattr(op._Best, "_exact", lambda self, q, d: measured.append(len(q)) or exact(self, q, d))
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(3000, 16)) + (offset if metric == "l2" else 0)
+    data[1000:2000] = data[7]
+    ids = rng.permutation(3000)
+    best = op._Best(data[:300], 4, metric)
+    for at in range(0, 3000, 1700):
+        best.add(ids[at : at + 1700], data[at : at + 1700])
+    unit = data if metric == "l2" else op._unit(data)
+    for q in range(300):
+        dist = ((unit - unit[q]) ** 2).sum(axis=1) if metric == "l2" else np.maximum(1 - unit @ unit[q], 0)
+        dist = np.round(dist, 9)
+        assert best.ids[q].tolist() == ids[np.lexsort((ids, dist))[:4]].tolist()
+    assert sum(measured) < 300 * 3000 / 20
+
+
+def test_distances_that_are_no_numbers_come_last():
+    best = op._Best(np.array([[np.nan, 1.0], [0.0, 0.0]]), 3, "l2")
+    best.add(np.array([3, 1, 2]), np.array([[1.0, 1], [np.nan, 0], [2, 2]]))
+    assert best.ids.tolist() == [[1, 2, 3], [3, 2, 1]]
+    best.add(np.array([0]), np.array([[5.0, 5.0]]))
+    assert best.ids.tolist() == [[0, 1, 2], [3, 2, 0]]
+
+
+def test_blocks_keep_the_cores_busy_within_bounds(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert op.blocks_per_side(spark, 500) == 1
+    assert op.TASKS_PER_CORE * cores <= op.blocks_per_side(spark, 100_000) ** 2 < 2 * op.TASKS_PER_CORE * cores
+    assert op.blocks_per_side(spark, 10_000_000) == -(-10_000_000 // op.MOST_BLOCK_ROWS)
