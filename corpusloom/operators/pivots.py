@@ -5,9 +5,11 @@ into pieces of equal size; a piece knows its pivot and the range of distances in
 a query q cannot be nearer than max(|q p| - high, low - |q p|) to a piece of pivot p.
 
 A query visits pieces by that bound, in three rounds: first as many as hold k vectors, then a few more, then all
-whose bound does not exceed the k-th distance found so far. Each round sends the queries to the pieces they
-visit; the corpus is not copied per query, but for pieces that very many queries visit, where one copy serves
-``QUERY_ROWS`` of them. A task holds one piece and lets its queries stream by.
+whose bound does not exceed the k-th distance found so far. Neighbouring pieces make a region, and there are few
+regions: a round sends a query once to each region in which it visits pieces, with their numbers, so where bounds leave
+every piece, as in many dimensions, a vector is still copied once per region and not once per piece. The
+corpus is not copied per query, but for regions that very many queries visit, where one copy serves ``QUERY_ROWS`` of
+them. A task holds one region and lets its queries stream by.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ from corpusloom.session import checkpointed
 MOST_PIVOTS = 1024
 MOST_PIECES = 100_000
 LEAST_PIECE_ROWS = 256
-#: Queries that one copy of a piece serves.
-QUERY_ROWS = 65_536
+#: Queries that one copy of a region serves.
+QUERY_ROWS = 16_384
+#: Cells of the tables of queries and pieces that a task holds at a time.
+_CELLS = 1 << 21
 #: Pieces of the second round.
 SECOND_ROUND = 4
 #: More than the rounding error of a bound, relative to the distances it comes from.
@@ -131,84 +135,127 @@ def _cut(corpus: DataFrame, piece_rows: int | None) -> tuple[DataFrame, _Pieces]
     return numbered, pieces
 
 
-def _visits(queries: DataFrame, pieces: _Pieces, k: int, stage: int) -> DataFrame:
-    """(query_id, vector, piece) for every piece that a query visits in the round."""
-    shared = queries.sparkSession.sparkContext.broadcast(pieces)
+def _regions(pieces: _Pieces, count: int) -> np.ndarray:
+    """The region of every piece: runs of pieces with about as many rows each."""
+    before = np.cumsum(pieces.rows) - pieces.rows
+    return (before * count // max(1, pieces.rows.sum())).astype(np.int32)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def visited(vectors: pd.Series, kth: pd.Series) -> pd.Series:
-        if vectors.empty:
-            return pd.Series([], dtype=object)
-        x = np.stack(vectors.to_numpy()).astype(np.float64)
-        found = shared.value.visits(x, kth.to_numpy(dtype=np.float64, na_value=np.inf), k, stage)
-        return pd.Series([f.astype(np.int32) for f in found])
 
-    rows = queries.withColumn("__p", visited("vector", "kth"))
-    return explode_once(rows, F.col("__p"), "query_id", "vector", value="piece").drop("pos")
+def _visits(queries: DataFrame, pieces: _Pieces, regions: np.ndarray, k: int, stage: int) -> DataFrame:
+    """(query_id, vector, kth, region, pieces) for every region in which a query visits pieces in the round."""
+    shared = queries.sparkSession.sparkContext.broadcast((pieces, regions))
+    schema = T.StructType(
+        [
+            *queries.schema.fields,
+            T.StructField("region", T.IntegerType()),
+            T.StructField("pieces", T.ArrayType(T.IntegerType())),
+        ]
+    )
+
+    def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, regions = shared.value
+        step = max(1, _CELLS // len(regions))
+        for whole in batches:
+            for batch in (whole.slice(at, step) for at in range(0, len(whole), step)):
+                lists = pieces.visits(retrieval._matrix(batch["vector"]), batch["kth"].to_numpy(), k, stage)
+                row = np.repeat(np.arange(len(batch)), [len(p) for p in lists])
+                own = np.concatenate(lists).astype(np.int32)
+                order = np.lexsort((own, row))
+                row, own = row[order], own[order]
+                if not len(own):
+                    continue
+                region = regions[own]
+                starts = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(region) != 0)])
+                offsets = pa.array(np.r_[starts, len(own)].astype(np.int32))
+                columns = [c.take(pa.array(row[starts])) for c in batch.columns]
+                found = [pa.array(region[starts]), pa.ListArray.from_arrays(offsets, pa.array(own))]
+                yield pa.RecordBatch.from_arrays([*columns, *found], names=schema.names)
+
+    return queries.mapInArrow(visited, schema)
 
 
 def _meet(visits: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, distance): the k nearest of every visited piece."""
-    askers = checkpointed(visits.groupBy("piece").agg(F.count(F.lit(1)).alias("n")), "askers")
-    copies = F.broadcast(askers.select("piece", F.ceil(F.col("n") / QUERY_ROWS).cast("int").alias("__copies")))
+    """(query_id, doc_id, distance): the k nearest in the visited pieces of every region, none farther than ``kth``."""
+    askers = checkpointed(visits.groupBy("region").agg(F.count(F.lit(1)).alias("n")), "askers")
+    copies = askers.select("region", F.ceil(F.col("n") / QUERY_ROWS).cast("int").alias("__copies"))
+    tasks = max(1, copies.agg(F.coalesce(F.sum("__copies"), F.lit(0))).first()[0])
+    copies = F.broadcast(copies)
     schema = T.StructType(
         [visits.schema["query_id"], corpus.schema["doc_id"], T.StructField("distance", T.DoubleType())]
     )
+    alike = visits.schema["vector"].dataType == corpus.schema["vector"].dataType
+    vector = F.col("vector") if alike else F.col("vector").cast("array<double>").alias("vector")
     nothing = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
     sides = (
-        corpus.join(copies, "piece")
+        corpus.join(copies, "region")
         .select(
-            "piece", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("copy"), F.lit(0).alias("side"),
-            nothing(visits, "query_id"), "doc_id", F.col("vector").cast("array<double>").alias("vector"),
+            "region", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("copy"), F.lit(0).alias("side"),
+            nothing(visits, "query_id"), "doc_id", vector, F.lit(None).cast("double").alias("kth"),
+            F.array("piece").alias("pieces"),
         )
         .unionByName(
-            visits.join(copies, "piece").select(
-                "piece", F.pmod(F.xxhash64("query_id"), F.col("__copies")).cast("int").alias("copy"),
-                F.lit(1).alias("side"), "query_id", nothing(corpus, "doc_id"),
-                F.col("vector").cast("array<double>").alias("vector"),
+            visits.join(copies, "region").select(
+                "region", F.pmod(F.xxhash64("query_id"), F.col("__copies")).cast("int").alias("copy"),
+                F.lit(1).alias("side"), "query_id", nothing(corpus, "doc_id"), vector, "kth", "pieces",
             )
         )
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
-        ids: list = []
-        parts: list[np.ndarray] = []
-        docs = np.zeros((0, 0))
+        parts: list[tuple] = []
+        names, docs = np.empty(0, object), {}
         for batch in batches:
-            keys = np.stack([batch[c].to_numpy() for c in ("piece", "copy", "side")], axis=1)
+            keys = np.stack([batch[c].to_numpy() for c in ("region", "copy", "side")], axis=1)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             for start, end in zip([0, *cuts], [*cuts, len(keys)], strict=True):
                 if start == end:
                     continue
                 part = batch.slice(start, end - start)
-                piece, copy, side = keys[start].tolist()
-                if (piece, copy) != held:
-                    held, ids, parts = (piece, copy), [], []
+                region, copy, side = keys[start].tolist()
+                if (region, copy) != held:
+                    held, parts, docs = (region, copy), [], {}
                 x = retrieval._matrix(part["vector"])
                 if side == 0:
-                    ids += part["doc_id"].to_pylist()
-                    parts.append(x)
-                    docs = np.zeros((0, 0))
+                    parts.append((retrieval._ids(part["doc_id"]), x, part["pieces"].flatten().to_numpy()))
                     continue
-                if not len(docs) and parts:
-                    docs = np.concatenate(parts)
-                best = retrieval._Best(x, k, "l2")
-                best.add(np.array(ids, dtype=object), docs)
-                n = best.ids.shape[1]
+                if parts:
+                    ids, vectors, owner = (np.concatenate(p) for p in zip(*parts, strict=True))
+                    names, numbers = retrieval._codes(ids, ids[:0])
+                    docs = {p: (numbers[owner == p], vectors[owner == p]) for p in np.unique(owner).tolist()}
+                    parts = []
+                places, distance = _in_pieces(x, part["kth"].to_numpy(), part["pieces"], docs, k)
+                row, column = np.nonzero(np.isfinite(distance))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part["query_id"].take(pa.array(np.repeat(np.arange(len(x)), n))),
-                        pa.array(best.ids.ravel().tolist(), part["doc_id"].type),
-                        pa.array(best.dist.ravel()),
+                        part["query_id"].take(pa.array(row)),
+                        pa.array(names[places[row, column]].tolist(), part["doc_id"].type),
+                        pa.array(distance[row, column]),
                     ],
                     names=schema.names,
                 )
 
-    dealt = sides.repartition("piece", "copy").sortWithinPartitions("piece", "copy", "side")
+    # Regions are small tables but long tasks, so the number of tasks is given and not found by size.
+    dealt = sides.repartition(2 * tasks, "region", "copy").sortWithinPartitions("region", "copy", "side")
     return dealt.mapInArrow(search, schema)
 
 
+def _in_pieces(
+    x: np.ndarray, kth: np.ndarray, lists: pa.Array, docs: dict[int, tuple], k: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and distances of the k nearest documents of every query in its pieces; infinite where there is none."""
+    places, dist = np.zeros((len(x), k), np.int64), np.full((len(x), k), np.inf)
+    asker, pieces = np.repeat(np.arange(len(x)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+    order = np.argsort(pieces, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(pieces[order])) + 1):
+        own, (numbers, vectors) = asker[part], docs[int(pieces[part[0]])]
+        best = retrieval._Best(x[own], k, "l2", kth[own])
+        best.ids, best.dist = places[own], dist[own]
+        best.add(numbers, vectors)
+        places[own], dist[own] = best.ids, best.dist
+    return places, dist
+
+
 def knn_pivots(
     queries: DataFrame,
     corpus: DataFrame,
@@ -232,6 +279,10 @@ def knn_pivots(
         return PivotSearch(retrieval._ranked(nothing, k), asked.selectExpr("query_id", "0L pieces"), 0)
     stored, pieces = _cut(c, piece_rows)
     asked = checkpointed(asked, "queries")
+    spark = corpus.sparkSession
+    regions = _regions(pieces, retrieval.blocks_per_side(spark, int(pieces.rows.sum())))
+    numbers = spark.createDataFrame([(i, int(r)) for i, r in enumerate(regions)], "piece int, region int")
+    stored = stored.join(F.broadcast(numbers), "piece")
     hits, met = None, None
     for stage in range(3):
         kth: Column = F.lit(float("inf"))
@@ -240,10 +291,11 @@ def knn_pivots(
             # The round before has given every query as many as k, if the corpus holds so many.
             last = hits.where(F.col("rank") == k).select("query_id", F.col("distance").alias("kth"))
             state = asked.join(last, "query_id", "left").fillna(float("inf"), "kth")
-        visits = checkpointed(_visits(state, pieces, k, stage), "visits")
+        visits = checkpointed(_visits(state, pieces, regions, k, stage), "visits")
         found = _meet(visits, stored, k)
         found = found if hits is None else found.unionByName(hits.drop("rank"))
         hits = checkpointed(retrieval._ranked(found, k), "hits")
-        met = visits.select("query_id") if met is None else met.unionByName(visits.select("query_id"))
-    counts = met.groupBy("query_id").agg(F.count(F.lit(1)).alias("pieces"))
+        seen = visits.select("query_id", F.size("pieces").cast("bigint").alias("pieces"))
+        met = seen if met is None else met.unionByName(seen)
+    counts = met.groupBy("query_id").agg(F.sum("pieces").alias("pieces"))
     return PivotSearch(hits, counts, len(pieces.rows))

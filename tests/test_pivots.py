@@ -57,3 +57,17 @@ def test_empty_sides(spark):
     df = frame(spark, clustered(1, 20, 3))
     assert pivots.knn_pivots(df, df.limit(0), 2, "id", "id", "v").hits.collect() == []
     assert pivots.knn_pivots(df.limit(0), df, 2, "id", "id", "v").hits.collect() == []
+
+
+def test_a_query_is_sent_once_per_region(spark, monkeypatch):
+    """In many dimensions bounds leave every piece; a vector is not copied for each of them."""
+    sent = []
+    visits = pivots._visits
+    monkeypatch.setattr(pivots, "_visits", lambda *a: sent.append(visits(*a)) or sent[-1])
+    data = np.random.default_rng(3).normal(size=(300, 40)).astype(np.float32)
+    df = frame(spark, data)
+    found = pivots.knn_pivots(df, df, 2, "id", "id", "v", piece_rows=10)
+    assert result(found.hits) == {(q, d, r) for q in range(300) for r, d in enumerate(nearest(data, q, 2), 1)}
+    assert found.met.agg(F.avg("pieces")).first()[0] > 20
+    # Fewer than 1024 rows are one region.
+    assert [s.groupBy("query_id").count().agg(F.max("count")).first()[0] for s in sent] == [1, 1, 1]
