@@ -199,3 +199,13 @@ def test_blocks_keep_the_cores_busy_within_bounds(spark):
     assert op.blocks_per_side(spark, 500) == 1
     assert op.TASKS_PER_CORE * cores <= op.blocks_per_side(spark, 100_000) ** 2 < 2 * op.TASKS_PER_CORE * cores
     assert op.blocks_per_side(spark, 10_000_000) == -(-10_000_000 // op.MOST_BLOCK_ROWS)
+
+
+def test_token_ids_by_join_keep_rows_that_share_a_key(spark):
+    rows = [(1, ["a", "b", "a", None]), (1, ["b"]), (1, ["b"]), (2, []), (3, None), (None, ["c", "a"])]
+    docs = spark.createDataFrame(rows, "k long, tokens array<string>")
+    vocab = spark.createDataFrame([("a", 10), ("b", 11)], "token string, token_id long")
+    want = [(1, [10, 11, 10, None]), (1, [11]), (1, [11]), (2, []), (3, None), (None, [None, 10])]
+    for most in (100, 1):
+        got = voc.token_ids(docs, vocab, "k", strict=False, max_broadcast=most).collect()
+        assert sorted(map(str, got)) == sorted(f"Row(k={k}, token_ids={t})" for k, t in want)
