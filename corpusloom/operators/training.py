@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.common import let
+from corpusloom.functions.common import explode_once, let
 from corpusloom.functions.rng import draw_bits, permuted_rank, uniform
 from corpusloom.functions.text import FIM_MIDDLE, FIM_PREFIX, FIM_SUFFIX
 from corpusloom.functions.tokens import regex_tokens
@@ -272,3 +272,12 @@ def _pieces(placed: DataFrame, seq_length: int, by: tuple[str, ...] = ()) -> Dat
         .where(F.size("input_ids") == seq_length)
         .withColumn("labels", F.col("input_ids"))
     )
+
+
+def whole_pieces(df: DataFrame, tokens: str, seq_length: int, by: tuple[str, ...]) -> DataFrame:
+    """(by…, piece, input_ids): every token array cut into pieces of ``seq_length``; what is left at its end is dropped."""
+    count = F.floor(F.size(tokens) / seq_length).cast("int")
+    cuts = F.transform(
+        F.sequence(F.lit(0), count - 1), lambda i: F.slice(F.col(tokens), i * seq_length + 1, F.lit(seq_length))
+    )
+    return explode_once(df, F.when(count > 0, cuts), *by, pos="piece", value="input_ids")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.common import explode_once
@@ -14,6 +14,9 @@ from corpusloom.operators import training as op
 from corpusloom.operators.prefix import random_rank, running_total
 from corpusloom.session import checkpointed
 
+# Up to so many shards of all epochs their first places are broadcast; the number is checked before.
+MOST_BROADCAST_SHARDS = 1_000_000
+
 
 @dataclass(frozen=True)
 class TrainingConfig:
@@ -96,20 +99,32 @@ def prepare_epochs(
     bound = op.buffer_size(config.seq_length, ratio, config.sequences_per_buffer)
     # Keys and sizes alone are placed; the texts meet their shard afterwards.
     sharded = op.assign_shards(split, key, "n_chars", bound, by=("is_validation",)).drop("n_chars")
-    tokens = docs.select(key, regex_tokens(F.col(text), token_pattern).alias("tokens")).join(sharded, key)
+    texts = docs.select(key, F.col(text).alias("text")).join(sharded, key)
+    # A shard has a limited size, so it becomes one row: only its texts pass a shuffle, once for all epochs.
+    rows = F.sort_array(F.collect_list(F.struct(F.col(key).alias("key"), "text")))
+    shards = texts.groupBy("is_validation", "shard").agg(rows.alias("docs"))
+    cut = F.transform(
+        "docs", lambda d: F.struct(d["key"].alias("key"), regex_tokens(d["text"], token_pattern).alias("tokens"))
+    )
     repeats = F.when(F.col("is_validation"), 1).otherwise(epochs)
     numbers = F.sequence(F.lit(0), repeats - 1)
-    each = explode_once(tokens, numbers, "is_validation", "shard", key, "tokens", value="epoch").drop("pos")
-    permuted = op.fim_permute(
-        F.col("tokens"), F.col("epoch"), F.col(key),
-        fim_rate=config.fim_rate, fim_spm_rate=config.fim_spm_rate, seed=config.seed,
-    )
+    tokens = shards.select("is_validation", "shard", cut.alias("docs"))
+    each = explode_once(tokens, numbers, "is_validation", "shard", "docs", value="epoch").drop("pos")
+
+    def ended(doc: Column) -> Column:
+        permuted = op.fim_permute(
+            doc["tokens"], F.col("epoch"), doc["key"],
+            fim_rate=config.fim_rate, fim_spm_rate=config.fim_spm_rate, seed=config.seed,
+        )
+        return F.concat(permuted["tokens"], F.array(F.lit(op.EOS)))
+
     by = ("epoch", "is_validation", "shard")
-    ready = each.select(*by, key, permuted["tokens"].alias("tokens"))
-    packed = op.pack_constant_length(ready, key, "tokens", config.seq_length, by=by, bounded=True)
-    pieces = checkpointed(packed.drop("labels"), "pieces")
+    joined = F.flatten(F.filter(F.transform("docs", ended), lambda t: t.isNotNull()))
+    packed = op.whole_pieces(each.select(*by, joined.alias("tokens")), "tokens", config.seq_length, by)
+    pieces = checkpointed(packed, "pieces")
     counts = checkpointed(pieces.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     bases = running_total(counts, "shard", "n", "__base", by=("epoch", "is_validation")).drop("n")
+    bases = F.broadcast(bases) if counts.count() <= MOST_BROADCAST_SHARDS else bases
     ranked = pieces.join(bases, [*by]).withColumn("__rank", F.col("__base") + F.col("piece"))
     # One row per epoch and split.
     totals = counts.groupBy("epoch", "is_validation").agg(F.sum("n").alias("n")).collect()

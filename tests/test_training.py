@@ -195,3 +195,9 @@ def test_epochs_have_orders_and_draws_of_their_own(spark):
     assert len(by_epoch[0] & by_epoch[1]) < 0.2 * len(by_epoch[0])
     assert all(r["labels"] == r["input_ids"] and len(r["input_ids"]) == 16 for r in got)
     assert prepare_epochs(docs.limit(0), "id", "text", 2, config, r"\S+").collect() == []
+
+
+def test_whole_pieces(spark):
+    rows = spark.createDataFrame([(1, list("abcdefg")), (2, ["x"]), (3, []), (4, list("stu"))], "g int, t array<string>")
+    got = {(r["g"], r["piece"], "".join(r["input_ids"])) for r in op.whole_pieces(rows, "t", 3, ("g",)).collect()}
+    assert got == {(1, 0, "abc"), (1, 1, "def"), (4, 0, "stu")}
