@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from corpusloom.operators.prefix import running_total, starts_in_order
 STRIDE = 512
 SMOOTHING = 0.1
 MAX_BROADCAST_BIGRAMS = 1_000_000
+# Bits of the hash of a bigram, where there are more of them: 32 MB in all.
+HASH_BITS = 28
 
 
 def ppl_window(t: Column, n: Column, max_length: int, stride: int = STRIDE) -> Column:
@@ -93,12 +97,36 @@ def sequence_bigrams(sequence: DataFrame, tokens: str) -> DataFrame:
     return inside.unionByName(ends.join(starts, "t"))
 
 
+def _may_be_in(only: DataFrame, a: Column, b: Column) -> Column:
+    """False only where (a, b) is not in ``only``: a bit for the hash of every bigram, in a table of fixed size."""
+
+    def slot(a: Column, b: Column) -> Column:
+        return F.pmod(F.xxhash64(a, b), F.lit(1 << HASH_BITS))
+
+    slots = only.select(slot(F.col("a"), F.col("b")).alias("s"))
+    words = slots.groupBy(F.shiftright("s", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")
+    )
+    found = words.toArrow()
+    table = np.zeros(1 << (HASH_BITS - 6), np.int64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy()
+    shared = only.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def marked(slots: pd.Series) -> pd.Series:
+        at = slots.to_numpy()
+        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return marked(slot(a, b))
+
+
 def fit(train: DataFrame, model: str, tokens: str, only: DataFrame | None = None) -> DataFrame:
     """(model, a, b, n, followed): one pass over the tokens for all counts of each model.
 
     A row counts the places where ``b`` follows ``a`` in a document; ``b`` is null at the end of one. With
     ``only``, the bigrams (a, b) that are going to be scored, all others count under a null ``b`` as well: there
-    ``followed`` says how many of the ``n`` places have a next token. ``only`` is broadcast while it is small.
+    ``followed`` says how many of the ``n`` places have a next token. ``only`` is broadcast while it is small; beyond
+    that a table of bits by hash tells what is surely not in it, so a few others keep rows of their own.
     """
     sized = train.select(F.col(model).alias("model"), tokens)
     follower = F.transform(
@@ -112,6 +140,8 @@ def fit(train: DataFrame, model: str, tokens: str, only: DataFrame | None = None
         few = only.select(F.col("a").alias("__a"), F.col("b").alias("__b"))
         marked = rows.join(F.broadcast(few), (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left")
         rows = marked.select("model", "a", F.col("__b").alias("__wanted"), "b")
+    elif only is not None:
+        rows = rows.withColumn("__wanted", F.when(_may_be_in(only, F.col("a"), F.col("b")), F.col("b")))
     else:
         rows = rows.withColumn("__wanted", F.col("b"))
     return rows.groupBy("model", "a", F.col("__wanted").alias("b")).agg(
