@@ -65,7 +65,9 @@ class _InOrder(StatefulProcessor):
         pass
 
     def expected(self) -> int:
-        return self.next_seq.get()[0] if self.next_seq.exists() else 0
+        # One call to the state: an empty value is None.
+        known = self.next_seq.get()
+        return known[0] if known else 0
 
     def ready(self, frames: list[pd.DataFrame]) -> list[tuple[int, str | None, bool]]:
         expected = self.expected()
@@ -83,8 +85,9 @@ class _InOrder(StatefulProcessor):
             done.append((expected, *waiting.pop(expected)))
             expected += 1
         self.next_seq.update((expected,))
-        self.early.clear()
-        if waiting:
+        if not waiting:
+            self.early.clear()
+        else:
             self.early.put([(s, t, e) for s, (t, e) in sorted(waiting.items())])
         return done
 
@@ -99,15 +102,17 @@ class _InOrder(StatefulProcessor):
         if not self.timeout_ms:
             return
         last = max(int(f["ts"].max().timestamp() * 1000) for f in frames if len(f)) + self.timeout_ms
-        if not self.deadline.exists() or last > self.deadline.get()[0]:
-            if self.deadline.exists():
-                self.handle.deleteTimer(self.deadline.get()[0])
+        known = self.deadline.get()
+        if not known or last > known[0]:
+            if known:
+                self.handle.deleteTimer(known[0])
             self.deadline.update((last,))
             self.handle.registerTimer(last)
 
     def forget(self, *more: object) -> None:
-        if self.deadline.exists():
-            self.handle.deleteTimer(self.deadline.get()[0])
+        known = self.deadline.get()
+        if known:
+            self.handle.deleteTimer(known[0])
         for state in (self.early, self.next_seq, self.deadline, *more):
             state.clear()
 
@@ -156,7 +161,7 @@ class _ToHtml(_InOrder):
         self.formatter = handle.getValueState("formatter", "in_code boolean, buffer string")
 
     def _format(self, key, tokens, final: bool, is_end: bool, missing: int | None) -> pd.DataFrame:
-        in_code, buffer = self.formatter.get() if self.formatter.exists() else (False, "")
+        in_code, buffer = self.formatter.get() or (False, "")
         html, in_code, rest = format_step(in_code, buffer + "".join(t or "" for _, t, _ in tokens), final)
         seq = tokens[-1][0] if tokens else self.expected() - 1
         if final:

@@ -69,8 +69,10 @@ def stream_to_html_fenced_streaming(spark, sf):
     )
     folder = scratch_path(spark, "tokens")
     draw = F.xxhash64("response_id", "seq")
-    rows.repartition(3, F.pmod(draw, F.lit(3))).sortWithinPartitions(draw).write.parquet(folder)
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    # A batch is a third of the files, so all cores write and read it.
+    files = spark.sparkContext.defaultParallelism
+    rows.repartition(3 * files, draw).sortWithinPartitions(draw).write.parquet(folder)
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
     parts = run_available(html_stream(source), "html")
     pieces = F.transform(F.sort_array(F.collect_list(F.struct("seq", "html"))), lambda p: p["html"])
     whole = parts.groupBy("response_id").agg(F.array_join(pieces, "").alias("html"))

@@ -228,3 +228,21 @@ def test_table_of_one_or_many_files_as_a_stream(spark, tmp_path, files):
         (tmp_path / "one").rename(path)
     got = streams.corpus_streaming(spark, str(tmp_path)).collect()
     assert sorted(r["doc_id"] for r in got) == list(range(9))
+
+
+def test_batches_of_fenced_tokens_have_many_files(spark, tmp_path):
+    """A batch of one file is written and read by one task, whatever its size."""
+    from pathlib import Path
+
+    from corpusloom.session import scratch_root
+    from registry import streams
+
+    rows = [(i, 1, "assistant", f"one two three {i}") for i in range(12)]
+    columns = "conv_id long, turn int, role string, text string"
+    spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "conversations.parquet"))
+    root = Path(scratch_root(spark).removeprefix("file:"))
+    before = set(root.glob("tokens-*"))
+    done = streams.stream_to_html_fenced_streaming(spark, str(tmp_path))
+    assert done.count() == 12
+    (folder,) = set(root.glob("tokens-*")) - before
+    assert len(list(folder.glob("part-*"))) > 3
