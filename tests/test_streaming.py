@@ -16,7 +16,7 @@ from corpusloom.streaming import corpus
 from corpusloom.streaming.debounce import latest_in_window_stream
 from corpusloom.streaming.editor import drop_stale_results_stream
 from corpusloom.streaming.responses import assemble_responses_stream, format_step, stream_to_html
-from corpusloom.streaming.run import ROCKSDB, run_available
+from corpusloom.streaming.run import ROCKSDB, rocksdb_state, run_available
 from registry import streams
 
 START = datetime(2024, 1, 1)
@@ -136,6 +136,54 @@ def test_debounce_in_unordered_batches_equals_batch_form(spark, tmp_path):
     assert {(r.user_id, r.event_id, r.fire) for r in got.collect()} == expected and expected
 
 
+def test_state_of_waiting_events_is_not_a_row_per_event(spark, tmp_path):
+    """Neither do users have state of their own: calls to the state are what a large batch spends its time with."""
+    rows = [(i, i % 200, START + timedelta(milliseconds=7 * i)) for i in range(4000)]
+    stream = latest_in_window_stream(parts(spark, tmp_path / "in", [rows], EVENTS), 500, "1 hour", groups=4)
+    with rocksdb_state(spark):
+        query = (
+            stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+            .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).start()
+        )
+        query.awaitTermination()
+    assert 0 < max(op.numRowsUpdated for p in query.recentProgress for op in p.stateOperators) < 100
+
+
+def test_users_that_share_state_do_not_meet(spark, tmp_path):
+    """A null user, ids beyond 2**53 and rows that come twice, in groups of any number."""
+    users = {0: None, 1: 2**60 + 1, 2: 2**60 + 2, 3: 0, 4: -1}
+    rows = [(i, users[u], ts) for i, u, ts in events(300, users=5, seed=6)]
+    rows += rows[::9]
+    keyed = sorted(rows, key=lambda r: r[2] + timedelta(seconds=random.Random(r[0]).random() * 3))
+    last = max(r[2] for r in rows) + timedelta(hours=1)
+    batches = [keyed[i : i + 90] for i in range(0, len(keyed), 90)] + [[(900, 7, last)]]
+    for groups in (1, 3):
+        stream = latest_in_window_stream(
+            parts(spark, tmp_path / f"in{groups}", batches, EVENTS), 500, "10 seconds", groups=groups
+        )
+        got = run_available(stream, "shared").collect()
+        assert sorted((r.event_id, r.fire) for r in got) == sorted(brute_rows(rows))
+        assert {(r.event_id, r.user_id) for r in got} <= {r[:2] for r in rows} and not any(r.late for r in got)
+
+
+def brute_rows(rows, window=timedelta(milliseconds=500)):
+    """As :func:`brute_latest`, with rows as often as they come."""
+    acting = []
+    for user in {r[1] for r in rows}:
+        mine = sorted((r[2], r[0]) for r in rows if r[1] == user)
+        for i, (ts, event_id) in enumerate(mine):
+            fire = max(ts, mine[i - 1][0] + window) if i else ts + window
+            if fire == ts or i + 1 == len(mine) or mine[i + 1][0] > fire:
+                acting.append((event_id, fire))
+    return acting
+
+
+def test_an_event_without_id_fails(spark, tmp_path):
+    stream = latest_in_window_stream(parts(spark, tmp_path / "in", [[(None, 1, START), (1, 1, START)]], EVENTS))
+    with pytest.raises(Exception, match="no time or no id"):
+        run_available(stream, "bad")
+
+
 def brute_latest(rows, window=timedelta(milliseconds=500)):
     acting = set()
     for user in {r[1] for r in rows}:
