@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import ast
+import hashlib
 
 from corpusloom.plans.indexing import index_source_tree
 from corpusloom.session import scratch_path
+from registry import workflows
+from registry.derived import MODELS, todo_table
 
 
 def test_the_whole_tree_is_indexed_with_the_splitter_of_each_type(spark, tmp_path):
@@ -31,3 +34,20 @@ def test_the_whole_tree_is_indexed_with_the_splitter_of_each_type(spark, tmp_pat
         assert all(len(r.content) <= 4000 for r in got[name])
         every = {x.strip() for x in files[name].splitlines()}
         assert every <= {x.strip() for r in got[name] for x in r.content.splitlines()}
+
+
+def test_stored_completions_hold_answers_made_of_whole_prompts(spark, tmp_path):
+    """An answer is the whole prompt in capitals, not a number that prompts of one length share."""
+    texts = {1: "let größe = 1\n  end\nñandú", 2: "a\nend\nb", 3: "", 4: "é", 5: "x" * 3000 + "y", 10: "x" * 3000 + "z"}
+    rows = [(i, t, len(t)) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    want = set()
+    for r in todo_table(spark, str(tmp_path)).collect():
+        prefix, suffix = r.code.split("<todo>", 1)
+        prompt = f"<fim-prefix>{prefix}<fim-suffix>{suffix}<fim-middle>".replace("ß", "ẞ").upper()
+        for model in MODELS:
+            full = f"{prefix}{model} {prompt}{suffix}"
+            want.add((f"t{r.doc_id}", r.lang_id, model, hashlib.md5(full.encode()).hexdigest()))
+    got = workflows.stored_completions_all(spark, str(tmp_path)).collect()
+    assert {(r.task_name, r.lang_id, r.model_id, r.full_code_md5) for r in got} == want
+    assert len(got) == len(want) == len(texts) * len(MODELS)
