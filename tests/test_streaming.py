@@ -88,6 +88,43 @@ def test_responses_in_shuffled_batches(spark, tmp_path):
     assert html == dict(map(tuple, df.select("k", stream_response_html(F.col("t"))).collect()))
 
 
+def test_responses_share_state_and_travel_in_packs(spark, tmp_path):
+    """Calls to the state and rows that reach it grow with groups, not with responses or tokens."""
+    texts = {f"r{i}": f"a {i}\n```py\nx\n{i}\n```\nend" for i in range(150)}
+    rows = [(r, k, c, k + 1 == len(t)) for r, t in texts.items() for k, c in enumerate(t)]
+    random.Random(3).shuffle(rows)
+    stream = stream_to_html(parts(spark, tmp_path / "in", [rows[::2], rows[1::2]], TOKENS), timeout_ms=0, groups=2)
+    with rocksdb_state(spark):
+        query = (
+            stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+            .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).start()
+        )
+        query.awaitTermination()
+    assert 0 < max(op.numRowsUpdated for p in query.recentProgress for op in p.stateOperators) < 20
+    html = {}
+    for r in sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=lambda r: r.seq):
+        html[r.response_id] = html.get(r.response_id, "") + r.html
+    assert html == {r: format_step(False, t, True)[0] for r, t in texts.items()}
+
+
+def test_responses_that_share_state_end_by_themselves(spark, tmp_path):
+    """Of one group: a null response, numbers that come twice, a gap, and a time-out while others go on."""
+    schema = TOKENS + ", ts timestamp"
+    at = lambda s: START + timedelta(seconds=s)
+    batches = [
+        [("dead", 0, "half", False, at(0)), ("dead", 3, " z", False, at(0)), ("live", 1, "b", False, at(0)), (None, 0, "n", True, at(0))],
+        [("live", 0, "a", False, at(40)), ("live", 0, "A", False, at(40)), ("live", 3, "d", True, at(41)), ("x", 0, "c", True, at(100))],
+        [("live", 2, "\n", False, at(95)), ("y", 0, "e", True, at(101))],
+    ]
+    for groups in (1, 5):
+        stream = stream_to_html(parts(spark, tmp_path / f"in{groups}", batches, schema), 60_000, "10 seconds", groups)
+        got = {tuple(r) for r in run_available(stream, "shared").collect()}
+        assert got == {
+            (None, 0, "n", True, 0), ("dead", 0, "half", False, None), ("dead", 3, " z", False, 2),
+            ("live", 1, "ab", False, None), ("live", 3, "<br>\nd", True, 0), ("x", 0, "c", True, 0), ("y", 0, "e", True, 0),
+        }
+
+
 def test_batch_assembly_with_segments_and_open_responses(spark):
     rows = [r for r in token_rows(FENCED) if not (r[0] == "r1" and r[3])]
     df = spark.createDataFrame(rows, TOKENS).repartition(7)
