@@ -12,8 +12,10 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from typing import Protocol, runtime_checkable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,14 @@ SEGMENT_LENGTHS = 8
 Scorer = Callable[[list[list]], Sequence[Sequence[float]]]
 
 
+@runtime_checkable
+class BlockScorer(Protocol):
+    """A scorer that can take windows of one length as a block too, for models that work on arrays."""
+
+    def score_block(self, codes: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The numbers of a scorer as an array like ``codes``, whose rows are windows; ``words`` has the token of each code."""
+
+
 @dataclass(frozen=True)
 class ScoredModel:
     """A scorer, made once per Python worker, and the number of tokens it can look at."""
@@ -99,34 +109,78 @@ def halo_windows(
     return windows_of(halo_segments(sequence, tokens, max_length, stride), total, max_length, stride)
 
 
-def score_windows(windows: DataFrame, models: Mapping[str, ScoredModel], deal: bool = True) -> DataFrame:
-    """(model, window, mean_nll, scored): every model over every window of its own.
+def score_segments(
+    segments: DataFrame, total: Column, models: Mapping[str, ScoredModel], stride: int = STRIDE
+) -> DataFrame:
+    """(model, window, mean_nll, scored): every model over every window of its own length.
 
-    ``windows`` has ``model`` beside the columns of :func:`halo_windows`. Windows without a token to score are left
-    out. ``deal`` sorts the windows by model first, so that a task needs one model or two.
+    ``segments`` are those of :func:`halo_segments` for the largest length or a larger one. They go to Python whole and
+    are cut there into the windows of :func:`windows_of`, so a token is handed over once and not once per window and
+    model. Windows without a token to score are left out.
     """
     models = dict(models)
-    if deal:
-        windows = windows.repartitionByRange("model", F.xxhash64("window"))
+    if min(m.max_length for m in models.values()) < stride:
+        raise ValueError("max_length must not be smaller than stride")
 
-    @F.pandas_udf("mean double, n bigint")
-    def means(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded: dict[str, Scorer] = {}
-        for names, tokens, firsts in batches:
-            result = pd.DataFrame({"mean": 0.0, "n": 0}, index=names.index)
-            for name, rows in tokens.groupby(names):
-                if name not in loaded:
-                    loaded[name] = models[name].factory()
-                size = models[name].batch
-                for start in range(0, len(rows), size):
-                    part = rows.iloc[start : start + size]
-                    for i, nll in zip(part.index, loaded[name]([list(t) for t in part]), strict=True):
-                        kept = list(nll)[firsts.at[i] :]
-                        result.at[i, "n"] = len(kept)
-                        result.at[i, "mean"] = math.fsum(kept) / len(kept) if kept else math.nan
-            yield result
-
-    found = windows.select("model", "window", means("model", "tokens", "first_scored").alias("m"))
-    return found.select(
-        "model", "window", F.col("m.mean").alias("mean_nll"), F.col("m.n").alias("scored")
-    ).where(F.col("scored") > 0)
+        for batch in batches:
+            found: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]] = []
+            columns = (batch[c].to_numpy() for c in ("segment", "windows", "__total"))
+            lists = batch["tokens"]
+            for i, (segment, each, length) in enumerate(zip(*columns, strict=True)):
+                codes, words = _coded(lists[i].values)
+                for name, model in models.items():
+                    if name not in loaded:
+                        loaded[name] = model.factory()
+                    args = codes, words, int(segment) * int(each), int(each), int(length), stride
+                    found += [(name, *part) for part in _scored(loaded[name], model, *args)]
+            names = pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]) if found else [], pa.string())
+            numbers = [np.concatenate([f[k] for f in found]) if found else [] for k in (1, 2, 3)]
+            arrays = [pa.array(n, t) for n, t in zip(numbers, (pa.int64(), pa.float64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([names, *arrays], names=["model", "window", "mean_nll", "scored"])
+
+    sized = segments.select("segment", "windows", "tokens", total.cast("bigint").alias("__total"))
+    return sized.mapInArrow(score, "model string, window bigint, mean_nll double, scored bigint")
+
+
+def _coded(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, the token of each number); the last one is null."""
+    coded = tokens.dictionary_encode()
+    words = np.array([*coded.dictionary.to_pylist(), None], object)
+    codes = coded.indices.fill_null(len(words) - 1).to_numpy(zero_copy_only=False)
+    # numbers of 16 bits are sorted by their bits
+    return codes.astype(np.uint16 if len(words) <= 1 << 16 else np.int32), words
+
+
+def _scored(
+    scorer: Scorer, model: ScoredModel, codes: np.ndarray, words: np.ndarray, low: int, each: int, total: int, stride: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(windows, means, tokens scored) of the windows of a segment, which has those from ``low`` on."""
+    length = model.max_length
+    last = max(-(-(total - length) // stride), 0)
+    count = min(each, last - low + 1)
+    # all but the last window of the sequence are full
+    full = min(count, max(0, (len(codes) - length) // stride + 1))
+    blocks = []
+    if full > 0:
+        at = np.lib.stride_tricks.sliding_window_view(codes, length)[:: stride][:full]
+        blocks.append((low + np.arange(full), at, min(stride, total)))
+    for window in range(low + full, low + count):
+        begin = (window - low) * stride
+        new = min(stride, total) if window == 0 else min(stride, total - (window - 1) * stride - length)
+        blocks.append((np.array([window]), codes[None, begin : begin + length], new))
+    for windows, block, new in blocks:
+        size = block.shape[1]
+        first = max(size - min(new, size), 1)
+        if first >= size:
+            continue
+        if isinstance(scorer, BlockScorer):
+            kept = scorer.score_block(block, words)[:, first:]
+            yield windows, kept.sum(axis=1) / (size - first), np.full(len(windows), size - first)
+            continue
+        means = []
+        for start in range(0, len(block), model.batch):
+            lists = words[block[start : start + model.batch]].tolist()
+            means += [math.fsum(list(nll)[first:]) / (size - first) for nll in scorer(lists)]
+        yield windows, np.array(means), np.full(len(windows), size - first)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -73,13 +74,7 @@ def scorer_perplexity(
     # Read once per model and for the total: windows overlap and models share them, so neither passes a shuffle.
     segments = checkpointed(halo.halo_segments(sequence, tokens, lengths[-1], stride), "segments")
     total = segments.agg(F.coalesce(F.max("until"), F.lit(0))).scalar()
-    windows = None
-    for length in lengths:
-        names = [name for name, m in models.items() if m.max_length == length]
-        own = halo.windows_of(segments, total, length, stride)
-        # dealt: a scan of its own for each model, so a task needs one
-        scans = [[name] for name in names] if deal else [names]
-        for scan in scans:
-            named = own.withColumn("model", F.explode(F.array(*[F.lit(name) for name in scan])))
-            windows = named if windows is None else windows.unionByName(named)
-    return halo.score_windows(windows, models, deal=False)
+    # dealt: a scan of its own for each model, so a task needs one
+    scans = [{name: m} for name, m in models.items()] if deal else [models]
+    scored = [halo.score_segments(segments, total, scan, stride) for scan in scans]
+    return functools.reduce(DataFrame.unionByName, scored)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.functions.tokens import lower_words
@@ -76,22 +77,38 @@ def joined_by_path(spark, sf):
 CACHE_MODELS = {"cache-256-100": (256, 100), "cache-256-2000": (256, 2000), "cache-128-500": (128, 500)}
 
 
-def cache_scorer(unseen: int):
+class _CacheScorer:
     """A model that expects what it has read in its window: p = (times read + 1) / (tokens read + unseen)."""
 
-    def score(batch: list[list]) -> list[list[float]]:
+    def __init__(self, unseen: int):
+        self.unseen = unseen
+
+    def __call__(self, batch: list[list]) -> list[list[float]]:
         out = []
         for tokens in batch:
             read: dict = {}
             row = []
             for i, token in enumerate(tokens):
                 n = read.get(token, 0)
-                row.append(math.log((i + unseen) / (n + 1)))
+                row.append(math.log((i + self.unseen) / (n + 1)))
                 read[token] = n + 1
             out.append(row)
         return out
 
-    return score
+    def score_block(self, codes: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The same for windows of one length: in the order of codes, a token's place in its run is how often it was read."""
+        order = np.argsort(codes, axis=1, kind="stable")
+        run = np.take_along_axis(codes, order, 1)
+        place = np.arange(codes.shape[1])
+        begins = np.zeros(codes.shape, np.int64)
+        begins[:, 1:] = np.where(run[:, 1:] != run[:, :-1], place[1:], 0)
+        read = np.empty(codes.shape, np.int64)
+        np.put_along_axis(read, order, place - np.maximum.accumulate(begins, axis=1), 1)
+        return np.log((place + self.unseen) / (read + 1))
+
+
+def cache_scorer(unseen: int) -> _CacheScorer:
+    return _CacheScorer(unseen)
 
 
 def _scored(spark, sf):

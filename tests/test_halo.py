@@ -76,6 +76,26 @@ def test_scored_like_the_loop_scores(spark):
         assert all(r["ppl"] == pytest.approx(want[r["model"]]) for r in ranked)
 
 
+def test_segments_are_handed_over_whole_and_scored_as_lists_or_blocks(spark):
+    """A scorer of lists and one of blocks give the same; null tokens and a length that segments were not made for."""
+    draw = random.Random(8)
+    rows = [(f"f{i}", [draw.choice(["a", "b", None, "c d"]) for _ in range(draw.choice([0, 5, 300]))]) for i in range(20)]
+    df = spark.createDataFrame(rows, "path string, tokens array<string>").repartition(3)
+    flat = joined(rows, [])
+    assert isinstance(cache_scorer(9), halo.BlockScorer) and not isinstance(cache_scorer(9).__call__, halo.BlockScorer)
+    kinds = {"list": lambda: cache_scorer(9).__call__, "block": lambda: cache_scorer(9)}
+    models = {f"{kind} {n}": halo.ScoredModel(make, n, batch=3) for kind, make in kinds.items() for n in (16, 40, 10_000)}
+    scored = scorer_perplexity(df, ["path"], "tokens", models, [], 16)
+    assert "MapInArrow" in (plan := scored._jdf.queryExecution().executedPlan().toString()) and "Generate" not in plan
+    got = {(r["model"], r["window"]): (r["mean_nll"], r["scored"]) for r in scored.collect()}
+    want = {}
+    for name, model in models.items():
+        for k, tokens, first in plain_windows(flat, model.max_length, 16):
+            if nll := cache_scorer(9)([tokens])[0][first:]:
+                want[name, k] = (pytest.approx(sum(nll) / len(nll)), len(nll))
+    assert got == want
+
+
 def test_nothing_to_score(spark):
     model = {"a": halo.ScoredModel(lambda: cache_scorer(10), 32)}
     for rows in ([], [("a", [])], [("a", ["one"])], [("a", None)]):
