@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+import time
 from pathlib import Path
 
 import pyarrow as pa
@@ -161,6 +162,20 @@ def test_report_pages(spark, tmp_path):
     assert page.count("<tr>") == 6
 
 
+def test_report_pages_compressed(spark, tmp_path):
+    """Compressed pages are the same lines in less room."""
+    body = " ".join(str(i) for i in range(400))
+    rows = [("ruby", f"t{i}", f"{i}<todo>\n{body}", m, f"{i}{m}\n{body}") for i in range(60) for m in ("b", "a", "c")]
+    grid = spark.createDataFrame(rows, "lang_id string, task_name string, task string, model_id string, full_code string")
+    pages = {}
+    for kind in ("none", "gzip"):
+        tables.write_html_report(grid, str(tmp_path / kind), compression=kind)
+        pages[kind] = sorted(r.value for r in spark.read.text(str(tmp_path / kind)).collect())
+    assert pages["none"] == pages["gzip"] and len(pages["none"]) > 120
+    size = {k: sum(p.stat().st_size for p in (tmp_path / k).rglob("part-*")) for k in pages}
+    assert size["gzip"] < size["none"] / 4
+
+
 def test_snippets_and_questions(spark, tmp_path):
     put(tmp_path, "add.py", "def add(x, y):\n    return x + y\n")
     assert [tuple(r) for r in readers.read_snippets(spark, str(tmp_path)).collect()] == [
@@ -284,3 +299,22 @@ def test_report_shuffles_texts_once(spark, tmp_path, monkeypatch):
     assert grouped.count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in grouped
     lines = spark.read.text(str(tmp_path / "page")).collect()
     assert sum("<h2>" in r["value"] for r in lines) == 6 and sum("<html>" in r["value"] for r in lines) == 2
+
+
+def test_a_stored_table_leaves_nothing_shuffled(spark):
+    """Shuffled rows are deleted when the table that they were for is stored, and the setting of the session stays."""
+    from corpusloom.session import _CLEANUP, checkpointed
+
+    before, kept = _shuffled(spark), spark.conf.get(_CLEANUP, None)
+    rows = spark.range(5000).selectExpr("id", "md5(cast(id as string)) t").repartition(4, "t")
+    stored, until = checkpointed(rows), time.time() + 20
+    while _shuffled(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not _shuffled(spark) - before and spark.conf.get(_CLEANUP, None) == kept
+    assert stored.count() == 5000
+
+
+def _shuffled(spark) -> set[str]:
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()
+    names = [blocks.apply(i).name() for i in range(blocks.size())]
+    return {n for n in names if n.startswith("shuffle")}

@@ -152,3 +152,16 @@ def test_explode_computes_its_array_once(spark):
     assert [tuple(r) for r in rows.collect()] == [("a b", 0, "a"), ("a b", 1, "b")]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
+
+
+def test_models_read_tasks_without_a_shuffle(spark):
+    """Texts of a grid pass no shuffle on their way to the models; a row of an unknown model fails, one of none stays."""
+    rows = [("t", m, "p", "s", "python") for m in ("a", "b", None)]
+    columns = "task_name string, model_id string, prefix string, suffix string, lang_id string"
+    grid = spark.createDataFrame(rows, columns)
+    loads = {m: lambda m=m: lambda prompts: prompts + m for m in ("a", "b", "c")}
+    done = models.complete_tasks(grid, loads)
+    assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
+    assert {(r.model_id, r.full_code) for r in done.collect()} == {("a", "pas"), ("b", "pbs"), (None, "ps")}
+    with pytest.raises(Exception, match="KeyError"):
+        models.complete_tasks(grid.fillna({"model_id": "x"}), loads).collect()
