@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from corpusloom.functions.tokens import hash_embedding
 from corpusloom.operators.embedding import Embedder, attach_embeddings, cache_misses
 from corpusloom.plans.indexing import chunks_of
-from corpusloom.session import checkpointed
+from corpusloom.session import checkpointed, passing, shuffles_dropped
 from corpusloom.sources import tables
 
 FILES_SCHEMA = "path string, version timestamp, gone boolean, batch bigint"
+ERRORS_SCHEMA = "path string, error string"
 
 
 def _generation(spark: SparkSession, table: str) -> tuple[int, int]:
@@ -36,7 +37,8 @@ def _folder(table: str, kind: str, generation: int) -> str:
 
 
 def _write_batch(df: DataFrame, table: str, kind: str, generation: int, batch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{_folder(table, kind, generation)}/batch={batch}")
+    with shuffles_dropped(df.sparkSession):
+        df.write.mode("overwrite").parquet(f"{_folder(table, kind, generation)}/batch={batch}")
 
 
 def versions(spark: SparkSession, table: str) -> DataFrame:
@@ -95,20 +97,23 @@ def apply_changes(
         absent = F.raise_error(F.lit(f"a changed file without {name}"))
         kept = F.when(F.col(name).isNull(), absent.cast(known.schema[name].dataType)).otherwise(F.col(name))
         known = known.withColumn(name, kept)
-    # Paths and times meet without the contents, which stay where they are until the newest are known.
-    stored = checkpointed(known.withColumn("__row", F.monotonically_increasing_id()), "changed")
-    newest = stored.groupBy("path").agg(F.max(F.struct("last_modified", "gone", "__row")).alias("n"))
-    kept = stored.join(newest.select(F.col("n.__row").alias("__row")), "__row", "left_semi").drop("__row")
-    if batch <= upto:
-        return kept.limit(0).select("path", F.lit(None).cast("string").alias("error"))
-    chunks, errors = chunks_of(kept.where(~F.col("gone")), **sizes)
-    chunks = checkpointed(chunks, "chunks")
-    cache = tables.load_embedding_cache(spark, cache_path)
-    tables.save_embedding_cache(cache_misses(chunks, cache, model, embedder, "content"), cache_path)
-    rows = attach_embeddings(chunks, tables.load_embedding_cache(spark, cache_path), model, "content")
-    _write_batch(rows, table, "chunks", generation, batch)
-    log = kept.select("path", F.col("last_modified").alias("version"), "gone")
-    _write_batch(log, table, "files", generation, batch)
+    # Contents are read from here, and deleted when the batch has been written.
+    with passing(known.withColumn("__row", F.monotonically_increasing_id()), "changed") as stored:
+        if batch <= upto:
+            return spark.createDataFrame([], ERRORS_SCHEMA)
+        # Paths and times meet without the contents. The rows to leave out are few, or as many as the others at worst.
+        newest = stored.groupBy("path").agg(F.max(F.struct("last_modified", "gone", "__row")).alias("n"))
+        older = stored.select("path", "__row").join(newest, "path").where(F.col("__row") != F.col("n.__row"))
+        kept = stored.join(checkpointed(older.select("__row"), "older"), "__row", "left_anti").drop("__row")
+        chunks, errors = chunks_of(kept.where(~F.col("gone")), **sizes)
+        errors = checkpointed(errors, "errors")
+        with passing(chunks, "chunks") as parts:
+            cache = tables.load_embedding_cache(spark, cache_path)
+            tables.save_embedding_cache(cache_misses(parts, cache, model, embedder, "content"), cache_path)
+            rows = attach_embeddings(parts, tables.load_embedding_cache(spark, cache_path), model, "content")
+            _write_batch(rows, table, "chunks", generation, batch)
+        log = kept.select("path", F.col("last_modified").alias("version"), "gone")
+        _write_batch(log, table, "files", generation, batch)
     return errors
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.tokens import hash_embedding
-from corpusloom.session import scratch_path
+from corpusloom.session import scratch_path, scratch_root
 from corpusloom.sources import versions
 from corpusloom.streaming.corpus import index_changes_stream
 
@@ -131,3 +132,17 @@ def test_streamed_changes(spark):
     index_changes_stream(changes, table, scratch_path(spark, "cache"), scratch_path(spark, "state"), size=80, overlap=0).awaitTermination()
     assert versions.versions(spark, table).agg(F.max("batch")).first()[0] == 2
     assert stored(spark, table) == afresh(spark, events)
+
+
+def test_a_batch_leaves_no_copies_of_contents(spark):
+    """What a batch stores on its way is deleted; its errors can be read all the same, also of a batch that is held."""
+    root = Path(scratch_root(spark).removeprefix("file:"))
+    copies = lambda: {p.name for kind in ("changed-*", "chunks-*") for p in root.glob(kind)}
+    before, table, cache = copies(), scratch_path(spark, "versions"), scratch_path(spark, "cache")
+    rows = [event("a.txt", 1, "old"), event("a.txt", 2, "new"), event("b.txt", 1, "b"), ("c.py", ".py", 5, 0, T0, "def (", False)]
+    for batch in (0, 0, 1):
+        errors = versions.apply_changes(spark.createDataFrame(rows, SCHEMA), table, batch, cache)
+        assert copies() == before and [r.path for r in errors.collect()] == ["c.py"]
+    versions.compact(spark, table)
+    assert versions.apply_changes(spark.createDataFrame(rows, SCHEMA), table, 1, cache).collect() == []
+    assert copies() == before and sorted(r[3] for r in stored(spark, table)) == ["b", "new"]
