@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
 import time
+from datetime import datetime, timedelta
 from pathlib import Path
 
 import pyarrow as pa
@@ -147,6 +147,21 @@ def test_results_written_and_read_back(spark, tmp_path):
     ]
 
 
+def test_tasks_are_written_with_the_first_model(spark, tmp_path, monkeypatch):
+    """Texts of tasks pass no shuffle, but for tasks that the first model has not answered."""
+    rows = [("rb", f"t{i}", f"p{i}", "s", m, m) for i in range(4) for m in ("a", "b", "c") if (i, m) not in ((2, "a"), (3, "a"), (3, "b"))]
+    schema = "lang_id string, task_name string, prefix string, suffix string, model_id string, full_code string"
+    seen = []
+    keep = tables.write_files
+    monkeypatch.setattr(tables, "write_files", lambda df, out: seen.append(df) or keep(df, out))
+    tables.write_results(spark.createDataFrame(rows, schema), str(tmp_path / "out"))
+    found = {p.relative_to(tmp_path / "out").as_posix(): p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    want = {f"rb/{t}/{m}": m for _, t, _, _, m, _ in rows} | {f"rb/t{i}/task": f"p{i}<todo>s" for i in range(4)}
+    assert found == want
+    # texts are read for the tasks that lack it, by their few keys
+    assert "LeftSemi" in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_report_pages(spark, tmp_path):
     rows = [
         ("ruby", f"t{i}", "x <todo> & y", m, f"{m} <b>") for i in range(3) for m in ("b", "a", "c")
